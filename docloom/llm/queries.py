@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, balltree, bpe, hnsw, licenses, mixing, quality, sharding
+from . import ans, balltree, bpe, hnsw, licenses, mixing, ngrams, quality, sharding, suffixes
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie; None: where the installed package has them.
@@ -53,8 +53,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.classes(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_topk, op3_sharding, op4_licenses, op5_token_files, op6_bpe, op7_embedding_dedup, op8_mixing)
+    f.__name__: f for f in (op1_quality, op2_topk, op3_sharding, op4_licenses, op5_token_files, op6_bpe, op7_embedding_dedup, op8_mixing, op9_suffix_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_topk": balltree.ORACLE, "op8_mixing": mixing.ORACLE}
