@@ -85,7 +85,8 @@ def shingles(rows: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.n
             more = counts[short] > k
             s[more] = mix64(s[more] * np.uint64(31) + w[begin[short[more]] + k])
         row, h = np.concatenate([row, short]), np.concatenate([h, mix64(s + np.uint64(7))])
-    both = np.unique((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    both = np.sort((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     row = (both >> np.uint64(48)).astype(np.int64)
     return both & np.uint64((1 << 48) - 1), row, np.bincount(row, minlength=len(counts))
 
