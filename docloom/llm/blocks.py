@@ -131,7 +131,8 @@ def with_repeats(blocks: DataFrame, hashes: Hashes) -> DataFrame:
 
     sent = blocks.mapInArrow(send, "part int, block long, keys binary").repartition(partitions(spark), "part")
     replies = sent.mapInArrow(meet, "block long, part int, bits binary").groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
-    return blocks.join(replies, "block", "left")
+    # Replies grow with the input: they meet the blocks by shuffle at every size, never as a broadcast.
+    return blocks.join(replies.hint("merge"), "block", "left")
 
 
 def repeated(hashes: np.ndarray, replies: list[dict] | None, parts: int) -> np.ndarray:

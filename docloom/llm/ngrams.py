@@ -340,7 +340,8 @@ def links(looked: DataFrame, similarity: Similarity) -> DataFrame:
     classes = components(_candidates(looked))
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sets = looked.filter("kind = 2").select(F.col("a").alias("id"), "blob")
-    placed = sets.join(classes.join(sizes, "component"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "size", "id", "blob")
+    # The classes grow with the input: they meet the sets by shuffle at every size, never as a broadcast.
+    placed = sets.join(classes.join(sizes, "component").hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "size", "id", "blob")
     deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CELL)).cast("int")
     placed = written(placed.withColumn("n_parts", F.ceil(F.col("size") / CELL).cast("int")).withColumn("part", deal), "cells")
     heads = placed.filter("n_parts > 1 and id = class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
