@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-BLOCK_BYTES = 4 << 20
-BLOCK_ROWS = 30_000
+BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 20_000
 Hashes = Callable[[pa.RecordBatch], np.ndarray]
 
 
