@@ -312,9 +312,14 @@ def written_by_kind(df: DataFrame) -> DataFrame:
 
 
 def _candidates(looked: DataFrame) -> DataFrame:
-    """Links (a, b) between documents that share a group, thinned to a forest in each part."""
+    """Links (a, b) between documents that share a group: each with the group's smallest document, repeats dropped.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A document shares many groups with the same smallest document, in many parts of the exchange; so pairs
+    are packed by that document and meet once more before they become rows, a few to each document.
+    """
+    parts = parts_of(looked.sparkSession)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs = [], []
         for batch in batches:
             for part, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
@@ -325,14 +330,35 @@ def _candidates(looked: DataFrame) -> DataFrame:
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
-        linked = doc != doc[head]
-        if linked.any():
-            a, b = forest(doc[linked], doc[head][linked])
+        head = doc[np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))]
+        linked = doc != head
+        doc, head = _pairs(doc[linked], head[linked])
+        part = (mix64(head.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(order) else [0]
+        rows = [(int(part[order[x]]), y - x, head[order[x:y]].astype("<i8").tobytes() + doc[order[x:y]].astype("<i8").tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "n", "blob"])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(blob, "<i8").reshape(2, -1) for batch in batches for blob in batch.column("blob").to_pylist()]
+        if got:
+            head, doc = np.concatenate(got, axis=1)
+            a, b = forest(*_pairs(doc, head))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    n = partitions(looked.sparkSession)
     keys = looked.filter("kind = 1").select("part", "n", "blob")
-    return keys.repartition(partitions(looked.sparkSession), "part").mapInArrow(run, "a long, b long")
+    packed_pairs = keys.repartition(n, "part").mapInArrow(shared, "part int, n long, blob binary")
+    return packed_pairs.repartition(n, "part").mapInArrow(distinct, "a long, b long")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once."""
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+    return a[new], b[new]
 
 
 def links(looked: DataFrame, similarity: Similarity) -> DataFrame:
