@@ -2,9 +2,9 @@
 
 A byte pair that stands inside no token of the vocabulary can never be merged over: between its bytes lies a
 certain cut. Texts are cut there, the fragments are encoded independently, and the results concatenated.
-Three certain cuts nest: (1) before a space that follows a non-space byte and precedes a non-space, where the
-pre-tokenizer always starts a piece as well; (2) where the pre-tokenizer ends a piece; (3) inside a piece,
-at byte pairs that no token holds. Fragments repeat, so each task remembers them in a table of bounded size.
+Three certain cuts nest: (1) before a single space between two characters that are none, where the
+pre-tokenizer always starts a piece; (2) where the pre-tokenizer ends a piece; (3) inside a piece, at byte
+pairs that no token holds. Fragments repeat, so each task remembers them in a table of bounded size.
 
 Defined cases: a null text encodes as empty (no ids, decoded text ""); the strings of special tokens in a
 text become their ids; rows are encoded one by one, so copies, ties and hot sources do not matter; an empty
@@ -62,9 +62,6 @@ class Vocabulary:
             inside[t[:-1] * 256 + t[1:]] = True
         self.inside = inside
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        #: Cut 1 needs that no token holds a non-space byte and then a space.
-        spaces = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8).astype(np.int64)
-        self.space_cuts = not np.delete(inside.reshape(256, 256)[:, 32], spaces).any()
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
 
@@ -122,7 +119,7 @@ class Fragments(dict):
         return ids
 
 
-#: A space before a non-space: with the space kept at the head of what follows.
+#: Cut 1: a space between two characters that are none; it goes to the head of what follows.
 _SPACE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -134,7 +131,7 @@ def encode_text(text: str, fragments: Fragments) -> bytes:
         if part in v.special:
             out.append(v.special[part].to_bytes(4, "little"))
         elif part:
-            units = _SPACE_CUT.split(part) if v.space_cuts else [part]
+            units = _SPACE_CUT.split(part)
             out.append(fragments[units[0]])
             out += [fragments[" " + u] for u in units[1:]]
     return b"".join(out)
