@@ -1,0 +1 @@
+"""Retrieval and document analytics as Spark DataFrame operators."""
