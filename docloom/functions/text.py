@@ -90,7 +90,8 @@ def json_field(text: Column, name: str) -> Column:
 
 def score_in(text: Column, default: float = 0.5) -> Column:
     """A model's "score" between 0 and 1; ``default`` where it can't be read."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regexp_extract(text, r'"score"\s*:\s*([0-9.]+)', 1).try_cast("double"))), F.lit(default))
+    found = F.regexp_extract(text, r'"score"\s*:\s*([0-9.]+)', 1).try_cast("double")
+    return F.when(found.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def sse_delta(line: Column) -> Column:

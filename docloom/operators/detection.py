@@ -19,7 +19,8 @@ SUFFIX = {
     "cpp": "CODE", "c": "CODE", "go": "CODE", "rs": "CODE", "json": "JSON", "csv": "CSV",
 }
 DOT = r"[^\n\r\x{85}\x{2028}\x{2029}]"
-MARKDOWN_SIGNS = [(rf"#{{1,6}}\s+{DOT}+", 3), (rf"{DOT}*\[{DOT}+?\]\({DOT}+?\){DOT}*", 2), (rf"\s*[-*+]\s+{DOT}+", 2), (rf"\s*\d+\.\s+{DOT}+", 2), (rf">\s+{DOT}+", 2), (r"\s*[-*_]{3,}\s*", 1), (rf"{DOT}*(\*\*|\*){DOT}+?(\*\*|\*){DOT}*", 1)]
+MARKDOWN_SIGNS = [(rf"#{{1,6}}\s+{DOT}+", 3), (rf"\s*[-*+]\s+{DOT}+", 2), (rf"\s*\d+\.\s+{DOT}+", 2), (rf">\s+{DOT}+", 2), (r"\s*[-*_]{3,}\s*", 1)]
+LINK, EMPHASIS = rf"{DOT}*\[{DOT}+?\]\({DOT}+?\){DOT}*", rf"{DOT}*(\*\*|\*){DOT}+?(\*\*|\*){DOT}*"
 HTML_SIGNS = ["<html", "<head", "<body", "<div", "<span", "<p>", "<a ", "<table"]
 CODE_SIGNS = ["public", "private", "class", "function", "def ", "import ", "const ", "let ", "var ", "if (", "for (", "while (", "return ", "try {", "catch (", "fn ", "func ", "()", "{}", "=>", ";"]
 PDF_SIGNS = [(rf"\d+\.\s+{DOT}+", 3), (rf"\d+\.\d+\.\s+{DOT}+", 3), (rf"{DOT}*第[一二三四五六七八九十]+章{DOT}*", 3), (rf"{DOT}*摘要{DOT}*", 2), (rf"{DOT}*参考文献{DOT}*", 2), (rf"(?i){DOT}*Abstract{DOT}*", 2), (rf"{DOT}*\[[\d,\s-]+\]{DOT}*", 2)]
@@ -41,10 +42,24 @@ def _points(*signs: tuple[Column, int]) -> Column:
     return total
 
 
+def _link(text: Column, single_line: Column) -> Column:
+    """LINK as a whole match, in one pass: the first bracket, the first ]( after it, any ) after that."""
+    opened = F.position(F.lit("["), text)
+    closed = F.position(F.lit("]("), text, opened + 2)
+    return single_line & (opened > 0) & (closed > 0) & (F.position(F.lit(")"), text, closed + 3) > 0)
+
+
+def _emphasis(text: Column, single_line: Column) -> Column:
+    """EMPHASIS as a whole match, in one pass: two stars with something between them."""
+    star = F.position(F.lit("*"), text)
+    return single_line & (star > 0) & (F.position(F.lit("*"), text, star + 2) > 0)
+
+
 def content_type(text: Column) -> Column:
     """MARKDOWN, HTML, JSON, CSV, CODE, PDF_STRUCTURED or PLAIN_TEXT, by the first test that holds. Signs marked whole must match all of the text."""
     text = F.coalesce(text, F.lit(""))
-    markdown = _points(*[(_whole(text, p), n) for p, n in MARKDOWN_SIGNS], (F.contains(text, F.lit("```")), 2)) >= 4
+    single = ~text.rlike(DOT.replace("^", ""))
+    markdown = _points(*[(_whole(text, p), n) for p, n in MARKDOWN_SIGNS], (_link(text, single), 2), (_emphasis(text, single), 1), (F.contains(text, F.lit("```")), 2)) >= 4
     lower = F.lower(text)
     html = _points(*[(F.contains(lower, F.lit(t)), 1) for t in HTML_SIGNS]) >= 2
     bare = stripped(text)

@@ -189,7 +189,7 @@ def _type_sql(text: str) -> str:
     points = lambda tests: " + ".join(f"CASE WHEN {test} THEN {n} ELSE 0 END" for test, n in tests)
     holds = lambda col, s: f"contains({col}, '{s}')"
     cols = r"len(string_split(regexp_replace({0}, ',+$', ''), ','))"
-    md = points([*[(whole(p), n) for p, n in detection.MARKDOWN_SIGNS], (holds("x", "```"), 2)])
+    md = points([*[(whole(p), n) for p, n in detection.MARKDOWN_SIGNS], (whole(detection.LINK), 2), (whole(detection.EMPHASIS), 1), (holds("x", "```"), 2)])
     html = points([(holds("lower(x)", s), 1) for s in detection.HTML_SIGNS])
     code = points([*[(holds("x", s), 1) for s in detection.CODE_SIGNS], ("len(list_filter(ls, lambda l: starts_with(l, '    ') OR starts_with(l, chr(9)))) > len(ls) * 0.3", 2)])
     pdf = points([(whole(p), n) for p, n in detection.PDF_SIGNS])
