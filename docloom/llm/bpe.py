@@ -2,9 +2,9 @@
 
 A byte pair that stands inside no token of the vocabulary can never be merged over: between its bytes lies a
 certain cut. Texts are cut there, the fragments are encoded independently, and the results concatenated.
-Three certain cuts nest: (1) before a single space between two characters that are none, where the
-pre-tokenizer always starts a piece; (2) where the pre-tokenizer ends a piece; (3) inside a piece, at byte
-pairs that no token holds. Fragments repeat, so each task remembers them in a table of bounded size.
+Two certain cuts nest: where the pre-tokenizer ends a piece, and inside a piece at byte pairs that no token
+holds. Pieces repeat, so each Python worker remembers their ids in a table of bounded size; the fragments of
+the pieces it has not met are merged together, as rows of numpy arrays.
 
 Defined cases: a null text encodes as empty (no ids, decoded text ""); the strings of special tokens in a
 text become their ids; rows are encoded one by one, so copies, ties and hot sources do not matter; an empty
@@ -25,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fragments that a task remembers; beyond, its table starts afresh.
-MEMORY = 400_000
-#: Longer units are encoded without being remembered.
+#: Pieces that a worker remembers; beyond, its table starts afresh.
+MEMORY = 600_000
+#: Longer pieces are encoded without being remembered.
 LONGEST_KEPT = 64
+#: Characters of text, or one whole text, whose pieces are looked at together.
+GROUP = 2_000_000
+#: Bytes of the longest fragments that are merged as rows; longer ones are merged one by one, by a heap.
+SHORT = 32
+NO_MERGE = 2**31 - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,11 +55,16 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t not in self.special}
         by_bytes = {b: i for i, b in self.bytes.items()}
-        self.single = [by_bytes[bytes([b])] for b in range(256)]
+        self.single = np.array([by_bytes[bytes([b])] for b in range(256)], np.int64)
         self.merges = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        self._rank = np.array([m[0] for m in self.merges.values()], np.int64)[np.argsort(keys)]
+        self._keys = np.append(np.sort(keys), -1)
+        self._rank = np.append(self._rank, NO_MERGE)
+        self.product = np.array([m[1] for m in self.merges.values()], np.int64)
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         inside = np.zeros(65536, bool)
         for token in self.bytes.values():
@@ -64,6 +74,12 @@ class Vocabulary:
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids; NO_MERGE where there is none or the right one is -1."""
+        keys = np.where(right < 0, -2, left << 32 | right)
+        at = np.searchsorted(self._keys[:-1], keys)
+        return np.where(self._keys[at] == keys, self._rank[at], NO_MERGE)
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -94,47 +110,114 @@ def merge(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> lis
     return [x for x, a in zip(ids, alive, strict=True) if a]
 
 
-class Fragments(dict):
-    """Ids of a unit of text as little-endian 32-bit integers, worked out when first asked for."""
+class Pieces(dict):
+    """Ids of the pieces met so far as little-endian 32-bit integers; the special strings are always among them."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
-
-    def __missing__(self, unit: str) -> bytes:
-        v, out = self.vocab, []
-        for piece in v.piece.findall(unit):
-            raw = piece.encode()
-            a = np.frombuffer(raw, np.uint8).astype(np.int64)
-            cuts = np.flatnonzero(~v.inside[a[:-1] * 256 + a[1:]]) + 1
-            start = 0
-            for end in (*cuts.tolist(), len(raw)):
-                out += merge([v.single[b] for b in raw[start:end]], v.merges)
-                start = end
-        ids = np.array(out, "<u4").tobytes()
-        if len(unit) <= LONGEST_KEPT:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
-#: Cut 1: a space between two characters that are none; it goes to the head of what follows.
-_SPACE_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def encode_text(text: str, fragments: Fragments) -> bytes:
-    """Ids of a whole text, special strings included, as little-endian 32-bit integers."""
-    v, out = fragments.vocab, []
-    parts = v.special_cut.split(text) if v.special_cut and "<|" in text else [text]
-    for part in parts:
-        if part in v.special:
-            out.append(v.special[part].to_bytes(4, "little"))
-        elif part:
-            units = _SPACE_CUT.split(part)
-            out.append(fragments[units[0]])
-            out += [fragments[" " + u] for u in units[1:]]
-    return b"".join(out)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.update((s, i.to_bytes(4, "little")) for s, i in self.vocab.special.items())
+
+    def learn(self, pieces: list[str]) -> None:
+        """Works out the ids of pieces, the fragments of all of them at once by length."""
+        v, raws = self.vocab, [p.encode() for p in pieces]
+        a = np.frombuffer(b"".join(raws), np.uint8)
+        ends = np.cumsum([len(r) for r in raws])
+        cut = np.ones(len(a), bool)
+        cut[1:] = ~v.inside[a[:-1].astype(np.int64) * 256 + a[1:]]
+        cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(a))
+        ids = v.single[a]
+        for n in np.unique(lengths).tolist():
+            at = starts[lengths == n]
+            if n > SHORT:
+                for i in at.tolist():
+                    merged = merge(ids[i : i + n].tolist(), v.merges)
+                    ids[i : i + n] = merged + [-1] * (n - len(merged))
+            elif n > 1:
+                cells = at[:, None] + np.arange(n)
+                ids[cells] = merge_rows(ids[cells], v)
+        used = ids >= 0
+        stops = 4 * np.cumsum(used)[ends - 1]
+        raw, begin = ids[used].astype("<u4").tobytes(), 0
+        for piece, stop in zip(pieces, stops.tolist(), strict=True):
+            self[piece] = raw[begin:stop]
+            begin = stop
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """The table of this Python worker; its tasks share it one after the other."""
+    return Pieces(vocabulary(path))
+
+
+def merge_rows(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """What merge does, for fragments of one length as rows, one merge of each row a turn; freed places become -1."""
+    n, width = ids.shape
+    out = np.full((n, width), -1, ids.dtype)
+    row, columns = np.arange(n), np.arange(width - 1)
+    ranks = vocab.ranks(ids[:, :-1], ids[:, 1:])
+    while len(row):
+        j = ranks.argmin(1)
+        all_rows = np.arange(len(row))
+        best = ranks[all_rows, j]
+        if (done := best == NO_MERGE).any():
+            out[row[done]] = ids[done]
+            row, ids, ranks, j, best = (x[~done] for x in (row, ids, ranks, j, best))
+            all_rows = np.arange(len(row))
+        ids[all_rows, j] = vocab.product[best]
+        behind = columns > j[:, None]
+        ids[:, 1:-1] = np.where(behind[:, 1:], ids[:, 2:], ids[:, 1:-1])
+        ranks[:, :-1] = np.where(behind[:, :-1] | (columns[:-1] == j[:, None]), ranks[:, 1:], ranks[:, :-1])
+        ids[:, -1], ranks[:, -1] = -1, NO_MERGE
+        follows = j + 1 < width
+        ranks[all_rows, j] = vocab.ranks(ids[all_rows, j], ids[all_rows, np.minimum(j + 1, width - 1)])
+        left = np.flatnonzero(j > 0)
+        ranks[left, j[left] - 1] = vocab.ranks(ids[left, j[left] - 1], ids[left, j[left]])
+    return out
+
+
+#: The same cuts for texts of Latin-1 letters, digits and signs alone, where the standard library's classes tell the same and run faster.
+_PLAIN = re.compile(r"[\t\n\r\x20-~¡-±´-¸º»¿-ÿ]*")
+_PLAIN_PIECE = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+
+
+def split(text: str, vocab: Vocabulary) -> list[str]:
+    """Special strings and pieces of a whole text, in order."""
+    if not vocab.special_cut or "<|" not in text:
+        return (_PLAIN_PIECE if _PLAIN.fullmatch(text) else vocab.piece).findall(text)
+    return [x for part in vocab.special_cut.split(text) for x in ([part] if part in vocab.special else vocab.piece.findall(part))]
+
+
+def encode_texts(texts: list[str | None], known: Pieces) -> Iterator[bytes]:
+    """Ids of whole texts, special strings included, as little-endian 32-bit integers."""
+    at = 0
+    while at < len(texts):
+        if len(known) >= MEMORY:
+            known.forget()
+        group, size, unmet = [], 0, set()
+        while at < len(texts) and size < GROUP:
+            pieces = split(texts[at] or "", known.vocab)
+            ids = list(map(known.get, pieces))
+            if None in ids:
+                unmet.update(p for p, x in zip(pieces, ids, strict=True) if x is None)
+                group.append((pieces, ids))
+            else:
+                group.append((None, ids))
+            size += len(texts[at] or "")
+            at += 1
+        if new := list(unmet):
+            known.learn(new)
+        for pieces, ids in group:
+            yield b"".join(ids if pieces is None else [known[p] if x is None else x for p, x in zip(pieces, ids, strict=True)])
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                del known[p]
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,9 +226,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fragments = Fragments(vocabulary(path))
         for batch in batches:
-            ids = [encode_text(t, fragments) if t else b"" for t in batch.column("__text").to_pylist()]
+            ids = list(encode_texts(batch.column("__text").to_pylist(), pieces_of(path)))
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
