@@ -17,8 +17,10 @@ extra columns are ignored; a text of any length spans as many blocks as it needs
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import partitions, shared_dir, written
 
 END = 2
@@ -37,8 +40,8 @@ LOW = np.uint64(1 << 31)
 LANES = 1024
 CHECKPOINT = 256
 BLOCK = LANES * CHECKPOINT * 2
-#: Units of text that a task remembers the ids of.
-MEMORY = 400_000
+#: Units of text, and pieces of them, that a worker remembers the ids of.
+MEMORY = 600_000
 _NULL = -(2**63)
 
 
@@ -52,15 +55,41 @@ def tokenizer(path: str):
     return t
 
 
+#: Stretches for which normal form and lower case are plain, and their pieces as the vocabulary's file cuts them.
+_PLAIN = re.compile(r"[\t\n\r!-~¡-±´-¸º»¿-ÿ]+")
+_PIECE = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-zªµºß-öø-ÿ0-9]+")
+
+
+class Pieces(dict):
+    """Ids of a lower-case piece, by the library's merges."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.model = tokenizer(path).model
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else "".join(map(self.stand_in.__getitem__, piece.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Units(dict):
     """Ids of the stretch between two spaces. This vocabulary drops white space, so stretches encode independently."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = tokenizer(path)
+        self.tokenizer, self.pieces = tokenizer(path), Pieces(path)
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        if _PLAIN.fullmatch(unit) and "<|" not in unit:
+            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(unit.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if len(unit) <= 64:
             if len(self) >= MEMORY:
                 self.clear()
@@ -68,6 +97,12 @@ class Units(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def units_of(path: str) -> Units:
+    """The table of this Python worker; its tasks share it one after the other."""
+    return Units(path)
+
+
 def _pack(doc_ids: list[int], ids: list[bytes]) -> bytes:
     import zstandard
 
@@ -89,7 +124,7 @@ def tokens(docs: DataFrame, path: str, bounds: list[int], end: int = END) -> Dat
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts, tail = Units(path), np.zeros(size, np.int64), int(end).to_bytes(4, "little")
+        units, counts, tail = units_of(path), np.zeros(size, np.int64), int(end).to_bytes(4, "little")
         for batch in batches:
             doc_ids = np.array([_NULL if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             ids = [b"".join(map(units.__getitem__, t.split(" "))) + tail if t else tail for t in batch.column("text").to_pylist()]
