@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces that a worker remembers; beyond, its table starts afresh.
-MEMORY = 600_000
+MEMORY = 200_000
 #: Longer pieces are encoded without being remembered.
 LONGEST_KEPT = 64
 #: Characters of text, or one whole text, whose pieces are looked at together.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Bytes of the longest fragments that are merged as rows; longer ones are merged one by one, by a heap.
 SHORT = 32
+#: Rows whose texts and ids are held as Python objects at a time.
+ROWS = 500
 NO_MERGE = 2**31 - 1
 
 
@@ -220,13 +222,18 @@ def encode_texts(texts: list[str | None], known: Pieces) -> Iterator[bytes]:
                 del known[p]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows."""
+    return (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_tokens, and ids: the whole text's ids as little-endian 32-bit integers."""
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = list(encode_texts(batch.column("__text").to_pylist(), pieces_of(path)))
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
@@ -240,7 +247,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "n_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).bytes.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") if x else "" for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=schema.names)
 
