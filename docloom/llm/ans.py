@@ -41,7 +41,7 @@ LANES = 1024
 CHECKPOINT = 256
 BLOCK = LANES * CHECKPOINT * 2
 #: Units of text, and pieces of them, that a worker remembers the ids of.
-MEMORY = 600_000
+MEMORY = 400_000
 _NULL = -(2**63)
 
 
