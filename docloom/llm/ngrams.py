@@ -5,17 +5,21 @@ vectors; two documents share at most the sum over groups of the smaller counts,
 The join has three steps.
 
 1. Cells. Two sets of at least similarity t differ in at most D elements, D from their sizes. A size band
-   with bound D hashes sets into D + 1 groups, so two similar sets agree in all of one group at least. The
-   groups' contents are hashed and exchanged; documents that share one with another document are candidates,
+   with bound D hashes sets into more than D groups, so two similar sets agree in all of one group at least.
+   Enough groups are taken that nearly every set fills more than D of them: such a set agrees with any
+   similar one in a group that holds something, so empty groups count only between two sets that fill fewer.
+   The groups' contents are hashed and exchanged; documents that share one with another document are candidates,
    and classes of candidates connected by shared groups are the cells: no similar pair lies across cells.
+   Classes over ``CELL`` documents are grouped again by another hash, each on its own, while that parts them.
 2. R-trees. In each cell, count vectors over ``GROUPS`` groups are points of a packed R-tree. Each document
    descends it with the bound by summed coordinate minima against what similarity t asks of the node's
    smallest set.
 3. Verification. Pairs that survive are checked on their sets, unless links have joined them already.
 
-Nothing is sampled or capped. Equal sets of a block are linked on the spot. A cell over ``CELL`` documents is
-dealt into parts that each also hold its smallest document; documents not joined to that one are then held
-against every part. So a group of copies of any size costs its size, not its square.
+Nothing is sampled or capped. Equal sets of a block are linked on the spot. A cell that stays over ``CELL``
+documents is dealt by size band into parts that each also hold its smallest document; documents not joined to
+that one are then held against every part of their own band and the two beside it. So a group of copies of any
+size costs its size, not its square; documents of a large cell that are no copies cost parts times documents.
 
 Defined cases: only A-Z are lowered; fewer words than n form one gram; a null, empty or blank text has an
 empty set and links with nothing; a null doc_id is counted but links with nothing (component null); rows
@@ -107,8 +111,45 @@ def differing(similarity: Similarity, largest: np.ndarray) -> np.ndarray:
     return 2 * largest * (den - num) // (den + num)
 
 
-def group_keys(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the groups of the rows in use, in each row's own band and the next."""
+@lru_cache(maxsize=8)
+def group_counts(similarity: Similarity) -> np.ndarray:
+    """Groups of each band: over D, and so many that its smallest sets fill more than D of them but for rare cases; at most half more than D + 1."""
+    first = bands(similarity)
+    least = first[np.maximum(np.arange(len(first) - 1) - 1, 0)].astype(float)
+    bound = differing(similarity, first[1:] - 1).astype(float)
+
+    def filled(n: np.ndarray) -> np.ndarray:
+        empty = np.exp(-least / n)
+        return n * (1 - empty) - 3 * np.sqrt(np.maximum(0, n * (empty - (1 + least / n) * empty**2)))
+
+    low, high = bound + 1, np.ceil(1.5 * (bound + 1))
+    low = np.where(filled(low) > bound, low, low + 1)
+    for _ in range(64):
+        middle = np.floor((low + high) / 2)
+        enough = filled(middle) > bound
+        low, high = np.where(enough | (low >= high), low, middle + 1), np.where(enough & (low < high), middle, high)
+    return np.where(bound > 0, np.maximum(high, bound + 1), 1).astype(np.int64)
+
+
+def group_keys(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarray, similarity: Similarity, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the groups of the rows in use, in each row's own band and the next; the salt chooses the grouping.
+
+    A row that fills more than D groups leaves its empty ones out: with any similar row it agrees in a filled one.
+    Rows are worked through in slices, so that what is held between steps stays small.
+    """
+    ends, begin, keys, rows = np.cumsum(sizes), 0, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    while begin < len(sizes):
+        low = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, low + 60_000)))
+        part = slice(low, int(ends[end - 1]))
+        k, r = _keys_of_slice(h[part], row[part] - begin, sizes[begin:end], use[begin:end], similarity, salt)
+        keys.append(k)
+        rows.append(r + begin)
+        begin = end
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _keys_of_slice(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarray, similarity: Similarity, salt: int) -> tuple[np.ndarray, np.ndarray]:
     first = bands(similarity)
     keep = use[row]
     h, row = h[keep], row[keep]
@@ -116,16 +157,19 @@ def group_keys(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarra
     for ahead in (0, 1):
         chosen = np.flatnonzero(use & (sizes > 0))
         band = np.searchsorted(first, sizes[chosen], side="right") - 1 + ahead
-        n_groups = differing(similarity, first[band + 1] - 1) + 1
+        bound, n_groups = differing(similarity, first[band + 1] - 1), group_counts(similarity)[band]
         base, per_row = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
         base[chosen], per_row[chosen] = np.cumsum(n_groups) - n_groups, n_groups
-        spread = mix64(h) & np.uint64(0xFFFFFFFF)
+        spread = mix64(h ^ np.uint64(salt)) & np.uint64(0xFFFFFFFF)
         slot = base[row] + ((spread * per_row[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         mixed, total = mix64(h ^ np.uint64(0x5851F42D4C957F2D)), int(n_groups.sum())
         low = np.bincount(slot, (mixed & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
         high = np.bincount(slot, (mixed >> np.uint64(32)).astype(float), total).astype(np.uint64)
         owner = np.repeat(np.arange(len(chosen)), n_groups)
         number = np.arange(total) - (np.cumsum(n_groups) - n_groups)[owner]
+        full = np.bincount(slot, minlength=total) > 0
+        sent = full | (np.bincount(owner, full, len(chosen)) <= bound)[owner]
+        low, high, owner, number = low[sent], high[sent], owner[sent], number[sent]
         keys.append(mix64(mix64(low + (high << np.uint64(32))) + mix64(band[owner].astype(np.uint64) * np.uint64(1_000_003) + number.astype(np.uint64))))
         rows.append(chosen[owner])
     return np.concatenate(keys), np.concatenate(rows)
@@ -269,13 +313,9 @@ def _looked(blocks: DataFrame, n: int, similarity: Similarity) -> DataFrame:
                 keys, owner = group_keys(h, row, sizes, use, similarity)
                 again = repeated(keys, replies.as_py(), parts)
                 keys, owner = keys[again], owner[again]
-                distinct, at, _ = _split(keys, parts)
-                order = np.argsort(at.ravel(), kind="stable")
-                whole, docs = distinct[at.ravel()[order]], ids[owner[order]]
-                cut = list(_by_part(whole))
-                blobs = [_key_bytes(whole[a:b]) + docs[a:b].astype("<i8").tobytes() for _, a, b in cut]
+                cut, counts, blobs = _key_rows(keys, ids[owner], parts)
                 none = [None] * len(cut)
-                yield _rows(1, block, none, [p for p, _, _ in cut], none, none, [b - a for _, a, b in cut], blobs)
+                yield _rows(1, block, none, cut, none, none, counts, blobs)
                 chosen = np.unique(owner)
                 ends = np.cumsum(sizes)
                 none = [None] * len(chosen)
@@ -287,6 +327,15 @@ def _looked(blocks: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     return written_by_kind(with_repeats(blocks, hashes).mapInArrow(run, _LOOKED))
 
 
+def _key_rows(keys: np.ndarray, docs: np.ndarray, parts: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Keys and their documents by part of the exchange: parts, counts, bytes."""
+    distinct, at, _ = _split(keys, parts)
+    order = np.argsort(at.ravel(), kind="stable")
+    whole, docs = distinct[at.ravel()[order]], docs[order]
+    cut = list(_by_part(whole))
+    return [p for p, _, _ in cut], [b - a for _, a, b in cut], [_key_bytes(whole[a:b]) + docs[a:b].astype("<i8").tobytes() for _, a, b in cut]
+
+
 def _read(rows: pa.RecordBatch, n: int):
     h, row, sizes = shingles(rows, n)
     doc = rows.column("doc_id")
@@ -311,23 +360,23 @@ def written_by_kind(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(_LOOKED).parquet(path)
 
 
-def _candidates(looked: DataFrame) -> DataFrame:
-    """Links (a, b) between documents that share a group: each with the group's smallest document, repeats dropped.
+def _candidates(keys: DataFrame) -> DataFrame:
+    """keys: (part, n, blob), the group keys by part. Links (a, b) between documents that share a group: each with the group's smallest document, repeats dropped.
 
     A document shares many groups with the same smallest document, in many parts of the exchange; so pairs
     are packed by that document and meet once more before they become rows, a few to each document.
     """
-    parts = parts_of(looked.sparkSession)
+    parts = parts_of(keys.sparkSession)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
+        got, docs = [], []
         for batch in batches:
             for part, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
-                keys.append(_keys(blob[: 6 * n], part))
+                got.append(_keys(blob[: 6 * n], part))
                 docs.append(np.frombuffer(blob, "<i8", n, 6 * n))
-        if not keys:
+        if not got:
             return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
+        key, doc = np.concatenate(got), np.concatenate(docs)
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         head = doc[np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))]
@@ -347,8 +396,7 @@ def _candidates(looked: DataFrame) -> DataFrame:
             a, b = forest(*_pairs(doc, head))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    n = partitions(looked.sparkSession)
-    keys = looked.filter("kind = 1").select("part", "n", "blob")
+    n = partitions(keys.sparkSession)
     packed_pairs = keys.repartition(n, "part").mapInArrow(shared, "part int, n long, blob binary")
     return packed_pairs.repartition(n, "part").mapInArrow(distinct, "a long, b long")
 
@@ -361,26 +409,70 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+def _again(placed: DataFrame, similarity: Similarity, salt: int) -> DataFrame:
+    """placed: (class, id, blob). (part, n, blob) of the keys of another grouping, in which only documents of one class can meet."""
+    parts = parts_of(placed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs, at = batch.column("blob").to_pylist(), 0
+            ends = np.cumsum([len(b) // 6 for b in blobs])
+            while at < len(blobs):  # slices of rows, so that keys take little memory
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 300_000)))
+                sets = [_set(b) for b in blobs[at:end]]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                ids, own = (np.array(batch.column(c).slice(at, end - at).to_pylist(), np.int64) for c in ("id", "class"))
+                keys, owner = group_keys(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, np.ones(len(sets), bool), similarity, salt)
+                part, n, blob = _key_rows(mix64(keys + mix64(own.astype(np.uint64))[owner]), ids[owner], parts)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["part", "n", "blob"])
+                at = end
+
+    return placed.select("class", "id", "blob").mapInArrow(run, "part int, n long, blob binary")
+
+
+def _refined(found: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """found: (node, component). Classes over CELL documents are grouped again, until none is left or their documents fell by less than a tenth."""
+    before, salt = None, 0
+    while True:
+        large = written(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CELL), "large")
+        now = large.agg(F.sum("size").alias("n")).first()["n"] or 0
+        if not now or (before is not None and now > 0.9 * before):
+            return found
+        before, salt = now, salt + 1
+        inside = found.join(large.select("component").hint("merge"), "component")
+        placed = sets.join(inside.hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "id", "blob")
+        parted = components(_candidates(_again(placed, similarity, salt * 0x1E3779B97F4A7C15 % (1 << 63))))
+        found = written(found.join(large.select("component").hint("merge"), "component", "left_anti").select("node", "component").unionByName(parted), "refined")
+
+
 def links(looked: DataFrame, similarity: Similarity) -> DataFrame:
     """Links (a, b) with the components of all similar pairs."""
-    classes = components(_candidates(looked))
+    sets = looked.filter("kind = 2").select(F.col("a").alias("id"), "n", "blob")
+    classes = _refined(components(_candidates(looked.filter("kind = 1").select("part", "n", "blob"))), sets, similarity)
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sets = looked.filter("kind = 2").select(F.col("a").alias("id"), "blob")
     # The classes grow with the input: they meet the sets by shuffle at every size, never as a broadcast.
-    placed = sets.join(classes.join(sizes, "component").hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "size", "id", "blob")
-    deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CELL)).cast("int")
-    placed = written(placed.withColumn("n_parts", F.ceil(F.col("size") / CELL).cast("int")).withColumn("part", deal), "cells")
-    heads = placed.filter("n_parts > 1 and id = class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    inner = placed.filter("n_parts = 1 or id <> class").unionByName(heads)
+    placed = sets.join(classes.join(sizes, "component").hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "size", "id", "n", "blob")
+    first = F.array(*[F.lit(int(x)) for x in bands(similarity)])
+    band = F.when(F.col("size") > CELL, F.size(F.filter(first, lambda x: x <= F.col("n")))).otherwise(0)
+    placed = written(placed.withColumn("band", band), "cells")
+    # Small classes are one part. Large ones have parts by band: similar sets stand in the same band or the next.
+    tiles = placed.filter(F.col("size") > CELL).groupBy("class", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
+    tiles = written(tiles, "tiles")
+    parts = tiles.select("class", F.col("band").alias("to"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    number = lambda band, piece: (F.col(band).cast("long") * F.lit(1 << 32) + piece).alias("part")
+    small = placed.filter(F.col("size") <= CELL).select("class", F.lit(0).cast("long").alias("part"), "id", "blob")
+    large = placed.filter(F.col("size") > CELL).join(tiles.hint("merge"), ["class", "band"]).select("class", "band", number("band", F.pmod(F.xxhash64("id"), F.col("pieces"))), "id", "blob")
+    heads = large.filter("id = class").join(parts.hint("merge"), "class").select("class", number("to", F.col("piece")), "id", "blob")
+    inner = small.unionByName(large.filter("id <> class").drop("band")).unionByName(heads)
     found = written(_cells(inner, similarity), "cell-links")
-    large = placed.filter("n_parts > 1")
-    if large.limit(1).count():
+    if tiles.limit(1).count():
         roots = components(found)
         joined_ = large.join(roots.select(F.col("node").alias("id"), "component"), "id", "left")
         apart = written(joined_.filter(F.coalesce("component", "id") != F.col("class")).drop("component"), "apart")
         if apart.limit(1).count():
-            asking = apart.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).withColumn("asks", F.lit(True))
-            there = large.join(apart.select("id").distinct(), "id", "left_anti").withColumn("asks", F.lit(False))
+            beside = apart.drop("part").join(parts.hint("merge"), "class").filter(F.abs(F.col("band") - F.col("to")) <= 1)
+            asking = beside.select("class", number("to", F.col("piece")), "id", "blob").withColumn("asks", F.lit(True))
+            there = large.join(apart.select("id").distinct(), "id", "left_anti").select("class", "part", "id", "blob").withColumn("asks", F.lit(False))
             found = found.unionByName(_cells(asking.unionByName(there), similarity, ask=True))
     return found.unionByName(looked.filter("kind = 3").select("a", "b"))
 

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from docloom.llm import ans, bpe, licenses, mixing, ngrams, sharding, suffixes
 from docloom.llm.queries import vocabulary_path
@@ -222,6 +223,48 @@ def test_cells_over_their_size_lose_no_link(spark, monkeypatch):
     assert Counter(got) == Counter(brute_classes([(x[0], x[1]) for x in data], 3, 80, 100))
 
 
+def test_empty_groups_do_not_link_documents():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 48, 500, dtype=np.uint64)) for _ in range(300)]
+    sizes = np.array([len(x) for x in sets])
+    keys, owner = ngrams.group_keys(np.concatenate(sets), np.repeat(np.arange(300), sizes), sizes, np.ones(300, bool), (8, 10))
+    by = defaultdict(set)
+    for k, d in zip(keys.tolist(), owner.tolist(), strict=True):
+        by[k].add(d)
+    assert len(set().union(*[v for v in by.values() if len(v) > 1])) < 10
+
+
+@pytest.mark.parametrize("similarity", [(8, 10), (9, 10), (5, 10)])
+def test_similar_sets_share_a_group(similarity):
+    num, den = similarity
+    r = np.random.default_rng(4)
+    for salt in (0, 12345):
+        for size in [*range(1, 40), *r.integers(40, 900, 60).tolist()]:
+            a = np.unique(r.integers(0, 1 << 48, size, dtype=np.uint64))
+            drop = len(a) - -(-len(a) * num // den) if size % 2 else 0
+            b = a[drop:] if drop else np.unique(np.concatenate([a[: len(a) - 2 * len(a) * (den - num) // (den + num) // 2], r.integers(0, 1 << 48, 2 * len(a) * (den - num) // (den + num) // 2, dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if common * den < num * (len(a) + len(b) - common):
+                continue
+            sizes = np.array([len(a), len(b)])
+            keys, owner = ngrams.group_keys(np.concatenate([a, b]), np.repeat([0, 1], sizes), sizes, np.ones(2, bool), similarity, salt)
+            assert set(keys[owner == 0]) & set(keys[owner == 1])
+
+
+def test_large_classes_of_different_sizes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CELL", 8)
+    r = random.Random(6)
+    texts = []
+    for _ in range(120):
+        now = [f"w{i}" for i in range(r.randrange(12, 60))]
+        for _ in range(r.randrange(5)):
+            now[r.randrange(len(now))] = f"x{r.randrange(30)}"
+        texts.append(" ".join(now))
+    data = rows(texts)
+    got = [tuple(x) for x in ngrams.classes(table(spark, data), 3, (80, 100), block_bytes=3_000).collect()]
+    assert Counter(got) == Counter(brute_classes([(x[0], x[1]) for x in data], 3, 80, 100))
+
+
 def test_representatives(spark):
     near = " ".join(f"w{i}" for i in range(80))
     df = table(spark, rows([near, near + " end", "another one", None, near]))
