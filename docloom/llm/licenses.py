@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in native column functions only.
 
 A text is cut into sentences, sentences are reduced to lower-case letters and digits, and known ones become
-identifiers. The sequence of identifiers is then held against ordered rules, longest first: a rule matches
+identifiers. Some sentences hold marks at which texts are cut ("v. 2.0"); these are known by their parts as well,
+which must follow one another with nothing between. The sequence of identifiers is then held against ordered rules, longest first: a rule matches
 where its identifiers stand side by side, and what it matched is used up. The text is read twice: once by
 lines, for notices that stand alone, and once with line breaks as spaces, for sentences that wrap.
 
@@ -49,6 +50,17 @@ SENTENCES = [
     "spdx license identifier bsd 3 clause",
 ]
 
+# The parts into which the cut leaves sentences that hold its marks, by the sentence's identifier.
+PARTS = {
+    20: ("this program is free software", SENTENCES[20].removeprefix("this program is free software ")),
+    21: (SENTENCES[21].partition(" without even")[0], "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    22: (SENTENCES[22].removesuffix(" 2 0"), "2 0"),
+    23: ("spdx license identifier", "mit"),
+    24: ("spdx license identifier", "apache 2 0"),
+    25: ("spdx license identifier", "gpl 3 0 only"),
+    26: ("spdx license identifier", "bsd 3 clause"),
+}
+
 # Rules in order, a licence and the identifiers that must stand side by side.
 RULES = [
     ("BSD-3-Clause", (15, 16, 17, 18)),
@@ -90,18 +102,23 @@ def sentences_of(text: Column) -> Column:
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
 
 
-def identifiers(sentences: Column, known: list[str]) -> Column:
+def identifiers(sentences: Column, known: list[str], parts: dict[int, tuple[str, ...]]) -> Column:
     """The known sentences' identifiers, in order, each as <i>."""
-    ids = F.create_map(*[x for i, s in enumerate(known) for x in (F.lit(s), F.lit(f"<{i}>"))])
-    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(ids, s)), lambda s: s.isNotNull())
-    return F.array_join(found, "")
+    pieces = sorted({x for some in parts.values() for x in some} - set(known))
+    mark = {x: f"{{{i}}}" for i, x in enumerate(pieces)} | {x: f"<{i}>" for i, x in enumerate(known)}
+    ids = F.create_map(*[F.lit(y) for x in mark.items() for y in x])
+    found = F.array_join(F.transform(sentences, lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("-"))), "")
+    for i, some in parts.items():
+        found = F.replace(found, F.lit("".join(mark[x] for x in some)), F.lit(f"<{i}>"))
+    return F.regexp_replace(found, r"-+|\{[0-9]+\}", "")
 
 
-def scan(docs: DataFrame, known: list[str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES, anchors: list[str] = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, known: list[str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES, anchors: list[str] = ANCHORS, parts: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_sentences (known ones, by lines or by flow, whichever finds more), licenses (sorted, joined by commas) and first_license (of the first rule that matched, null if none)."""
     _anchored(known, anchors)
+    parts = (PARTS if known is SENTENCES else {}) if parts is None else parts
     maybe = F.when(F.col("text").rlike("(?i)" + "|".join(anchors)), F.col("text"))
-    by_line, by_flow = (identifiers(sentences_of(t), known) for t in (F.regexp_replace("maybe", r"[\n\r]+", ". "), F.col("maybe")))
+    by_line, by_flow = (identifiers(sentences_of(t), known, parts) for t in (F.regexp_replace("maybe", r"[\n\r]+", ". "), F.col("maybe")))
     found = docs.select("doc_id", maybe.alias("maybe")).select("doc_id", F.coalesce(by_line, F.lit("")).alias("by_line"), F.coalesce(by_flow, F.lit("")).alias("by_flow"))
     count = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("<"), F.lit("")))
     state = found.select("doc_id", F.greatest(count("by_line"), count("by_flow")).cast("long").alias("n_sentences"), F.concat("by_line", F.lit("|"), "by_flow").alias("sequence"))

@@ -366,6 +366,46 @@ def test_licences(spark, documents):
     assert licenses.scan(none(spark)).count() == 0 and licenses.scan(odd(spark)).count() == len(odd_rows())
 
 
+NOTICES = {
+    0: "This work is licensed under the GNU General Public License, version 3.",
+    1: "This work is licensed under the GNU General Public License, version 2.",
+    2: "All rights reserved.",
+    3: "Licensed under CC BY-NC 4.0.",
+    4: "Licensed under CC BY 4.0.",
+    5: "Licensed under CC BY-SA 4.0.",
+    6: "Released under the MIT License.",
+    7: "Licensed under the MIT License.",
+    8: "Licensed under the Apache License, Version 2.0.",
+    9: 'Licensed under the Apache License, Version 2.0 (the "License");',
+    10: "you may not use this file except in compliance with the License.",
+    11: "You may obtain a copy of the License at",
+    12: 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    13: "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    14: 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    15: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    16: "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    17: "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    18: "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    19: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    20: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    21: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    22: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    23: "SPDX-License-Identifier: MIT",
+    24: "SPDX-License-Identifier: Apache-2.0",
+    25: "SPDX-License-Identifier: GPL-3.0-only",
+    26: "SPDX-License-Identifier: BSD-3-Clause",
+}
+
+
+def test_each_rule_finds_its_canonical_notice(spark):
+    texts = ["Some words first.\n" + "\n".join(NOTICES[i] for i in ids) + "\nand more" for _, ids in licenses.RULES]
+    texts += ["SPDX-License-Identifier: unknown. MIT", "Public version 2.0. MIT", "Mozilla Public License, v. 2.0."]
+    got = {r.doc_id: (r.n_sentences, r.licenses, r.first_license) for r in licenses.scan(table(spark, rows(texts))).collect()}
+    for i, (name, ids) in enumerate(licenses.RULES):
+        assert got[i] == (len(ids), name, name), ids
+    assert all(got[len(licenses.RULES) + i] == (0, "", None) for i in range(3))
+
+
 def brute_licence(text):
     def ids(t):
         cut = re.split("[.!?;:]+[\x20\x09-\x0d]+", t + " ")
