@@ -18,6 +18,7 @@ returns all columns of docs, even if named like this module's own.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,8 +50,8 @@ def figures_of(text: str | None) -> list[float]:
     n = len(raw)
     count = lambda chars: n - len(raw.translate(None, chars))
     upper, lower, words = count(_UPPER), count(_LOWER), raw.split()
-    distinct = set(words)
-    top = max(words.count(w) for w in words[:: max(1, len(words) // 7)][:8])
+    distinct = Counter(words)
+    top = max(distinct.values())
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return [
         upper / max(1, upper + lower),

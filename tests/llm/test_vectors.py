@@ -134,6 +134,12 @@ def test_held_out_accuracy(spark):
     assert len(bad) > 10 and sum(good) / len(good) >= 0.97 and sum(bad) / len(bad) >= 0.85
 
 
+def test_top_word_counts_all_words():
+    words = [f"w{i}" for i in range(100)]
+    words[1:8] = ["junk"] * 7  # stands at none of every 14th place
+    assert quality.figures_of(" ".join(words))[quality.FIGURES.index("top_word")] == 0.07
+
+
 def test_sparse_sites_shrink(spark):
     scored = spark.createDataFrame([("h1", "p1", 4.0)] * 200 + [("h1", "p2", -4.0)] + [("h2", "p1", -4.0)] * 200 + [("h3", "p9", 0.0)], "host string, path string, z double")
     priors, _, mean = quality.site_rates(scored)
