@@ -35,14 +35,18 @@ def once(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", timeout: int = 600) -> None:
-    """Processes what is there and stops. Complete and update results replace the target, appended ones are added by batch."""
+def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", timeout: int | None = None) -> None:
+    """Processes what is there and stops. Complete and update results replace the target, appended ones are added by batch. Waits for all of it; with a timeout in seconds, stops the query and raises when that is not enough."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(target if mode == "complete" else f"{target}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination(timeout)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream did not end in {timeout} s; {target} is not complete")
 
 
 # The states of a document in order.

@@ -162,3 +162,18 @@ def test_files_round_trip(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, content string")
     new = files.upserted(old, spark.createDataFrame([(2, "c" * 70_000)], old.schema), "id")
     assert {(r.id, len(r.content)) for r in new.collect()} == {(1, 1), (2, 60_000)}
+
+
+def test_streams_are_waited_for_or_raise():
+    from unittest.mock import MagicMock
+
+    import pytest
+
+    stream = MagicMock()
+    query = stream.writeStream.outputMode().option().trigger().foreachBatch().start()
+    query.awaitTermination.return_value = False
+    with pytest.raises(TimeoutError):
+        streams.run_available(stream, "target", "checkpoint", timeout=5)
+    query.stop.assert_called_once()
+    streams.run_available(stream, "target", "checkpoint")
+    query.awaitTermination.assert_called_with()
