@@ -135,6 +135,72 @@ def with_repeats(blocks: DataFrame, hashes: Hashes) -> DataFrame:
     return blocks.join(replies.hint("merge"), "block", "left")
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """(value, rows) of each run of equal values of the key, over sorted batches."""
+    now, held = None, []
+    for batch in batches:
+        for value, *row in zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True):
+            if value != now and held:
+                yield now, held
+                held = []
+            now = value
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def with_counts(blocks: DataFrame, hashes: Hashes) -> DataFrame:
+    """Adds replies to the blocks: for each part, half a byte for each distinct key of the block, the count of the key over all blocks.
+
+    Counts are told as the least power of two that is not smaller (0: the key stands once), at most 15. Each block
+    sends its distinct keys once, with its own count, to the part that their bits name; parts are settled one by one.
+    """
+    spark = blocks.sparkSession
+    parts = parts_of(spark)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                keys, _, count = _split(hashes(unseal(data.as_py())), parts)
+                few = np.minimum(count, 255).astype(np.uint8)
+                rows = [(p, _key_bytes(keys[a:b]), few[a:b].tobytes()) for p, a, b in _by_part(keys)]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([block] * len(rows), pa.int64()), *columns[1:]], names=["part", "block", "keys", "counts"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in runs(batches, "part", ("block", "keys", "counts")):
+            key = np.concatenate([_keys(k, part) for _, k, _ in got])
+            order = np.argsort(key)
+            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            total = np.add.reduceat(np.frombuffer(b"".join(c for _, _, c in got), np.uint8)[order].astype(np.int64), np.flatnonzero(new))
+            code = np.empty(len(key), np.uint8)
+            code[order] = np.minimum(15, np.ceil(np.log2(total))).astype(np.uint8)[np.cumsum(new) - 1]
+            ends = np.cumsum([len(c) for _, _, c in got]).tolist()
+            packs = [_nibbles(code[e - len(c) : e]) for e, (_, _, c) in zip(ends, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in got], pa.int64()), pa.array([part] * len(got), pa.int32()), pa.array(packs, pa.binary())], names=["block", "part", "codes"])
+
+    sent = blocks.mapInArrow(send, "part int, block long, keys binary, counts binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
+    replies = sent.mapInArrow(meet, "block long, part int, codes binary").groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("replies"))
+    # Replies grow with the input: they meet the blocks by shuffle at every size, never as a broadcast.
+    return blocks.join(replies.hint("merge"), "block", "left")
+
+
+def _nibbles(codes: np.ndarray) -> bytes:
+    even = np.zeros(len(codes) + len(codes) % 2, np.uint8)
+    even[: len(codes)] = codes
+    return (even[::2] << 4 | even[1::2]).tobytes()
+
+
+def counts_of(hashes: np.ndarray, replies: list[dict] | None, parts: int) -> np.ndarray:
+    """The code of each hash of a block, from its replies."""
+    keys, at, _ = _split(hashes, parts)
+    codes, told = np.zeros(len(keys), np.uint8), {r["part"]: r["codes"] for r in replies or []}
+    for p, a, b in _by_part(keys):
+        both = np.frombuffer(told[p], np.uint8)
+        codes[a:b] = np.stack([both >> 4, both & 15], axis=1).ravel()[: b - a]
+    return codes[at.ravel()]
+
+
 def repeated(hashes: np.ndarray, replies: list[dict] | None, parts: int) -> np.ndarray:
     """Whether each hash of a block stands in another block, or twice in this one."""
     keys, at, count = _split(hashes, parts)

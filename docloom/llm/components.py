@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        before, now = now, written(small.unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        discard(before)
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("nodes")).first()
         if got["n"] == got["nodes"] and now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

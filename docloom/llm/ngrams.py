@@ -2,24 +2,25 @@
 
 A document's set is its distinct word n-grams, hashed to 48 bits. Hashing the set into groups gives count
 vectors; two documents share at most the sum over groups of the smaller counts, which bounds their overlap.
-The join has three steps.
-
-1. Cells. Two sets of at least similarity t differ in at most D elements, D from their sizes. A size band
-   with bound D hashes sets into more than D groups, so two similar sets agree in all of one group at least.
-   Enough groups are taken that nearly every set fills more than D of them: such a set agrees with any
-   similar one in a group that holds something, so empty groups count only between two sets that fill fewer.
-   The groups' contents are hashed and exchanged; documents that share one with another document are candidates,
-   and classes of candidates connected by shared groups are the cells: no similar pair lies across cells.
-   Classes over ``CELL`` documents are grouped again by another hash, each on its own, while that parts them.
-2. R-trees. In each cell, count vectors over ``GROUPS`` groups are points of a packed R-tree. Each document
-   descends it with the bound by summed coordinate minima against what similarity t asks of the node's
-   smallest set.
-3. Verification. Pairs that survive are checked on their sets, unless links have joined them already.
-
-Nothing is sampled or capped. Equal sets of a block are linked on the spot. A cell that stays over ``CELL``
-documents is dealt by size band into parts that each also hold its smallest document; documents not joined to
-that one are then held against every part of their own band and the two beside it. So a group of copies of any
-size costs its size, not its square; documents of a large cell that are no copies cost parts times documents.
+The join has four steps.
+
+1. Counts. Blocks exchange their distinct hashes and learn in how many documents each stands, as a power of
+   two. A document of which fewer than a share t of the set stands elsewhere has no similar document.
+2. Shared rare elements. In the order of (count, hash), two sets of at least similarity t share one of the
+   first ``size - ceil(t * size) + 1`` elements of each. Those elements are the keys by which documents meet;
+   elements of one document alone need not be sent. At a key, documents whose count vectors allow similarity
+   are tied; documents of a key that over ``HOT`` documents hold are tied to the smallest of them.
+3. R-trees. Classes of tied documents are the cells. In each, count vectors are points of a packed R-tree,
+   and each document descends it with the bound by summed coordinate minima against what similarity t asks
+   of the node's smallest set.
+4. Verification. Pairs that survive are checked on their sets; only these links make components.
+
+Nothing is sampled or capped. Equal sets of a block are linked on the spot. A cell over ``CELL`` documents or
+``WEIGHT`` elements is packed into tiles by size and least element, whose upper corners are the higher levels
+of its R-tree. Each tile is joined with the cell's smallest document; documents that are then not joined to
+it descend from the upper level to the tiles that their bound allows, and ask there in bounded pieces. So a
+group of copies of any size costs its size, not its square; only documents that share rare elements, agree
+in their counts and yet are no copies meet in many pairs.
 
 Defined cases: only A-Z are lowered; fewer words than n form one gram; a null, empty or blank text has an
 empty set and links with nothing; a null doc_id is counted but links with nothing (component null); rows
@@ -30,7 +31,6 @@ back from ``representatives`` and are ignored by ``classes``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,13 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, _by_part, _key_bytes, _keys, _split, mix64, packed, parts_of, repeated, texts, unseal, with_repeats
-from .common import partitions, written
+from .blocks import BLOCK_BYTES, _by_part, _key_bytes, _keys, _split, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
+from .common import discard, partitions, written
 from .components import components, forest
 
-GROUPS = 32
+GROUPS = 64
 LEAF = 16
 CELL = 1_024
+#: Elements of all sets of a cell that one task holds.
+WEIGHT = 4_000_000
+#: Documents of a key that are compared there; a power of two.
+HOT = 256
+#: Tiles under one node of the upper level.
+FAN = 256
 Similarity = tuple[int, int]
 
 
@@ -95,84 +101,79 @@ def shingles(rows: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return both & np.uint64((1 << 48) - 1), row, np.bincount(row, minlength=len(counts))
 
 
-@lru_cache(maxsize=8)
-def bands(similarity: Similarity, most: int = 1 << 40) -> np.ndarray:
-    """The first size of each band: sets of a band find similar ones in their own and the next band only."""
+def needed(similarity: Similarity, sizes: np.ndarray) -> np.ndarray:
+    """The least number of a set's own elements that a similar set shares."""
     num, den = similarity
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * den // num + 1)
-    return np.array(out, np.int64)
+    return -(-num * sizes // den)
 
 
-def differing(similarity: Similarity, largest: np.ndarray) -> np.ndarray:
-    """The most elements in which two similar sets of sizes up to largest differ."""
-    num, den = similarity
-    return 2 * largest * (den - num) // (den + num)
+def count_vectors(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many elements of each of n rows fall into each group."""
+    return np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+
 
+#: Codes of counts in one byte: exact to 127, then rounded up, so that bounds stay bounds.
+STEPS = np.concatenate([np.arange(128), np.ceil(127 * 1.12 ** np.arange(1, 129))]).astype(np.int64)
 
-@lru_cache(maxsize=8)
-def group_counts(similarity: Similarity) -> np.ndarray:
-    """Groups of each band: over D, and so many that its smallest sets fill more than D of them but for rare cases; at most half more than D + 1."""
-    first = bands(similarity)
-    least = first[np.maximum(np.arange(len(first) - 1) - 1, 0)].astype(float)
-    bound = differing(similarity, first[1:] - 1).astype(float)
 
-    def filled(n: np.ndarray) -> np.ndarray:
-        empty = np.exp(-least / n)
-        return n * (1 - empty) - 3 * np.sqrt(np.maximum(0, n * (empty - (1 + least / n) * empty**2)))
+def coded(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STEPS, counts).astype(np.uint8)
 
-    low, high = bound + 1, np.ceil(1.5 * (bound + 1))
-    low = np.where(filled(low) > bound, low, low + 1)
-    for _ in range(64):
-        middle = np.floor((low + high) / 2)
-        enough = filled(middle) > bound
-        low, high = np.where(enough | (low >= high), low, middle + 1), np.where(enough & (low < high), middle, high)
-    return np.where(bound > 0, np.maximum(high, bound + 1), 1).astype(np.int64)
 
+def rare(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, code: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """Places of the elements by which rows can meet a similar one: the first of each row by (code, hash), without those of code 0, that no other document holds."""
+    live = np.bincount(row, code > 0, len(sizes)) >= needed(similarity, sizes)
+    at = np.flatnonzero(live[row])
+    at = at[np.lexsort((h[at], code[at], row[at]))]
+    begin = np.concatenate([[0], np.cumsum(np.where(live, sizes, 0))[:-1]])
+    rank = np.arange(len(at)) - begin[row[at]]
+    return at[(rank < (sizes - needed(similarity, sizes) + 1)[row[at]]) & (code[at] > 0)]
 
-def group_keys(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarray, similarity: Similarity, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the groups of the rows in use, in each row's own band and the next; the salt chooses the grouping.
 
-    A row that fills more than D groups leaves its empty ones out: with any similar row it agrees in a filled one.
-    Rows are worked through in slices, so that what is held between steps stays small.
+def tied(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, points: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) with the components of all pairs of one key whose count vectors allow similarity.
+
+    Each key's documents are a leaf of points: in round k the k-th of each key is held against those after it
+    that are not joined with it yet. Where all are near, the first round ends it.
     """
-    ends, begin, keys, rows = np.cumsum(sizes), 0, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    while begin < len(sizes):
-        low = int(ends[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, low + 60_000)))
-        part = slice(low, int(ends[end - 1]))
-        k, r = _keys_of_slice(h[part], row[part] - begin, sizes[begin:end], use[begin:end], similarity, salt)
-        keys.append(k)
-        rows.append(r + begin)
-        begin = end
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _keys_of_slice(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, use: np.ndarray, similarity: Similarity, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    first = bands(similarity)
-    keep = use[row]
-    h, row = h[keep], row[keep]
-    keys, rows = [], []
-    for ahead in (0, 1):
-        chosen = np.flatnonzero(use & (sizes > 0))
-        band = np.searchsorted(first, sizes[chosen], side="right") - 1 + ahead
-        bound, n_groups = differing(similarity, first[band + 1] - 1), group_counts(similarity)[band]
-        base, per_row = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
-        base[chosen], per_row[chosen] = np.cumsum(n_groups) - n_groups, n_groups
-        spread = mix64(h ^ np.uint64(salt)) & np.uint64(0xFFFFFFFF)
-        slot = base[row] + ((spread * per_row[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        mixed, total = mix64(h ^ np.uint64(0x5851F42D4C957F2D)), int(n_groups.sum())
-        low = np.bincount(slot, (mixed & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
-        high = np.bincount(slot, (mixed >> np.uint64(32)).astype(float), total).astype(np.uint64)
-        owner = np.repeat(np.arange(len(chosen)), n_groups)
-        number = np.arange(total) - (np.cumsum(n_groups) - n_groups)[owner]
-        full = np.bincount(slot, minlength=total) > 0
-        sent = full | (np.bincount(owner, full, len(chosen)) <= bound)[owner]
-        low, high, owner, number = low[sent], high[sent], owner[sent], number[sent]
-        keys.append(mix64(mix64(low + (high << np.uint64(32))) + mix64(band[owner].astype(np.uint64) * np.uint64(1_000_003) + number.astype(np.uint64))))
-        rows.append(chosen[owner])
-    return np.concatenate(keys), np.concatenate(rows)
+    num, den = similarity
+    order = np.lexsort((doc, sizes, key))
+    key, doc, sizes, points = key[order], doc[order], sizes[order], points[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(key)))
+    keep = np.repeat(length > 1, length)
+    key, doc, sizes, points = key[keep], doc[keep], sizes[keep], points[keep]
+    length = length[length > 1]
+    start = np.cumsum(length) - length
+    label, a, b, k = np.arange(len(key)), [], [], 0
+    while len(start):
+        mates = length - k - 1
+        pivot = np.repeat(start + k, mates)
+        at = np.arange(len(pivot)) - np.repeat(np.cumsum(mates) - mates, mates) + pivot + 1
+        # sizes ascend, so a mate too large for its pivot is left out first
+        open_ = (label[at] != label[pivot]) & (num * sizes[at] <= den * sizes[pivot])
+        at, pivot = at[open_], pivot[open_]
+        near = np.empty(len(at), bool)
+        for x in range(0, len(at), 100_000):
+            part = slice(x, x + 100_000)
+            common = STEPS[np.minimum(points[at[part]], points[pivot[part]])].sum(axis=1)
+            near[part] = common * (num + den) >= num * (sizes[at[part]] + sizes[pivot[part]])
+        at, pivot = at[near], pivot[near]
+        a.append(doc[at])
+        b.append(doc[pivot])
+        if len(at):
+            low, new_label = np.arange(len(label)), np.arange(len(label))
+            np.minimum.at(low, pivot, np.minimum(label[at], label[pivot]))
+            np.minimum.at(new_label, label[at], low[pivot])
+            np.minimum.at(new_label, label[pivot], low[pivot])
+            label = new_label[label]
+        k += 1
+        edges, padded = np.stack([start, start + length], axis=1).ravel(), np.append(label, 0)
+        joined_ = np.minimum.reduceat(padded, edges)[::2] == np.maximum.reduceat(padded, edges)[::2]
+        go = (length > k + 1) & ~joined_
+        start, length = start[go], length[go]
+    return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
 
 
 def firsts(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -236,7 +237,7 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], similarity: Similarity, ask:
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     whole = np.concatenate(sets)
-    points = np.bincount(owner * GROUPS + (whole % np.uint64(GROUPS)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    points = count_vectors(whole, owner, len(sets))
     tree, root = RTree(points, sizes), list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -257,9 +258,9 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], similarity: Similarity, ask:
     return np.array([find(i) for i in range(len(sets))], np.int64)
 
 
-def _cells(placed: DataFrame, similarity: Similarity, ask: bool = False) -> DataFrame:
-    """placed: (class, part, id, blob[, asks]). Links (a, b): a document and the smallest of its component in the cell."""
-    names = ["class", "part", "id", "blob"] + ["asks"] * ask
+def _cells(placed: DataFrame, similarity: Similarity, keys: tuple[str, ...] = ("class",), ask: bool = False) -> DataFrame:
+    """placed: (*keys, id, blob[, asks]), the keys name a cell. Links (a, b): a document and the smallest of its component in the cell."""
+    names = ["id", "blob"] + ["asks"] * ask
 
     def settle(ids: list[int], blobs: list[bytes], asks: list[bool]) -> pd.DataFrame:
         order = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -271,12 +272,13 @@ def _cells(placed: DataFrame, similarity: Similarity, ask: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         now, held = None, ([], [], [])
         for batch in batches:
+            cell = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
             columns = [batch.column(c).to_pylist() for c in names] + [[True] * batch.num_rows] * (not ask)
-            for c, p, i, blob, asks in zip(*columns, strict=True):
-                if (c, p) != now:
+            for key, i, blob, asks in zip(cell, *columns, strict=True):
+                if key != now:
                     if len(held[0]) > 1:
                         yield settle(*held)
-                    now, held = (c, p), ([], [], [])
+                    now, held = key, ([], [], [])
                 for x, y in zip(held, (i, blob, asks), strict=True):
                     x.append(y)
         if len(held[0]) > 1:
@@ -287,7 +289,7 @@ def _cells(placed: DataFrame, similarity: Similarity, ask: bool = False) -> Data
             if len(pdf):
                 yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    dealt = placed.select(*names).repartition(partitions(placed.sparkSession), "class", "part").sortWithinPartitions("class", "part")
+    dealt = placed.select(*keys, *names).repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(arrow, "a long, b long")
 
 
@@ -295,12 +297,16 @@ _LOOKED = "kind int, block long, place int, part int, a long, b long, n long, bl
 
 
 def _looked(blocks: DataFrame, n: int, similarity: Similarity) -> DataFrame:
-    """One pass over blocks with replies, written by kind. 0: a document (a: id, n: size of its set). 1: group keys that repeat, by part. 2: a candidate's set. 3: a link between equal sets."""
+    """One pass over blocks with counts, written by kind.
+
+    0: a document (a: id, n: size of its set). 1: keys with their documents, by part. 2: a candidate's set.
+    3: a link between equal sets. 4: a hot key (b) and its smallest document in the block. 5: a tie by a hot key in the block.
+    """
     parts = parts_of(blocks.sparkSession)
 
     def hashes(rows: pa.RecordBatch) -> np.ndarray:
-        h, row, sizes, ids, ok, first = _read(rows, n)
-        return group_keys(h, row, sizes, ok & (first == np.arange(len(first))), similarity)[0]
+        h, row, _, _, ok, first = _read(rows, n)
+        return mix64(h[(ok & (first == np.arange(len(first))))[row]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,31 +315,45 @@ def _looked(blocks: DataFrame, n: int, similarity: Similarity) -> DataFrame:
                 h, row, sizes, ids, ok, first = _read(rows, n)
                 place, null = np.arange(len(ids)), [None] * len(ids)
                 yield _rows(0, block, place, null, rows.column("doc_id").to_pylist(), null, sizes, null)
-                use = ok & (first == place)
-                keys, owner = group_keys(h, row, sizes, use, similarity)
-                again = repeated(keys, replies.as_py(), parts)
-                keys, owner = keys[again], owner[again]
-                cut, counts, blobs = _key_rows(keys, ids[owner], parts)
-                none = [None] * len(cut)
-                yield _rows(1, block, none, cut, none, none, counts, blobs)
-                chosen = np.unique(owner)
-                ends = np.cumsum(sizes)
-                none = [None] * len(chosen)
-                yield _rows(2, block, chosen, none, ids[chosen], none, sizes[chosen], [_set_bytes(h[ends[i] - sizes[i] : ends[i]]) for i in chosen])
+                used = (ok & (first == place))[row]
+                h, row = h[used], row[used]
+                code = counts_of(mix64(h), replies.as_py(), parts)
+                at = rare(h, row, np.where(first == place, sizes, 0), code, similarity)
+                chosen = np.unique(row[at])
+                mine = np.isin(row, chosen)
+                h_, sizes_ = h[mine], sizes[chosen]
+                points = coded(count_vectors(h_, np.repeat(np.arange(len(chosen)), sizes_), len(chosen)))
+                owner, key, hot = np.searchsorted(chosen, row[at]), h[at], (1 << code[at].astype(int)) > HOT
+                part, counts, blobs = _key_rows(key[~hot], owner[~hot], ids[chosen], sizes_, points, parts)
+                none = [None] * len(part)
+                yield _rows(1, block, none, part, none, none, counts, blobs)
+                none, ends = [None] * len(chosen), np.cumsum(sizes_)
+                yield _rows(2, block, chosen, none, ids[chosen], none, sizes_, [_set_bytes(h_[e - s : e]) for e, s in zip(ends, sizes_, strict=True)])
                 other = np.flatnonzero(ok & (first != place))
                 none = [None] * len(other)
                 yield _rows(3, block, none, none, ids[other], ids[first[other]], none, none)
-
-    return written_by_kind(with_repeats(blocks, hashes).mapInArrow(run, _LOOKED))
-
-
-def _key_rows(keys: np.ndarray, docs: np.ndarray, parts: int) -> tuple[list[int], list[int], list[bytes]]:
-    """Keys and their documents by part of the exchange: parts, counts, bytes."""
-    distinct, at, _ = _split(keys, parts)
+                key, doc = key[hot], ids[chosen][owner[hot]]
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+                none = [None] * len(new)
+                yield _rows(4, block, none, none, doc[new], key[new].astype(np.int64), none, none)
+                head = np.repeat(doc[new], np.diff(np.append(new, len(key)))) if len(key) else doc
+                a, b = _pairs(doc[doc != head], head[doc != head])
+                none = [None] * len(a)
+                yield _rows(5, block, none, none, a, b, none, none)
+
+    return written_by_kind(with_counts(blocks, hashes).mapInArrow(run, _LOOKED))
+
+
+def _key_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, parts: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Keys with id, size and point of their documents, by part of the exchange: parts, counts, bytes."""
+    distinct, at, _ = _split(mix64(keys), parts)
     order = np.argsort(at.ravel(), kind="stable")
-    whole, docs = distinct[at.ravel()[order]], docs[order]
+    whole, owner = distinct[at.ravel()[order]], owner[order]
     cut = list(_by_part(whole))
-    return [p for p, _, _ in cut], [b - a for _, a, b in cut], [_key_bytes(whole[a:b]) + docs[a:b].astype("<i8").tobytes() for _, a, b in cut]
+    pack = lambda a, b: b"".join([_key_bytes(whole[a:b]), ids[owner[a:b]].astype("<i8").tobytes(), sizes[owner[a:b]].astype("<i8").tobytes(), points[owner[a:b]].tobytes()])
+    return [p for p, _, _ in cut], [b - a for _, a, b in cut], [pack(a, b) for _, a, b in cut]
 
 
 def _read(rows: pa.RecordBatch, n: int):
@@ -351,54 +371,31 @@ def _rows(kind: int, block: int, place, part, a, b, n, blob) -> pa.RecordBatch:
 
 
 def written_by_kind(df: DataFrame) -> DataFrame:
-    import uuid
+    return written(df, "looked", by="kind")
 
-    from .common import shared_dir
 
-    path = f"{shared_dir(df.sparkSession)}/docloom/looked-{uuid.uuid4().hex}"
-    df.write.partitionBy("kind").parquet(path)
-    return df.sparkSession.read.schema(_LOOKED).parquet(path)
+def _ties(looked: DataFrame, similarity: Similarity) -> DataFrame:
+    """Links (a, b) whose classes hold all similar pairs: documents of one key whose count vectors allow similarity, and all of a hot key."""
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in runs(batches, "part", ("n", "blob")):
+            key, doc, size, point = [], [], [], []
+            for n, blob in rows:
+                key.append(_keys(blob[: 6 * n], part))
+                doc.append(np.frombuffer(blob, "<i8", n, 6 * n))
+                size.append(np.frombuffer(blob, "<i8", n, 14 * n))
+                point.append(np.frombuffer(blob, np.uint8, GROUPS * n, 22 * n).reshape(n, GROUPS))
+            a, b = tied(np.concatenate(key), np.concatenate(doc), np.concatenate(size), np.concatenate(point), similarity)
+            if len(a):
+                a, b = forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """keys: (part, n, blob), the group keys by part. Links (a, b) between documents that share a group: each with the group's smallest document, repeats dropped.
-
-    A document shares many groups with the same smallest document, in many parts of the exchange; so pairs
-    are packed by that document and meet once more before they become rows, a few to each document.
-    """
-    parts = parts_of(keys.sparkSession)
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, docs = [], []
-        for batch in batches:
-            for part, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
-                got.append(_keys(blob[: 6 * n], part))
-                docs.append(np.frombuffer(blob, "<i8", n, 6 * n))
-        if not got:
-            return
-        key, doc = np.concatenate(got), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        head = doc[np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))]
-        linked = doc != head
-        doc, head = _pairs(doc[linked], head[linked])
-        part = (mix64(head.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(order) else [0]
-        rows = [(int(part[order[x]]), y - x, head[order[x:y]].astype("<i8").tobytes() + doc[order[x:y]].astype("<i8").tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "n", "blob"])
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.frombuffer(blob, "<i8").reshape(2, -1) for batch in batches for blob in batch.column("blob").to_pylist()]
-        if got:
-            head, doc = np.concatenate(got, axis=1)
-            a, b = forest(*_pairs(doc, head))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    n = partitions(keys.sparkSession)
-    packed_pairs = keys.repartition(n, "part").mapInArrow(shared, "part int, n long, blob binary")
-    return packed_pairs.repartition(n, "part").mapInArrow(distinct, "a long, b long")
+    keys = looked.filter("kind = 1").select("part", "n", "blob")
+    near = keys.repartition(partitions(keys.sparkSession), "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
+    hot = looked.filter("kind = 4").select("a", "b")
+    heads = hot.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("head"))
+    over = hot.join(heads.hint("merge"), F.col("b") == F.col("key")).filter("a <> head").select("a", F.col("head").alias("b"))
+    return near.unionByName(over).unionByName(looked.filter("kind = 5").select("a", "b"))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,77 +406,102 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _again(placed: DataFrame, similarity: Similarity, salt: int) -> DataFrame:
-    """placed: (class, id, blob). (part, n, blob) of the keys of another grouping, in which only documents of one class can meet."""
-    parts = parts_of(placed.sparkSession)
+_TILED = "class long, tile long, id long, n long, blob binary, point binary"
+
+
+def _tiles(large: DataFrame) -> DataFrame:
+    """large: (class, id, n, blob). The same in tiles of at most CELL documents and WEIGHT elements, near in size and least element, with count vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        now, held, weight, number = None, 0, 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            tile, points = [], []
+            for own, n, blob in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "blob")), strict=True):
+                if now is not None and (own != now or held >= CELL or weight + n > WEIGHT):
+                    number, held, weight = number + 1, 0, 0
+                now, held, weight = own, held + 1, weight + n
+                tile.append(number)
+                points.append(coded(count_vectors(_set(blob), np.zeros(n, np.int64), 1)).tobytes())
+            columns = [batch.column("class"), pa.array(tile, pa.int64()), batch.column("id"), batch.column("n"), batch.column("blob"), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _TILED.split(", ")])
+
+    order = ["class", F.floor(F.log("n") * 10), F.substring("blob", 1, 6), "id"]
+    dealt = large.select("class", "id", "n", "blob").repartitionByRange(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(run, _TILED), "tiles")
+
+
+def _nodes(tiles: DataFrame) -> DataFrame:
+    """The upper levels of each large cell's R-tree: (class, node, number, least, corner), the tiles' smallest sizes and upper corners, FAN tiles to a node."""
+
+    def corner(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = np.max([np.frombuffer(p, np.uint8) for p in pdf["point"]], axis=0)
+        return pd.DataFrame({"class": pdf["class"][:1], "tile": pdf["tile"][:1], "least": [pdf["n"].min()], "corner": [top.tobytes()]})
+
+    each = tiles.select("class", "tile", "n", "point").groupBy("class", "tile").applyInPandas(corner, "class long, tile long, least long, corner binary")
+    node = F.col("tile") - F.pmod("tile", F.lit(FAN))
+    return each.groupBy("class", node.alias("node")).agg(F.collect_list(F.struct("tile", "least", "corner")).alias("tiles"))
+
+
+def _descended(asking: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+    """asking: (class, id, n, point). (class, tile, id) of the tiles whose corner allows similarity."""
+    num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs, at = batch.column("blob").to_pylist(), 0
-            ends = np.cumsum([len(b) // 6 for b in blobs])
-            while at < len(blobs):  # slices of rows, so that keys take little memory
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 300_000)))
-                sets = [_set(b) for b in blobs[at:end]]
-                sizes = np.array([len(x) for x in sets], np.int64)
-                ids, own = (np.array(batch.column(c).slice(at, end - at).to_pylist(), np.int64) for c in ("id", "class"))
-                keys, owner = group_keys(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, np.ones(len(sets), bool), similarity, salt)
-                part, n, blob = _key_rows(mix64(keys + mix64(own.astype(np.uint64))[owner]), ids[owner], parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["part", "n", "blob"])
-                at = end
-
-    return placed.select("class", "id", "blob").mapInArrow(run, "part int, n long, blob binary")
-
-
-def _refined(found: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
-    """found: (node, component). Classes over CELL documents are grouped again, until none is left or their documents fell by less than a tenth."""
-    before, salt = None, 0
-    while True:
-        large = written(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CELL), "large")
-        now = large.agg(F.sum("size").alias("n")).first()["n"] or 0
-        if not now or (before is not None and now > 0.9 * before):
-            return found
-        before, salt = now, salt + 1
-        inside = found.join(large.select("component").hint("merge"), "component")
-        placed = sets.join(inside.hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "id", "blob")
-        parted = components(_candidates(_again(placed, similarity, salt * 0x1E3779B97F4A7C15 % (1 << 63))))
-        found = written(found.join(large.select("component").hint("merge"), "component", "left_anti").select("node", "component").unionByName(parted), "refined")
+            out: list[tuple[int, int, int]] = []
+            for own, i, n, point, tiles in zip(*(batch.column(c).to_pylist() for c in ("class", "id", "n", "point", "tiles")), strict=True):
+                corners = STEPS[np.stack([np.frombuffer(t["corner"], np.uint8) for t in tiles])]
+                mine, least = STEPS[np.frombuffer(point, np.uint8)], np.array([t["least"] for t in tiles])
+                open_ = np.minimum(corners, mine).sum(axis=1) * (num + den) >= num * (n + least)
+                out += [(own, tiles[k]["tile"], i) for k in np.flatnonzero(open_)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["class", "tile", "id"])
+
+    return asking.join(nodes.hint("merge"), "class").select("class", "id", "n", "point", "tiles").mapInArrow(run, "class long, tile long, id long")
+
+
+def _large(large: DataFrame, similarity: Similarity) -> DataFrame:
+    """Links of the cells over CELL or WEIGHT: (class, id, n, blob)."""
+    tiles = _tiles(large)
+    heads = tiles.filter("id = class").select("class", "id", "blob").join(tiles.select("class", "tile").distinct().hint("merge"), "class")
+    inner = tiles.filter("id <> class").select("class", "tile", "id", "blob").unionByName(heads)
+    found = written(_cells(inner, similarity, ("class", "tile")), "tile-links")
+    roots = components(found).select(F.col("node").alias("id"), "component")
+    apart = tiles.join(roots.hint("merge"), "id", "left").filter(F.coalesce("component", "id") != F.col("class")).drop("component", "tile")
+    apart = written(apart, "apart")
+    if not apart.limit(1).count():
+        return found
+    asks = written(_descended(apart.select("class", "id", "n", "point"), _nodes(tiles), similarity), "asks")
+    pieces = asks.groupBy("class", "tile").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
+    dealt = asks.join(pieces.hint("merge"), ["class", "tile"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
+    asking = dealt.join(apart.select("id", "blob").hint("merge"), "id").withColumn("asks", F.lit(True))
+    there = tiles.join(pieces.hint("merge"), ["class", "tile"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    there = there.select("class", "tile", "piece", "id", "blob").withColumn("asks", F.lit(False))
+    return found.unionByName(_cells(asking.select(there.columns).unionByName(there), similarity, ("class", "tile", "piece"), ask=True))
 
 
 def links(looked: DataFrame, similarity: Similarity) -> DataFrame:
     """Links (a, b) with the components of all similar pairs."""
     sets = looked.filter("kind = 2").select(F.col("a").alias("id"), "n", "blob")
-    classes = _refined(components(_candidates(looked.filter("kind = 1").select("part", "n", "blob"))), sets, similarity)
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    # The classes grow with the input: they meet the sets by shuffle at every size, never as a broadcast.
-    placed = sets.join(classes.join(sizes, "component").hint("merge"), F.col("id") == F.col("node")).select(F.col("component").alias("class"), "size", "id", "n", "blob")
-    first = F.array(*[F.lit(int(x)) for x in bands(similarity)])
-    band = F.when(F.col("size") > CELL, F.size(F.filter(first, lambda x: x <= F.col("n")))).otherwise(0)
-    placed = written(placed.withColumn("band", band), "cells")
-    # Small classes are one part. Large ones have parts by band: similar sets stand in the same band or the next.
-    tiles = placed.filter(F.col("size") > CELL).groupBy("class", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
-    tiles = written(tiles, "tiles")
-    parts = tiles.select("class", F.col("band").alias("to"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    number = lambda band, piece: (F.col(band).cast("long") * F.lit(1 << 32) + piece).alias("part")
-    small = placed.filter(F.col("size") <= CELL).select("class", F.lit(0).cast("long").alias("part"), "id", "blob")
-    large = placed.filter(F.col("size") > CELL).join(tiles.hint("merge"), ["class", "band"]).select("class", "band", number("band", F.pmod(F.xxhash64("id"), F.col("pieces"))), "id", "blob")
-    heads = large.filter("id = class").join(parts.hint("merge"), "class").select("class", number("to", F.col("piece")), "id", "blob")
-    inner = small.unionByName(large.filter("id <> class").drop("band")).unionByName(heads)
-    found = written(_cells(inner, similarity), "cell-links")
-    if tiles.limit(1).count():
-        roots = components(found)
-        joined_ = large.join(roots.select(F.col("node").alias("id"), "component"), "id", "left")
-        apart = written(joined_.filter(F.coalesce("component", "id") != F.col("class")).drop("component"), "apart")
-        if apart.limit(1).count():
-            beside = apart.drop("part").join(parts.hint("merge"), "class").filter(F.abs(F.col("band") - F.col("to")) <= 1)
-            asking = beside.select("class", number("to", F.col("piece")), "id", "blob").withColumn("asks", F.lit(True))
-            there = large.join(apart.select("id").distinct(), "id", "left_anti").select("class", "part", "id", "blob").withColumn("asks", F.lit(False))
-            found = found.unionByName(_cells(asking.unionByName(there), similarity, ask=True))
-    return found.unionByName(looked.filter("kind = 3").select("a", "b"))
+    # Classes and sets grow with the input: they meet by shuffle at every size, never as a broadcast.
+    classes = components(_ties(looked, similarity)).hint("merge")
+    placed = written(sets.join(classes, F.col("id") == F.col("node")).select(F.col("component").alias("class"), "id", "n", "blob"), "cells")
+    over = placed.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).filter((F.col("rows") > CELL) | (F.col("weight") > WEIGHT))
+    over = written(over.select("class"), "large")
+    found = looked.filter("kind = 3").select("a", "b")
+    if not over.limit(1).count():
+        return found.unionByName(_cells(placed, similarity))
+    small = _cells(placed.join(over.hint("merge"), "class", "left_anti"), similarity)
+    return found.unionByName(small).unionByName(_large(placed.join(over.hint("merge"), "class", "left_semi"), similarity))
 
 
 def classes(docs: DataFrame, n: int = 5, similarity: Similarity = (8, 10), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    looked = _looked(packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes), n, similarity)
+    blocks = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
+    looked = _looked(blocks, n, similarity)
+    discard(blocks)
     found = components(links(looked, similarity))
     rows = looked.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return rows.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -223,32 +223,66 @@ def test_cells_over_their_size_lose_no_link(spark, monkeypatch):
     assert Counter(got) == Counter(brute_classes([(x[0], x[1]) for x in data], 3, 80, 100))
 
 
-def test_empty_groups_do_not_link_documents():
-    r = np.random.default_rng(3)
-    sets = [np.unique(r.integers(0, 1 << 48, 500, dtype=np.uint64)) for _ in range(300)]
+def keys_of(sets, similarity):
+    """For each set the elements by which it meets others, with counts over these sets."""
     sizes = np.array([len(x) for x in sets])
-    keys, owner = ngrams.group_keys(np.concatenate(sets), np.repeat(np.arange(300), sizes), sizes, np.ones(300, bool), (8, 10))
-    by = defaultdict(set)
-    for k, d in zip(keys.tolist(), owner.tolist(), strict=True):
-        by[k].add(d)
-    assert len(set().union(*[v for v in by.values() if len(v) > 1])) < 10
+    h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    chosen = ngrams.rare(h, row, sizes, np.ceil(np.log2(count))[at].astype(np.uint8), similarity)
+    return [set(h[chosen][row[chosen] == i].tolist()) for i in range(len(sets))]
+
+
+def test_unlike_sets_have_no_keys():
+    r = np.random.default_rng(3)
+    lines = [r.integers(0, 1 << 48, 20, dtype=np.uint64) for _ in range(5)]
+    sets = [np.unique(np.concatenate([r.integers(0, 1 << 48, 200, dtype=np.uint64), *(lines[i] for i in r.permutation(5)[:3])])) for _ in range(300)]
+    assert not any(keys_of(sets, (8, 10)))
 
 
 @pytest.mark.parametrize("similarity", [(8, 10), (9, 10), (5, 10)])
-def test_similar_sets_share_a_group(similarity):
+def test_similar_sets_share_a_key_and_their_bound_is_open(similarity):
     num, den = similarity
     r = np.random.default_rng(4)
-    for salt in (0, 12345):
-        for size in [*range(1, 40), *r.integers(40, 900, 60).tolist()]:
-            a = np.unique(r.integers(0, 1 << 48, size, dtype=np.uint64))
-            drop = len(a) - -(-len(a) * num // den) if size % 2 else 0
-            b = a[drop:] if drop else np.unique(np.concatenate([a[: len(a) - 2 * len(a) * (den - num) // (den + num) // 2], r.integers(0, 1 << 48, 2 * len(a) * (den - num) // (den + num) // 2, dtype=np.uint64)]))
-            common = len(np.intersect1d(a, b))
-            if common * den < num * (len(a) + len(b) - common):
-                continue
-            sizes = np.array([len(a), len(b)])
-            keys, owner = ngrams.group_keys(np.concatenate([a, b]), np.repeat([0, 1], sizes), sizes, np.ones(2, bool), similarity, salt)
-            assert set(keys[owner == 0]) & set(keys[owner == 1])
+    for size in [*range(1, 40), *r.integers(40, 900, 60).tolist()]:
+        a = np.unique(r.integers(0, 1 << 48, size, dtype=np.uint64))
+        drop = len(a) - -(-len(a) * num // den) if size % 2 else 0
+        b = a[drop:] if drop else np.unique(np.concatenate([a[: len(a) - 2 * len(a) * (den - num) // (den + num) // 2], r.integers(0, 1 << 48, 2 * len(a) * (den - num) // (den + num) // 2, dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if common * den < num * (len(a) + len(b) - common):
+            continue
+        one, two = keys_of([a, b, a[: len(a) // 2], r.permutation(b)[: len(b) // 3]], similarity)[:2]
+        assert one & two
+        points = ngrams.coded(np.concatenate([ngrams.count_vectors(x, np.zeros(len(x), np.int64), 1) for x in (a, b)]))
+        assert len(ngrams.tied(np.array([5, 5], np.uint64), np.array([1, 2]), np.array([len(a), len(b)]), points, similarity)[0])
+
+
+def test_ties_of_a_key_have_the_components_of_all_its_pairs():
+    r = np.random.default_rng(8)
+    key, doc, sizes, points = np.sort(r.integers(0, 40, 400)).astype(np.uint64), np.arange(400), r.integers(6, 30, 400), None
+    points = np.stack([np.bincount(r.integers(0, 6, n), minlength=ngrams.GROUPS) for n in sizes])
+    a, b = ngrams.tied(key, doc, sizes, ngrams.coded(points), (8, 10))
+    got = dict(zip(*ngrams.forest(a, b), strict=True))
+    near = [(i, j) for i in range(400) for j in range(i) if key[i] == key[j] and np.minimum(points[i], points[j]).sum() * 18 >= 8 * (sizes[i] + sizes[j])]
+    assert got == dict(zip(*ngrams.forest(*map(np.array, zip(*near, strict=True))), strict=True))
+
+
+def test_thousands_of_unlike_documents_with_common_lines(spark):
+    r = random.Random(7)
+    lines = [" ".join(f"line{i}w{k}" for k in range(r.randrange(6, 14))) for i in range(12)]
+    texts = []
+    for i in range(5_000):
+        own = [f"own{i}x{r.randrange(9)}" for _ in range(3 if i % 2 else 30)]
+        texts.append(" ".join([*r.sample(lines, r.randrange(1, 6)), *own]))
+    texts[7::500] = [f"{texts[3]} and {i}" for i in range(10)]
+    data = rows(texts)
+    got = {x.doc_id: x.component_id for x in ngrams.classes(table(spark, data), 5, (8, 10), block_bytes=60_000).collect()}
+    sets = [shingle_set(t, 5) for t in texts]
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        by[len(s)].append(i)
+    links = [(i, j) for i, s in enumerate(sets) for n in range(-(-len(s) * 8 // 10), len(s) + 1) for j in by[n] if j < i and 10 * (c := len(s & sets[j])) >= 8 * (len(s) + n - c)]
+    want = dict(zip(*(x.tolist() for x in ngrams.forest(*map(np.array, zip(*links, strict=True)))), strict=True))
+    assert got == {i: want.get(i, i) for i in range(5_000)}
 
 
 def test_large_classes_of_different_sizes_lose_no_link(spark, monkeypatch):
