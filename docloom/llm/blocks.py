@@ -18,6 +18,8 @@ from .common import partitions, written
 
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 20_000
+#: Counts in one byte: exact to 127, then rounded up.
+STEPS = np.concatenate([np.arange(128), np.ceil(127 * 1.12 ** np.arange(1, 129))]).astype(np.int64)
 Hashes = Callable[[pa.RecordBatch], np.ndarray]
 
 
@@ -103,38 +105,6 @@ def _by_part(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from ((int(part[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
-def with_repeats(blocks: DataFrame, hashes: Hashes) -> DataFrame:
-    """Adds replies to the blocks: for each part, a bit for each distinct key of the block that other blocks hold as well.
-
-    Each block sends its distinct hashes once, 6 bytes each, to the part that their bits name; what comes
-    back is a bit each. A hash that a third of all documents hold is one key of each block.
-    """
-    spark = blocks.sparkSession
-    parts = parts_of(spark)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                keys, _, _ = _split(hashes(unseal(data.as_py())), parts)
-                rows = [(p, _key_bytes(keys[a:b])) for p, a, b in _by_part(keys)]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([k for _, k in rows], pa.binary())], names=["part", "block", "keys"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys")), strict=True)]
-        if not got:
-            return
-        keys = [_keys(k, p) for p, _, k in got]
-        _, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        bits, ends = count[at] > 1, np.cumsum([len(k) for k in keys]).tolist()
-        packs = [np.packbits(bits[e - len(k) : e]).tobytes() for e, k in zip(ends, keys, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([b for _, b, _ in got], pa.int64()), pa.array([p for p, _, _ in got], pa.int32()), pa.array(packs, pa.binary())], names=["block", "part", "bits"])
-
-    sent = blocks.mapInArrow(send, "part int, block long, keys binary").repartition(partitions(spark), "part")
-    replies = sent.mapInArrow(meet, "block long, part int, bits binary").groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
-    # Replies grow with the input: they meet the blocks by shuffle at every size, never as a broadcast.
-    return blocks.join(replies.hint("merge"), "block", "left")
-
-
 def runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
     """(value, rows) of each run of equal values of the key, over sorted batches."""
     now, held = None, []
@@ -162,7 +132,7 @@ def with_counts(blocks: DataFrame, hashes: Hashes) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 keys, _, count = _split(hashes(unseal(data.as_py())), parts)
-                few = np.minimum(count, 255).astype(np.uint8)
+                few = np.searchsorted(STEPS, count).astype(np.uint8)
                 rows = [(p, _key_bytes(keys[a:b]), few[a:b].tobytes()) for p, a, b in _by_part(keys)]
                 columns = [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.binary()))]
                 yield pa.RecordBatch.from_arrays([columns[0], pa.array([block] * len(rows), pa.int64()), *columns[1:]], names=["part", "block", "keys", "counts"])
@@ -172,7 +142,7 @@ def with_counts(blocks: DataFrame, hashes: Hashes) -> DataFrame:
             key = np.concatenate([_keys(k, part) for _, k, _ in got])
             order = np.argsort(key)
             new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-            total = np.add.reduceat(np.frombuffer(b"".join(c for _, _, c in got), np.uint8)[order].astype(np.int64), np.flatnonzero(new))
+            total = np.add.reduceat(STEPS[np.frombuffer(b"".join(c for _, _, c in got), np.uint8)[order]], np.flatnonzero(new))
             code = np.empty(len(key), np.uint8)
             code[order] = np.minimum(15, np.ceil(np.log2(total))).astype(np.uint8)[np.cumsum(new) - 1]
             ends = np.cumsum([len(c) for _, _, c in got]).tolist()
@@ -201,17 +171,6 @@ def counts_of(hashes: np.ndarray, replies: list[dict] | None, parts: int) -> np.
     return codes[at.ravel()]
 
 
-def repeated(hashes: np.ndarray, replies: list[dict] | None, parts: int) -> np.ndarray:
-    """Whether each hash of a block stands in another block, or twice in this one."""
-    keys, at, count = _split(hashes, parts)
-    flags = count > 1
-    bits = {r["part"]: r["bits"] for r in replies or []}
-    for p, a, b in _by_part(keys):
-        if p in bits:
-            flags[a:b] |= np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
-    return flags[at.ravel()]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

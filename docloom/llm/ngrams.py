@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, _by_part, _key_bytes, _keys, _split, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
+from .blocks import BLOCK_BYTES, STEPS, _by_part, _key_bytes, _keys, _split, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
 from .common import discard, partitions, written
 from .components import components, forest
 
@@ -112,11 +112,8 @@ def count_vectors(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
 
 
-#: Codes of counts in one byte: exact to 127, then rounded up, so that bounds stay bounds.
-STEPS = np.concatenate([np.arange(128), np.ceil(127 * 1.12 ** np.arange(1, 129))]).astype(np.int64)
-
-
 def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte, rounded up where large, so that bounds stay bounds."""
     return np.searchsorted(STEPS, counts).astype(np.uint8)
 
 
@@ -468,7 +465,7 @@ def _large(large: DataFrame, similarity: Similarity) -> DataFrame:
     heads = tiles.filter("id = class").select("class", "id", "blob").join(tiles.select("class", "tile").distinct().hint("merge"), "class")
     inner = tiles.filter("id <> class").select("class", "tile", "id", "blob").unionByName(heads)
     found = written(_cells(inner, similarity, ("class", "tile")), "tile-links")
-    roots = components(found).select(F.col("node").alias("id"), "component")
+    roots = components(found, thin=False).select(F.col("node").alias("id"), "component")
     apart = tiles.join(roots.hint("merge"), "id", "left").filter(F.coalesce("component", "id") != F.col("class")).drop("component", "tile")
     apart = written(apart, "apart")
     if not apart.limit(1).count():
@@ -486,7 +483,7 @@ def links(looked: DataFrame, similarity: Similarity) -> DataFrame:
     """Links (a, b) with the components of all similar pairs."""
     sets = looked.filter("kind = 2").select(F.col("a").alias("id"), "n", "blob")
     # Classes and sets grow with the input: they meet by shuffle at every size, never as a broadcast.
-    classes = components(_ties(looked, similarity)).hint("merge")
+    classes = components(_ties(looked, similarity), thin=False).hint("merge")
     placed = written(sets.join(classes, F.col("id") == F.col("node")).select(F.col("component").alias("class"), "id", "n", "blob"), "cells")
     over = placed.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).filter((F.col("rows") > CELL) | (F.col("weight") > WEIGHT))
     over = written(over.select("class"), "large")
@@ -502,7 +499,7 @@ def classes(docs: DataFrame, n: int = 5, similarity: Similarity = (8, 10), block
     blocks = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
     looked = _looked(blocks, n, similarity)
     discard(blocks)
-    found = components(links(looked, similarity))
+    found = components(links(looked, similarity), thin=False)
     rows = looked.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return rows.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -511,7 +508,7 @@ def representatives(docs: DataFrame, n: int = 5, similarity: Similarity = (8, 10
     """The documents that stay: of each group of linked documents the one of smallest doc_id, all columns as they were."""
     blocks = packed(docs, block_bytes)
     looked = _looked(blocks, n, similarity)
-    found = components(links(looked, similarity)).filter("node <> component")
+    found = components(links(looked, similarity), thin=False).filter("node <> component")
     rows = looked.filter("kind = 0").select("block", "place", F.col("a").alias("node"))
     gone = rows.join(found, "node", "left_semi").groupBy("block").agg(F.collect_list("place").alias("gone"))
 

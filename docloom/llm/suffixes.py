@@ -1,16 +1,23 @@
-"""Suffix-array dedup of byte windows by depth-limited radix passes.
+"""Suffix-array dedup of byte windows by a depth-limited radix sort, most significant digits first.
 
 A byte goes when a ``width``-byte string over it also starts in a document of smaller doc_id. Suffixes need
-ordering only through ``width`` bytes, and only groups of equal prefixes matter, so the passes go by digits
-and drop what is alone. The first digit is a gram of ``GRAM`` bytes that every window picks from itself, the
-one of least hash: equal windows pick equal grams at equal places, so only picked suffixes take part. Pass 1
-deals grams to parts and drops those found once. Pass 2 sends the survivors with the bytes around them (all
-windows that could have picked the gram lie within) and groups whole surroundings; where a gram has several,
-pass 3 refines each window by the digit left of the gram and pass 4 by the digit right of it. What is equal
-after the last pass is exactly the repeated windows.
-
-A gram that very many documents hold is cut down before it travels: within a block, equal surroundings are
-settled on the spot and only those of the smallest doc_id are sent.
+ordering only through ``width`` bytes, and only groups of equal prefixes matter, so each pass sorts by a
+further digit and drops what is alone. Every window picks a gram of ``GRAM`` bytes from itself, the one of
+least hash: equal windows pick equal grams at equal places, so only suffixes at picked grams take part, and a
+window is the gram's digit with bytes right of it and bytes left of it.
+
+1. Blocks exchange hashes of the picked grams and learn how often each stands; grams that stand once go.
+2. Survivors travel to their gram's part with the bytes around them. There the digits of the gram, eight bytes
+   a pass, group them by the bytes themselves; then eight bytes a pass of what stands right and left settle
+   whole surroundings; what is still open is sorted byte by byte, right of the gram and left of it, and the
+   groups at depth j to the right and ``width - GRAM - j`` to the left are the repeated windows.
+3. Grams found more than ``HOT`` times are not sent to one part. Their passes are Spark groupings by ranges of
+   windows: the bytes that a range has in common are its digit, a range that is alone goes, the others are
+   halved until each is one whole window. Each grouping adds up before its shuffle and its join back may be split.
+
+Hashes only choose grams and parts; windows count as equal by their bytes. Within a block, equal surroundings
+are settled on the spot and only those of the smallest doc_id are sent; equal surroundings of one document
+that follow each other closely (runs of a byte, short periods) are one row.
 
 Defined cases: a null or empty text has no windows and nothing removed; texts under ``width`` bytes neither;
 rows with one doc_id never take from each other; a null doc_id counts as larger than all others; an empty
@@ -20,7 +27,6 @@ worked through in stretches.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_BYTES, mix64, packed, parts_of, repeated, texts, unseal, with_repeats
-from .common import partitions
+from .blocks import BLOCK_BYTES, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
+from .common import partitions, written
 
 WIDTH = 50
 GRAM = 20
 STRETCH = 1 << 20
+#: Places of one gram that one task sorts, a power of two; and places whose surroundings are looked at together.
+HOT = 4_096
+SLICE = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LAST = 2**63 - 1
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if n not in _cache:
@@ -124,35 +135,116 @@ def least_of(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     return least[group]
 
 
-def refine(around: np.ndarray, left: np.ndarray, right: np.ndarray, gram_group: np.ndarray, doc: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, window) of the windows that also stand in a row of smaller doc; window j covers bytes j to j + width of the surroundings."""
-    side = width - gram
-    up, down = powers(STRETCH + WIDTH)
-    values = (around.astype(np.uint64) + np.uint64(1)) * up[: around.shape[1]]
-    sums = np.concatenate([np.zeros((len(values), 1), np.uint64), np.cumsum(values, axis=1, dtype=np.uint64)], axis=1)
-    window = np.arange(side + 1)
-    row, j = np.nonzero((window[None, :] >= side - left[:, None]) & (window[None, :] <= right[:, None]))
-    digit = mix64((sums[row, side] - sums[row, j]) * down[j])
-    group = groups(gram_group[row], j, digit)
-    several = np.bincount(group)[group] > 1
-    row, j, group = row[several], j[several], group[several]
-    group = groups(group, mix64(sums[row, width + j] - sums[row, width]))
-    covered = doc[row] > least_of(group, doc[row])
-    return row[covered], j[covered]
+def by_digits(group: np.ndarray, doc: np.ndarray, digits: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Radix passes: groups divided by one digit after the other. Rows without another document in their group drop out; returns the rows left and their groups."""
+    left = np.arange(len(group))
+    for digit in (None, *digits):
+        if digit is not None:
+            group = groups(group, digit[left])
+        most = -least_of(group, -doc[left])
+        stays = least_of(group, doc[left]) < most
+        left, group = left[stays], group[stays]
+    return left, group
 
 
-_SENT = "part int, block long, settled boolean, n int, data binary"
+def words(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as digits of eight bytes, first bytes first."""
+    whole = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    whole[:, : rows.shape[1]] = rows
+    return list(whole.view(">u8").astype(np.uint64).T)
 
 
-def _dense(n: int, *arrays: np.ndarray) -> bytes:
+def _divided(group: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return np.unique(group * 256 + byte, return_inverse=True)[1].ravel()
+
+
+def refine(around: np.ndarray, left: np.ndarray, right: np.ndarray, gram_group: np.ndarray, doc: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of the windows that also stand in a row of smaller doc; window j covers bytes j to j + width of the surroundings."""
+    side, n = width - gram, len(doc)
+    after, before = [gram_group.astype(np.int64)], [np.zeros(n, np.int64)]
+    for d in range(side):
+        after.append(_divided(after[-1], around[:, side + gram + d]))
+        before.append(_divided(before[-1], around[:, side - 1 - d]))
+    rows, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for j in range(side + 1):
+        ok = np.flatnonzero((side - j <= left) & (j <= right))
+        group = np.unique(after[j][ok] * n + before[side - j][ok], return_inverse=True)[1].ravel()
+        covered = ok[doc[ok] > least_of(group, doc[ok])]
+        rows.append(covered)
+        windows.append(np.full(len(covered), j))
+    return np.concatenate(rows), np.concatenate(windows)
+
+
+_SENT = "kind int, part int, block long, n int, data binary"
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+_NAMES = ["kind", "part", "block", "n", "data"]
+SETTLED, OPEN, OFTEN = 0, 1, 2
+
+
+def _dense(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _surroundings(repeats: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
-    """From blocks with replies: the repeated grams' surroundings by part, and what the block itself could settle."""
+class Places:
+    """Places of grams with what stands around them: rows of doc, place, run (from the first to the last place that the row stands for), left and right (bytes at hand), around."""
+
+    def __init__(self, doc, place, run, left, right, around):
+        self.doc, self.place, self.run, self.left, self.right, self.around = doc, place, run, left, right, around
+
+    def __getitem__(self, at) -> Places:
+        return Places(*(x[at] for x in (self.doc, self.place, self.run, self.left, self.right, self.around)))
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def packed(self) -> bytes:
+        return _dense(self.doc, self.place, self.run, self.left.astype(np.uint8), self.right.astype(np.uint8), self.around)
+
+    @classmethod
+    def of(cls, n: int, data: bytes, size: int) -> Places:
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        doc, place, run = (np.frombuffer(raw, "<i8", n, 8 * n * i) for i in range(3))
+        left, right = (np.frombuffer(raw, np.uint8, n, 24 * n + n * i).astype(np.int64) for i in range(2))
+        return cls(doc, place, run, left, right, np.frombuffer(raw, np.uint8, n * size, 26 * n).reshape(n, size))
+
+    def equal(self, hashes: np.ndarray) -> np.ndarray:
+        """Groups of equal surroundings: found by hash, and told apart by bytes where hashes agree by chance."""
+        group = groups(hashes, _hash_rows(self.around), self.left * 256 + self.right)
+        _, first = np.unique(group, return_index=True)
+        other = np.flatnonzero((self.around != self.around[first[group]]).any(axis=1))
+        group[other] = len(group) + np.arange(len(other))
+        return np.unique(group, return_inverse=True)[1].ravel()
+
+
+def look_around(raw: np.ndarray, ends: np.ndarray, place: np.ndarray, hashes: np.ndarray, ids: np.ndarray, width: int, gram: int) -> tuple[Places, np.ndarray]:
+    """The surroundings of places, and the gram's hash of each row. Slice by slice, equal ones of one document at most a window apart become one row."""
     side = width - gram
+    size = 2 * side + gram
+    padded = np.concatenate([np.zeros(side, np.uint8), raw, np.zeros(side, np.uint8)])
+    step, found, kept = np.arange(size)[None, :], [], []
+    for x in range(0, len(place), SLICE):
+        at = place[x : x + SLICE]
+        owner = np.searchsorted(ends, at, side="right") - 1
+        left, right = np.minimum(side, at - ends[owner]), np.minimum(side, ends[owner + 1] - at - gram)
+        around = np.lib.stride_tricks.sliding_window_view(padded, size)[at]
+        around[(step < side - left[:, None]) | (step >= side + gram + right[:, None])] = 0
+        rows = Places(ids[owner], at, np.zeros(len(at), np.int64), left, right, around)
+        same = groups(rows.equal(hashes[x : x + SLICE]), owner)
+        order = np.argsort(same, kind="stable")
+        new = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (np.diff(at[order]) > width)])
+        first, last = order[new], order[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
+        rows.run[first] = at[last] - at[first]
+        found.append(rows[first])
+        kept.append(hashes[x : x + SLICE][first])
+    return Places(*(np.concatenate([getattr(r, c) for r in found]) for c in ("doc", "place", "run", "left", "right", "around"))), np.concatenate(kept)
+
+
+def _surroundings(counted: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
+    """From blocks with counts: what the block itself settles, the other repeated grams' surroundings by part, and those of grams found often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,115 +252,153 @@ def _surroundings(repeats: DataFrame, parts: int, width: int, gram: int) -> Data
                 rows = unseal(data.as_py())
                 raw, ends = texts(rows)
                 place, hashes = picked(raw, ends, width, gram)
-                again = repeated(hashes, replies.as_py(), parts)
-                place, hashes = place[again], hashes[again]
+                code = counts_of(hashes, replies.as_py(), parts)
+                place, hashes, code = place[code > 0], hashes[code > 0], code[code > 0]
                 if not len(place):
                     continue
-                owner = np.searchsorted(ends, place, side="right") - 1
-                doc = np.array([_LAST if d is None else d for d in rows.column("doc_id").to_pylist()], np.int64)[owner]
-                left = np.minimum(side, place - ends[owner])
-                right = np.minimum(side, ends[owner + 1] - place - gram)
-                around = np.concatenate([np.zeros(side, np.uint8), raw, np.zeros(side, np.uint8)])[place[:, None] + np.arange(2 * side + gram)[None, :]]
-                step = np.arange(2 * side + gram)[None, :]
-                around[(step < side - left[:, None]) | (step >= side + gram + right[:, None])] = 0
-                group = groups(hashes, _hash_rows(around), left * 256 + right)
-                settled = doc > least_of(group, doc)
-                a, b = merged(place[settled] - left[settled], place[settled] + gram + right[settled])
+                ids = np.array([_LAST if d is None else d for d in rows.column("doc_id").to_pylist()], np.int64)
+                code_of, at = np.unique(hashes, return_index=True)
+                code = code[at]
+                found, hashes = look_around(raw, ends, place, hashes, ids, width, gram)
+                often = (1 << code[np.searchsorted(code_of, hashes)].astype(int)) > HOT
+                settled = found.doc > least_of(found.equal(hashes), found.doc)
+                done = found[settled]
+                a, b = merged(done.place - done.left, done.place + done.run + gram + done.right)
+                out = [(SETTLED, block % parts, block, len(a), _dense(a, b))] if len(a) else []
+                if len(more := found[often & ~settled]):
+                    out += [(OFTEN, block % parts, block, len(more), more.packed())]
                 part = ((hashes & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
-                out = [(block % parts, block, True, len(a), _dense(len(a), a, b))] if len(a) else []
-                keep = np.flatnonzero(~settled)
+                keep = np.flatnonzero(~settled & ~often)
                 keep = keep[np.argsort(part[keep], kind="stable")]
                 edges = np.flatnonzero(np.concatenate([[True], part[keep][1:] != part[keep][:-1], [True]])) if len(keep) else [0]
-                for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    k = keep[x:y]
-                    out.append((int(part[k[0]]), block, False, len(k), _dense(len(k), hashes[k], doc[k], place[k], left[k].astype(np.uint8), right[k].astype(np.uint8), around[k])))
-                kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "settled", "n", "data"])
+                out += [(OPEN, int(part[keep[x]]), block, y - x, found[keep[x:y]].packed()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], names=_NAMES)
 
-    return repeats.mapInArrow(run, _SENT).repartition(partitions(repeats.sparkSession), "part")
+    return counted.mapInArrow(run, _SENT).repartition(partitions(counted.sparkSession), "part")
 
 
-def _covered(sent: DataFrame, width: int, gram: int) -> DataFrame:
-    """(block, n, data): stretches of each block's bytes to remove, as starts and ends."""
+def _by_block(block: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(block, kind="stable")
+    block, start, end = block[order], start[order], end[order]
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
+    out = []
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        a, b = merged(start[x:y], end[x:y])
+        out.append((SETTLED, None, int(block[x]), len(a), _dense(a, b)))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], names=_NAMES)
+
+
+def settle(held: list[tuple[int, int, bytes]], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """held: (block, n, data) of a part. (block, start, end) of the stretches to remove."""
     side = width - gram
-    size = 2 * side + gram
+    each = [Places.of(n, data, 2 * side + gram) for _, n, data in held]
+    rows = Places(*(np.concatenate([getattr(r, c) for r in each]) for c in ("doc", "place", "run", "left", "right", "around")))
+    block = np.repeat([b for b, _, _ in held], [n for _, n, _ in held])
+    # Digits of the gram: rows left share all its bytes with another document.
+    left, gram_group = by_digits(np.zeros(len(rows), np.int64), rows.doc, iter(words(rows.around[:, side : side + gram])))
+    rows, block = rows[left], block[left]
+    # Digits right and left of it: rows left have their whole surroundings in another document.
+    both = np.concatenate([rows.around[:, side + gram :], rows.around[:, :side][:, ::-1]], axis=1)
+    whole, same = by_digits(groups(gram_group, rows.left * 256 + rows.right), rows.doc, iter(words(both)))
+    covered = np.zeros(len(rows), bool)
+    covered[whole] = rows.doc[whole] > least_of(same, rows.doc[whole])
+    done = rows[covered]
+    found = [(block[covered], done.place - done.left, done.place + done.run + gram + done.right)]
+    # What is open meets byte by byte, unless the whole surroundings are all that the gram has.
+    kind = len(rows) + np.arange(len(rows))
+    kind[whole] = same
+    open_ = np.flatnonzero(~covered)
+    varied = np.zeros(int(gram_group.max()) + 1 if len(rows) else 0, np.int64)
+    _, first = np.unique(kind[open_], return_index=True)
+    np.add.at(varied, gram_group[open_[first]], 1)
+    open_ = open_[varied[gram_group[open_]] > 1]
+    open_ = open_[np.argsort(gram_group[open_], kind="stable")]
+    at = 0
+    while at < len(open_):  # grams go in turns
+        end = min(len(open_), at + 40_000)
+        end = int(np.searchsorted(gram_group[open_], gram_group[open_[end - 1]], side="right"))
+        k = open_[at:end]
+        row, j = refine(rows.around[k], rows.left[k], rows.right[k], gram_group[k], rows.doc[k], width, gram)
+        start = rows.place[k[row]] - side + j
+        found.append((block[k[row]], start, start + rows.run[k[row]] + width))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def by_block(block: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(block, kind="stable")
-        block, start, end = block[order], start[order], end[order]
-        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
-        out = []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            a, b = merged(start[x:y], end[x:y])
-            out.append((int(block[x]), len(a), _dense(len(a), a, b)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "n", "data"])
-
-    def settle(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        fields: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for block, n, data in held:
-            raw = zstandard.ZstdDecompressor().decompress(data)
-            at = 0
-            for i, (kind, width_) in enumerate((("<u8", 8), ("<i8", 8), ("<i8", 8), ("u1", 1), ("u1", 1))):
-                fields[i].append(np.frombuffer(raw, kind, n, at))
-                at += width_ * n
-            fields[5].append(np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size))
-            fields[6].append(np.full(n, block, np.int64))
-        hashes, doc, place, left, right, around, block = (np.concatenate(f) for f in fields)
-        left, right = left.astype(np.int64), right.astype(np.int64)
-        whole = _hash_rows(around)
-        same = groups(hashes, whole, left * 256 + right)
-        covered = doc > least_of(same, doc)
-        found = [(block[covered], place[covered] - left[covered], place[covered] + gram + right[covered])]
-        open_ = np.flatnonzero(~covered)
-        gram_group = groups(hashes[open_])
-        distinct = np.zeros(int(gram_group.max()) + 1 if len(open_) else 0, np.int64)
-        _, first = np.unique(same[open_], return_index=True)
-        np.add.at(distinct, gram_group[first], 1)
-        more = distinct[gram_group] > 1
-        open_, gram_group = open_[more], gram_group[more]
-        # The refinement holds about width - gram windows a row; rows of one gram stay together, grams go in turns.
-        order = np.argsort(gram_group, kind="stable")
-        open_, gram_group = open_[order], gram_group[order]
-        at = 0
-        while at < len(open_):
-            end = min(len(open_), at + 40_000)
-            end = int(np.searchsorted(gram_group, gram_group[end - 1], side="right"))
-            k = open_[at:end]
-            row, j = refine(around[k], left[k], right[k], gram_group[at:end], doc[k], width, gram)
-            start = place[k[row]] - side + j
-            found.append((block[k[row]], start, start + width))
-            at = end
-        yield from by_block(*(np.concatenate(x) for x in zip(*found, strict=True)))
+def _covered(sent: DataFrame, width: int, gram: int) -> DataFrame:
+    """Stretches of each block's bytes to remove, as starts and ends (kind SETTLED), and the rows of grams found often as they came, written by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        passed: list[pa.RecordBatch] = []
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_open = pa.compute.equal(batch.column("kind"), OPEN)
+                passed.append(batch.filter(pa.compute.invert(is_open)))
+                yield batch.filter(is_open)
+
+        for _, held in runs(opened(), "part", ("block", "n", "data")):
+            yield from passed
+            passed.clear()
+            yield from _by_block(*settle(held, width, gram))
+        yield from passed
+
+    return written(sent.sortWithinPartitions("part").mapInArrow(run, _SENT), "spans", by="kind")
+
+
+_OFTEN = "block long, doc long, place long, run long, left int, right int, around binary"
+
+
+def _often(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """rows: those of grams found often, in packs. (kind, part, block, n, data): their stretches to remove.
+
+    A row stands for the windows lo to hi of its surroundings; bytes hi to lo + width are common to them. In each
+    pass rows without another document at these bytes go and the ranges of the others are halved.
+    """
+    side = width - gram
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, settled, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "settled", "n", "data")), strict=True):
-                if settled:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["block", "n", "data"])
-                    continue
-                if part != now and held:
-                    yield from settle(held)
-                    held = []
-                now = part
-                held.append((block, n, data))
-        if held:
-            yield from settle(held)
+            for block, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "data")), strict=True):
+                p = Places.of(n, data, 2 * side + gram)
+                columns = [np.full(n, block), p.doc, p.place, p.run, p.left.astype(np.int32), p.right.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x.tobytes() for x in p.around], pa.binary())], names=[c.split()[0] for c in _OFTEN.split(", ")])
+
+    now = rows.mapInArrow(unpack, _OFTEN).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
+    open_ = side + 1
+    while open_ > 1:
+        open_ = -(-open_ // 2)
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))
+        ranges = F.explode(F.when(F.col("hi") > F.col("lo"), halves).otherwise(F.array(F.struct("lo", "hi"))))
+        now = now.withColumn("range", ranges).withColumns({"lo": F.col("range.lo"), "hi": F.col("range.hi")}).drop("range", "least", "key")
+        now = now.filter(F.greatest(F.col("lo"), side - F.col("left")) <= F.least("hi", "right"))
+        now = now.withColumn("key", F.substring("around", F.col("hi") + 1, F.col("lo") + width - F.col("hi")))
+        shared = now.groupBy("lo", "hi", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+        now = written(now.join(shared.hint("merge"), ["lo", "hi", "key"]), "often")
+    start = F.col("place") - side + F.col("lo")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _by_block(*(batch.column(c).to_numpy() for c in ("block", "start", "end")))
 
-    return sent.sortWithinPartitions("part").mapInArrow(run, "block long, n int, data binary")
+    return now.filter("doc > least").select("block", start.alias("start"), (start + F.col("run") + width).alias("end")).mapInArrow(pack, _SENT)
 
 
-def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs with n_bytes, n_removed, n_spans (runs of removed bytes) and kept (the bytes left), in columns named with two leading underscores."""
+def _marked(docs: DataFrame, width: int, gram: int, block_bytes: int, whole_signs: bool) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): each row of docs, as a struct, with what goes and what is left of its bytes. whole_signs: UTF-8 sequences cut in two go wholly from kept."""
     spark = docs.sparkSession
     blocks = packed(docs, block_bytes)
     parts = parts_of(spark)
-    sent = _surroundings(with_repeats(blocks, lambda rows: picked(*texts(rows), width, gram)[1]), parts, width, gram)
-    spans = _covered(sent, width, gram).groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("spans"))
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__n_{c}", T.LongType()) for c in ("bytes", "removed", "spans")], T.StructField("__kept", T.BinaryType())])
+    counted = with_counts(blocks, lambda rows: picked(*texts(rows), width, gram)[1])
+    found = _covered(_surroundings(counted, parts, width, gram), width, gram)
+    spans, often = found.filter(f"kind = {SETTLED}"), found.filter(f"kind = {OFTEN}")
+    if often.limit(1).count():
+        spans = spans.unionByName(_often(often, width, gram))
+    spans = spans.groupBy("block").agg(F.collect_list("data").alias("spans"))
+    counts = ("n_bytes", "n_removed", "n_spans")
+    schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(c, T.LongType()) for c in counts], T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -279,7 +409,7 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes:
                 raw, ends = texts(rows)
                 change = np.zeros(len(raw) + 1, np.int32)
                 for span in spans.as_py() or []:
-                    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(span["data"]), np.int64).reshape(2, -1)
+                    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(span), np.int64).reshape(2, -1)
                     np.add.at(change, both[0], 1)
                     np.add.at(change, both[1], -1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -288,27 +418,38 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes:
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if n := int(total[b] - total[a]):
                         mask = gone[a:b]
-                        out.append((b - a, n, int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()), raw[a:b][~mask].tobytes()))
+                        spans_ = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
+                        if whole_signs:
+                            sign = np.cumsum((raw[a:b] & 0xC0) != 0x80)
+                            mask = np.bincount(sign, mask)[sign] > 0
+                        out.append((b - a, n, spans_, raw[a:b][~mask].tobytes()))
                     else:
                         out.append((b - a, 0, 0, raw[a:b].tobytes()))
                 added = zip(*out, strict=True) if out else ([], [], [], [])
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c, t) for c, t in zip(added, kinds, strict=True)]], names=schema.names)
+                row = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
+                yield pa.RecordBatch.from_arrays([row, *[pa.array(c, t) for c, t in zip(added, kinds, strict=True)]], names=schema.names)
+
+    return blocks.join(spans.hint("merge"), "block", "left").mapInArrow(run, schema)
 
-    return blocks.join(spans, "block", "left").mapInArrow(run, schema)
+
+def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): each row of docs as a struct, its bytes, the bytes that go, their runs, and the bytes left."""
+    return _marked(docs, width, gram, block_bytes, False)
 
 
 def digests(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes=block_bytes)
-    return out.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def trimmed_rows(docs: DataFrame) -> DataFrame:
+def trimmed_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with their texts cut to what is kept; a character cut in two goes. n_chars follows the text where it is a column."""
-    out = removed(docs)
-    text = F.when(F.col("__n_removed") > 0, F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
-    cut = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _marked(docs, WIDTH, GRAM, block_bytes, True)
+    cut, text = F.col("n_removed") > 0, F.col("kept").cast("string")
+    fields = {f.name: F.col("row").getField(f.name) for f in docs.schema}
+    fields["text"] = F.when(cut, text).otherwise(fields["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return out.select(*[c.alias(name) for name, c in fields.items()])

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from docloom.llm import ans, bpe, licenses, mixing, ngrams, sharding, suffixes
 from docloom.llm.queries import vocabulary_path
+from pyspark.sql import functions as F
 
 from ..conftest import MIDDLE
 from .support import none, odd, odd_rows, rows, table
@@ -146,12 +147,52 @@ def test_suffixes_on_odd_and_periodic_texts(spark):
     assert suffixes.digests(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("often", [False, True])
+def test_suffixes_of_grams_in_very_many_surroundings(spark, monkeypatch, often):
+    """A phrase of 20 bytes and a line of 60 in thousands of distinct surroundings, with and without the passes for frequent grams."""
+    monkeypatch.setattr(suffixes, "HOT", 64 if often else 1 << 40)
+    r = random.Random(12)
+    phrase, line = "phrase of 20 bytes!!", "a line of sixty bytes that a third of all documents hold ok."
+    made = [f"{r.randrange(10**9):030d}{r.choice([phrase, line, line + phrase])}{r.randrange(10**12):035d}" for _ in range(20_000)]
+    made += [made[r.randrange(20_000)][r.randrange(20) :] for _ in range(300)]
+    data = rows(made)
+    got = [tuple(x) for x in suffixes.digests(table(spark, data), block_bytes=200_000).collect()]
+    assert Counter(got) == Counter(brute_suffixes([(x[0], x[1]) for x in data]))
+
+
+def test_suffixes_of_long_runs_and_periods(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 700)
+    texts = ["=" * 4000, "=" * 70 + "x", "ab" * 900, "b" + "ab" * 300 + "c", "abc" * 500, "z" + "=" * 49, "z" + "=" * 50 + "ab" * 25]
+    data = rows(texts + texts[::-1])
+    for often in (64, 4096):
+        monkeypatch.setattr(suffixes, "HOT", often)
+        got = [tuple(x) for x in suffixes.digests(table(spark, data), block_bytes=3_000).collect()]
+        assert Counter(got) == Counter(brute_suffixes([(x[0], x[1]) for x in data]))
+
+
+def test_digits_drop_rows_that_are_alone():
+    key = [b"aaaaaaaaxx", b"aaaaaaaaxx", b"aaaaaaaayy", b"aaaaaaaayy", b"bbbbbbbbxx"]
+    left, group = suffixes.by_digits(np.zeros(5, np.int64), np.array([1, 2, 3, 3, 1]), iter(suffixes.words(np.array([list(k) for k in key], np.uint8))))
+    assert left.tolist() == [0, 1] and group[0] == group[1]
+
+
 def test_trimmed_rows_keep_the_columns(spark):
     passage = "this passage is long enough to be found again in another document, word for word"
-    df = table(spark, rows([passage + " one", "two é " + passage]))
+    df = table(spark, rows([passage + " one", "two é \ufffd " + passage]))
+    names = {"__kept": "a", "__n_removed": 3, "row": "r", "kept": b"k", "n_removed": 9, "spans": 1}
+    for c, v in names.items():
+        df = df.withColumn(c, F.lit(v))
     out = {r.doc_id: r for r in suffixes.trimmed_rows(df).collect()}
     assert suffixes.trimmed_rows(df).columns == df.columns
-    assert out[0].text == passage + " one" and out[1].text == "two é " and out[1].n_chars == 6 and out[1]["class"] == "c"
+    assert out[0].text == passage + " one" and out[1].text == "two é \ufffd " and out[1].n_chars == 8 and out[1]["class"] == "c"
+    assert all(x[c] == v for x in out.values() for c, v in names.items())
+
+
+def test_a_character_cut_in_two_goes(spark):
+    tail = "".join(chr(0x4E00 + i) for i in range(30))
+    df = table(spark, rows(["\u4e8c" + tail, "\u4ecc" + tail + " end", "\u4ec0" + tail]))
+    out = {r.doc_id: r.text for r in suffixes.trimmed_rows(df).collect()}
+    assert out == {0: "\u4e8c" + tail, 1: " end", 2: "\u4ec0"}
 
 
 # N-gram join
