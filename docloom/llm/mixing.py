@@ -114,12 +114,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
 def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The mixed documents themselves, each row as often as the mix takes it, with the columns of docs."""
     _, sources = plan(docs, weights, cap)
-    sources = written(sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns]), "sources")
-    keyed = docs.withColumn("__id_key", source_key()).withColumn("__h", draw())
-    joined = keyed.join(F.broadcast(sources) if _few(sources) else sources, F.col("__id_key") == F.col("__key"))
-    n = (F.col("__passes") + (F.col("__h") < F.col("__below")).cast("long")).cast("int")
-    repeated = F.explode(F.array_repeat(F.lit(True), n)).alias("__copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop("__copy")
+    sources = written(sources, "sources")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key().alias("key"), draw().alias("h"))
+    joined = keyed.join(F.broadcast(sources) if _few(sources) else sources, "key")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(True), copies().cast("int")))).select("row.*")
 
 
 ORACLE = r"""

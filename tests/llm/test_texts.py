@@ -410,6 +410,18 @@ def test_rising_budgets_are_nested(spark):
     assert kept[0] < kept[1] < kept[2]
 
 
+def test_mixed_rows_keep_clashing_columns(spark):
+    df = table(spark, rows([f"some words of text {i}" for i in range(60)]))
+    names = {"__h": 5, "__key": "x", "__id_key": 1, "__passes": 2, "__below": 3, "row": "r", "below": 4, "col": "c"}
+    for c, v in names.items():
+        df = df.withColumn(c, F.lit(v))
+    out = mixing.mix_rows(df)
+    got = out.collect()
+    assert out.columns == df.columns and len(got) > 30 and all(r[c] == v for r in got for c, v in names.items())
+    taken = Counter(r.doc_id for r in got)
+    assert all(taken[r.doc_id] * r["size"] == r.taken for r in mixing.mix(df).collect())
+
+
 def test_mixed_rows_repeat(spark):
     df = odd(spark)
     want = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(df).collect()}

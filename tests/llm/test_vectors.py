@@ -85,19 +85,56 @@ def brute_links(data, threshold=0.98):
 @pytest.mark.parametrize("shard_rows", [10_000, 30])
 def test_near_duplicates(spark, shard_rows):
     data = vectors(seed=4)
-    got = hnsw.near_duplicates(spark.createDataFrame(data, SCHEMA), shard_rows=shard_rows)
-    assert Counter(map(tuple, got.collect())) == Counter(brute_links(data))
+    got = hnsw.near_duplicates(spark.createDataFrame(data, SCHEMA), shard_rows=shard_rows).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(brute_links(data))
+    assert all(r.recall is None or r.recall >= 0.98 for r in got) and any(r.recall for r in got)
     assert hnsw.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_the_graph_finds_what_brute_force_finds():
-    r = np.random.default_rng(9)
-    centres = r.normal(size=(500, 32))
-    x = centres[r.integers(500, size=6000)] + 0.07 * r.normal(size=(6000, 32))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    truth = (x @ x.T >= 0.98).sum()
-    found = sum(len(q) for q, _ in hnsw.neighbours(hnsw.Graph(x), x, 0.98, 24))
-    assert truth * 0.95 <= found <= truth
+def spread(n, per, seed=9, dim=32, noise=0.07):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(max(1, n // per), dim))
+    x = centres[r.integers(len(centres), size=n)] + noise * r.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("n", "per"), [(50, 5), (50, 50), (600, 3), (5000, 12), (5000, 2), (5000, 2500)])
+def test_the_graph_finds_what_brute_force_finds(n, per):
+    """Groups of 50 and of 5,000, sparse and dense: the graph is searched at every size, and no point counts as its own link."""
+    x = spread(n, per)
+    truth = x @ x.T >= 0.98
+    np.fill_diagonal(truth, False)
+    _, links, root, recall = hnsw.linked_within(x, np.ones(n, np.int64), 0.98, 24)
+    want, have = truth.sum(axis=1), truth.any(axis=1)
+    assert (links <= want).all() and recall >= 0.98
+    assert (links[have] / want[have]).mean() >= 0.95
+    assert links.sum() % 2 == 0  # a pair counts for both ends
+
+
+def test_every_point_finds_itself():
+    x = spread(3000, 6)
+    seen = np.concatenate([q[q == row] for _, q, row in hnsw.neighbours(hnsw.Graph(x), x, 0.98, 24)])
+    assert len(np.unique(seen)) >= 2950
+
+
+@pytest.mark.parametrize("shard_rows", [10_000, 700])
+def test_recall_of_the_whole_table(spark, shard_rows):
+    x = spread(4000, 4, seed=3)
+    data = [(int(i), v.tolist(), 0, 0, "d", "v") for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame(data, SCHEMA), shard_rows=shard_rows).collect()}
+    kept = np.array([v.astype(np.float32) for v in x], np.float64)
+    kept /= np.linalg.norm(kept, axis=1)[:, None]
+    truth = (kept @ kept.T >= 0.98).sum(axis=1) - 1
+    links = np.array([got[i] for i in range(4000)])
+    assert (links <= truth).all() and links.sum() >= 0.95 * truth.sum()
+
+
+@pytest.mark.parametrize("shard_rows", [10_000, 2])
+def test_rows_that_share_a_vec_id(spark, shard_rows):
+    near = lambda e: [1.0, float(e), 0.0]
+    data = [(1, near(0), 1), (1, near(0), 1), (2, near(0.01), 1), (3, [0.0, 1.0, 0.0], 1), (3, near(0.02), 1), (4, [0.0, 1.0, 0.01], 1), (5, near(0), 2)]
+    got = hnsw.near_duplicates(spark.createDataFrame([(*x, 0, "d", "v") for x in data], SCHEMA), shard_rows=shard_rows)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 1, 1, False), (4, 1, 1, False), (5, 0, 5, True)])
 
 
 def test_components(spark):
