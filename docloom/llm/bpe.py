@@ -227,34 +227,36 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        ids = list(encode_texts(batch.column("__text").to_pylist(), pieces_of(path)))
+        columns = [batch.column(c) for c in keep]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...], ids: str = "ids") -> Iterator[pa.RecordBatch]:
+    token = vocabulary(path).bytes.__getitem__
+    for batch in slices(batches):
+        texts = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") if x else "" for x in batch.column(ids).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "decoded"])
+
+
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_tokens, and ids: the whole text's ids as little-endian 32-bit integers."""
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = list(encode_texts(batch.column("__text").to_pylist(), pieces_of(path)))
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
-
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(lambda batches: _encoded(batches, path, keep), schema)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
     """The kept columns and decoded: the bytes of all ids, read as UTF-8 with U+FFFD for what is not."""
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("decoded", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).bytes.__getitem__
-        for batch in slices(batches):
-            texts = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") if x else "" for x in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=schema.names)
-
-    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)
+    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(lambda batches: _decoded(batches, path, keep, "__ids"), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, and SHA-256 of its ids and of the text decoded from them."""
-    back = decode(encode(docs, path), path)
+    """Per document: doc_id, n_tokens, and SHA-256 of its ids and of the text decoded from them. Each slice of rows is encoded and decoded by one Python worker."""
+    keep = ("doc_id", "n_tokens", "ids")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    back = docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(lambda batches: _decoded(_encoded(batches, path, ("doc_id",)), path, keep), schema)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
