@@ -376,6 +376,7 @@ def _often(rows: DataFrame, width: int, gram: int) -> DataFrame:
         now = now.filter(F.greatest(F.col("lo"), side - F.col("left")) <= F.least("hi", "right"))
         now = now.withColumn("key", F.substring("around", F.col("hi") + 1, F.col("lo") + width - F.col("hi")))
         shared = now.groupBy("lo", "hi", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+        shared = written(shared, "shared")  # read anew, so that Spark may split a key that very many rows hold
         now = written(now.join(shared.hint("merge"), ["lo", "hi", "key"]), "often")
     start = F.col("place") - side + F.col("lo")
 
