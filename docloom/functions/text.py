@@ -124,3 +124,14 @@ def table_html(rows: Column) -> Column:
     cells = lambda r: F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), escaped(c), F.lit("</td>"))), "")
     body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr>"), cells(r), F.lit("</tr>"))), "")
     return F.concat(F.lit("<table>"), body, F.lit("</table>"))
+
+
+def cut_to_tokens(text: Column, most: int) -> Column:
+    """The text up to and with its ``most``-th wide character; other characters cost nothing, so a text with fewer stays whole."""
+    parts = F.split(text, rf"(?<=[{WIDE}])", most + 1)
+    return F.when(F.lit(most) <= 0, F.lit("")).when(F.size(parts) > most, F.array_join(F.slice(parts, 1, max(most, 0)), "")).otherwise(text)
+
+
+def strings_in(text: Column) -> Column:
+    """The strings of the first JSON list in free text; an empty array if there is none."""
+    return F.coalesce(F.from_json(F.regexp_extract(text, r"(?s)(\[.*?\])", 1), "array<string>"), F.array().cast("array<string>"))

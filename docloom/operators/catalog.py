@@ -61,10 +61,11 @@ def tree(nodes: DataFrame, root: str = "") -> DataFrame:
     spark = nodes.sparkSession
     nodes.select("code", F.coalesce("parent", F.lit(root)).alias("parent"), "sort").createOrReplaceTempView("__tree_nodes")
     return spark.sql(
-        f"""WITH RECURSIVE t(code, depth, path) AS (
-              SELECT code, 0, code FROM __tree_nodes WHERE parent = '{root}'
+        """WITH RECURSIVE t(code, depth, path) AS (
+              SELECT code, 0, code FROM __tree_nodes WHERE parent = :root
               UNION ALL SELECT n.code, t.depth + 1, concat(t.path, '/', n.code) FROM t JOIN __tree_nodes n ON n.parent = t.code)
-            SELECT code, depth, path FROM t"""
+            SELECT code, depth, path FROM t""",
+        args={"root": root},
     )
 
 

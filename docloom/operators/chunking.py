@@ -48,25 +48,21 @@ def sliding(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     return kept.select("doc_id", "chunk_index", "start_offset", F.substr("text", F.col("start_offset") + 1, F.lit(size)).alias("content"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, sentence): ends are full-width stops, or a Latin stop before a line break."""
+def sentences(docs: DataFrame, flat: bool = True) -> DataFrame:
+    """(doc_id, position, sentence), or not flat (doc_id, sentences): ends are full-width stops, or a Latin stop before a line break."""
     marked = F.regexp_replace("text", "([。！？；]|[.!?]\n)", "$1\u0001")
     trimmed = F.transform(F.split(marked, "\u0001"), lambda s: F.regexp_replace(s, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
-    return docs.select("doc_id", F.posexplode(F.filter(trimmed, lambda s: s != "")).alias("position", "sentence"))
+    found = F.filter(trimmed, lambda s: s != "")
+    return docs.select("doc_id", F.posexplode(found).alias("position", "sentence")) if flat else docs.select("doc_id", found.alias("sentences"))
 
 
 def sentence_windows(docs: DataFrame, reach: int = 3) -> DataFrame:
-    """Each sentence with the sentences up to ``reach`` before and after it."""
-    order = W.partitionBy("doc_id").orderBy("position")
-    near = order.rowsBetween(-reach, reach)
-    return sentences(docs).select(
-        "doc_id",
-        "position",
-        "sentence",
-        F.min("position").over(near).alias("window_start"),
-        (F.max("position").over(near) + 1).alias("window_end"),
-        F.array_join(F.collect_list("sentence").over(near), " ").alias("window_content"),
-    )
+    """Each sentence with the sentences up to ``reach`` before and after it, cut from the row's own array: no exchange."""
+    lists = sentences(docs, False)
+    n, i = F.size("sentences"), F.col("position")
+    start, end = F.greatest(i - reach, F.lit(0)), F.least(i + reach + 1, n)
+    each = lists.select("doc_id", "sentences", F.posexplode("sentences").alias("position", "sentence"))
+    return each.select("doc_id", "position", "sentence", start.alias("window_start"), end.alias("window_end"), F.array_join(F.slice("sentences", start + 1, end - start), " ").alias("window_content"))
 
 
 def _folded(docs: DataFrame, chunks_of: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
@@ -123,33 +119,63 @@ def weight(text: str) -> int:
     return int(1.5 * cjk + (alnum - cjk) / 4 + 0.5 * (len(text) - alnum))
 
 
-def semantic(docs: DataFrame, most: int = 512, overlap: int = 200, shortest: int = 10) -> DataFrame:
+# Words after which a blank or a quotation mark ends a sentence.
+CONNECTORS = ["但是", "然而", "不过", "而且", "并且", "同时", "此外", "另外", "因此", "所以", "于是", "因为", "虽然", "尽管"]
+_SENTENCE_END = re.compile(rf"[。！？；.!?]|(?:{'|'.join(CONNECTORS)})(?=[\s\"”])")
+
+
+def semantic(docs: DataFrame, most: int = 512, overlap: int = 200, least: int = 30, shortest: int = 10, longest: int = 10_000) -> DataFrame:
     """Sentences packed to ``most`` estimated tokens; the sentences that fit in ``overlap`` tokens begin the next chunk.
 
-    Short sentences join the one before. Every sentence is in a chunk: the walk over sentences never skips any.
+    Sentences end at stops and after connecting words. Short ones join the one before; those over ``longest``
+    characters are halved, at a comma where one follows. A chunk under ``least`` tokens joins the one before,
+    up to half more than ``most``. Every sentence is in a chunk: the walk over sentences never skips any.
     """
 
+    def halved(s: str) -> Iterator[str]:
+        if len(s) <= longest:
+            yield s
+            return
+        at = len(s) // 2
+        comma = s.find("，", at)
+        at = comma + 1 if at // 2 < comma < len(s) - 1 else at
+        yield from halved(s[:at])
+        yield from halved(s[at:])
+
     def chunks_of(text: str) -> Iterator[tuple]:
         parts: list[str] = []
-        for s in re.findall(r"[^。！？；.!?]*[。！？；.!?]|[^。！？；.!?]+", text):
+        ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+        for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
+            s = text[a:b]
+            if not s:
+                continue
             if len(s.strip()) < shortest and parts:
                 parts[-1] += s
             else:
                 parts.append(s)
+        parts = [x for p in parts for x in halved(p)]
         weights = [weight(p) for p in parts]
-        index = begin = 0
+        spans: list[tuple[int, int]] = []
+        begin = 0
         while begin < len(parts):
             end, total = begin + 1, weights[begin]
             while end < len(parts) and total + weights[end] <= most:
                 total, end = total + weights[end], end + 1
-            yield index, "".join(parts[begin:end]).strip(), end - begin
+            # only what the chunk before lacks counts as new
+            fresh = max(begin, spans[-1][1]) if spans else begin
+            if spans and sum(weights[fresh:end]) < least and sum(weights[spans[-1][0] : end]) <= 1.5 * most:
+                spans[-1] = (spans[-1][0], end)
+            else:
+                spans.append((begin, end))
             if end == len(parts):
-                return
-            index, back, again = index + 1, 0, end
+                break
+            back, again = 0, end
             while again - 1 > begin and back + weights[again - 1] <= overlap:
                 again -= 1
                 back += weights[again]
             begin = again
+        for index, (begin, end) in enumerate(spans):
+            yield index, "".join(parts[begin:end]).strip(), end - begin
 
     return _folded(docs, chunks_of, "doc_id long, chunk_index int, content string, sentence_count int")
 
@@ -197,30 +223,49 @@ def windowed(docs: DataFrame, parent_tokens: int = 512, reach: int = 3) -> DataF
     return _folded(docs, chunks_of, "doc_id long, chunk_index int, level string, parent_index int, content string, window_content string, position int, sibling_count int")
 
 
-# Strategy and its size by document type.
-BY_TYPE = {"MARKDOWN": "structural", "HTML": "structural", "PDF_STRUCTURED": "structural", "DOCX": "structural", "CODE": "fixed", "JSON": "fixed", "CSV": "fixed", "XLSX": "fixed"}
-
-
-def intelligent(docs: DataFrame, default: str = "semantic") -> DataFrame:
-    """Each document by the strategy of its detected type; (doc_id, strategy, chunk_index, content)."""
+# By document type the strategy, the chunk size, and the longest and shortest paragraph.
+BY_TYPE = {
+    "MARKDOWN": ("structural", 300, 3000, 150),
+    "HTML": ("structural", 300, 2000, 200),
+    "PDF_STRUCTURED": ("structural", 300, 2500, 150),
+    "PDF_TEXT": ("semantic", 200, 512, 50),
+    "DOCX": ("structural", 300, 3000, 150),
+    "PPTX": ("structural", 400, 2000, 200),
+    "XLSX": ("fixed", 500, 0, 0),
+    "CODE": ("fixed", 300, 50, 0),
+    "JSON": ("fixed", 500, 0, 0),
+    "CSV": ("fixed", 400, 0, 0),
+    "PLAIN_TEXT": ("semantic", 512, 512, 50),
+}
+
+
+def options_of(doc_type: str) -> tuple[str, dict[str, int]]:
+    """The strategy of a document type and its options, from the chunk size: a fifth overlaps, a quarter are the most tokens, a tenth the least, a twentieth overlaps in tokens."""
+    strategy, size, longest, shortest = BY_TYPE.get(doc_type, BY_TYPE["PLAIN_TEXT"])
+    if strategy == "fixed":
+        return strategy, {"size": size, "overlap": size // 5}
+    if strategy == "structural":
+        return strategy, {"least": shortest, "most": longest}
+    return strategy, {"most": size // 4, "least": size // 10, "overlap": size // 20}
+
+
+def intelligent(docs: DataFrame) -> DataFrame:
+    """Each document by the strategy and options of its detected type; (doc_id, strategy, chunk_index, content). The type is told once and the documents are read once a group of types with the same options."""
     from .detection import content_type
 
-    kind = content_type(F.col("text"))
-    typed = docs.select("doc_id", "text", _chosen(kind, default).alias("strategy"))
+    typed = docs.select("doc_id", "text", content_type(F.col("text")).alias("kind"))
+    alike: dict[tuple, list[str]] = {}
+    for kind in BY_TYPE:
+        strategy, options = options_of(kind)
+        alike.setdefault((strategy, *options.items()), []).append(kind)
     out = None
-    for name in dict.fromkeys([*BY_TYPE.values(), default]):
-        part = STRATEGIES[name](typed.filter(F.col("strategy") == name)).select("doc_id", F.lit(name).alias("strategy"), "chunk_index", "content")
+    for (strategy, *options), kinds in alike.items():
+        mine = F.coalesce("kind", F.lit("PLAIN_TEXT")).isin(kinds) | (F.lit("PLAIN_TEXT" in kinds) & ~F.col("kind").isin(*BY_TYPE))
+        part = STRATEGIES[strategy](typed.filter(mine), **dict(options)).select("doc_id", F.lit(strategy).alias("strategy"), "chunk_index", "content")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _chosen(kind, default: str):
-    out = F.lit(default)
-    for doc_type, strategy in BY_TYPE.items():
-        out = F.when(kind == doc_type, F.lit(strategy)).otherwise(out)
-    return out
-
-
 #: Strategies by name; add your own function of (doc_id, text) to extend it.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"fixed": fixed, "sliding": sliding, "structural": structural, "semantic": semantic, "swa": windowed}
 

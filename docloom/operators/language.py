@@ -45,6 +45,11 @@ def intent(text: Column) -> Column:
     return out.otherwise("KNOWLEDGE_QA")
 
 
+def is_knowledge_qa(intent_: Column) -> Column:
+    """As needs_retrieval, and what could not be told as well."""
+    return needs_retrieval(intent_) | (intent_ == "UNKNOWN")
+
+
 def needs_retrieval(intent_: Column) -> Column:
     return intent_.isin("KNOWLEDGE_QA", "PRECISE_SEARCH", "SUMMARY")
 
@@ -53,18 +58,46 @@ class RejectedSql(ValueError):
     """A statement that the guard does not let through."""
 
 
+def tables_read(spark: SparkSession, statement: str) -> set[str]:
+    """The tables that a pure query names, by Spark's parser and before anything runs. CTE names count only where their WITH holds; anything but a query is refused."""
+    named = spark._jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    refused = [named(logical + c) for c in ("Command", "ParsedStatement", "ScriptTransformation")]
+    found: set[str] = set()
+
+    def each(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def walk(plan, scope: frozenset[str]) -> None:
+        kind = plan.getClass().getSimpleName()
+        if any(c.isInstance(plan) for c in refused):
+            raise RejectedSql(f"only queries, not {kind}")
+        if kind == "UnresolvedRelation":
+            parts = [str(x).lower() for x in each(plan.multipartIdentifier())]
+            if len(parts) > 1 or parts[0] not in scope:
+                found.add(".".join(parts))
+        if kind == "UnresolvedWith":
+            for relation in each(plan.cteRelations()):
+                name = str(relation._1()).lower()
+                walk(relation._2(), scope | {name} if plan.allowRecursion() else scope)
+                scope = scope | {name}
+        for inner in [*each(plan.children()), *each(plan.subqueries())]:
+            walk(inner, scope)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement), frozenset())
+    return found
+
+
 def guarded_sql(spark: SparkSession, statement: str, tables: set[str] | None = None, max_rows: int = 100) -> DataFrame:
-    """Runs one read-only SELECT or WITH. ``tables``: all that it may read, checked on Spark's parsed plan, so comma joins count and CTE names do not."""
+    """Runs one read-only SELECT or WITH, after its parsed plan has passed: only query nodes, and only ``tables`` where they are given."""
     bare = statement.strip()
     if re.search(r";|--|/\*", bare):
         raise RejectedSql("one statement without comments")
     if not re.match(r"(?i)(select|with)\b", bare) or re.search(r"(?i)\binto\s+(outfile|dumpfile)\b", bare):
         raise RejectedSql("only SELECT and WITH")
-    df = spark.sql(bare)
-    if tables is not None:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare).toString()
-        ctes = {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s+(?:recursive\s+)?(\w+)\s*(?:\([^)]*\))?\s+as\s*\(", bare)}
-        used = {m.split(",")[0].strip().lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed)}
-        if extra := used - {t.lower() for t in tables} - ctes:
-            raise RejectedSql(f"not allowed: {', '.join(sorted(extra))}")
-    return df.limit(max_rows)
+    if re.search(r"(?i)\b(reflect|try_reflect|java_method)\s*\(", bare):
+        raise RejectedSql("no calls into the virtual machine")
+    used = tables_read(spark, bare)
+    if tables is not None and (extra := used - {t.lower() for t in tables}):
+        raise RejectedSql(f"not allowed: {', '.join(sorted(extra))}")
+    return spark.sql(bare).limit(max_rows)

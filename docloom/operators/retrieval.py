@@ -6,6 +6,10 @@ Every operator takes all queries at once. Ranking keeps the best k of each query
 
 from __future__ import annotations
 
+import difflib
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ POOL = 20
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
 K1, B = 1.2, 0.75
+#: Query terms up to which they are sent to the scan of the rows; beyond, tokens meet them by shuffle.
+FEW_TERMS = 100_000
 
 
 def ranked(df: DataFrame, by: Column, k: int | None, id_col: str = "chunk_id", name: str = "rank") -> DataFrame:
@@ -53,6 +59,8 @@ def bm25_topk(rows: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     tokens = rows.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     wanted = asked.select("term").distinct()
+    if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        wanted = F.broadcast(wanted)
     postings = tokens.select("chunk_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
@@ -157,3 +165,86 @@ def golden_hits(rows: DataFrame, golden: DataFrame, edge: int = 60) -> DataFrame
     grams = F.array_union(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " "))), F.transform("w", lambda x: F.xxhash64(x)))
     met = words.select("chunk_id", F.explode(F.array_distinct(grams)).alias("key")).join(F.broadcast(keyed.select("item_id", "edge", "key")) if golden.count() <= 10_000 else keyed.select("item_id", "edge", "key"), "key").select("chunk_id", "item_id", "edge").distinct()
     return met.join(rows, "chunk_id").filter(F.contains("content", F.col("edge"))).select("chunk_id", "item_id").distinct()
+
+
+def search_with_rerank(rows: DataFrame, queries: DataFrame, scores: DataFrame | None = None, k: int = 10, pool: int = POOL, strict_limit: bool = True) -> DataFrame:
+    """A vector pool, reordered by a model's scores (query_id, chunk_id, new_score). Without scores the pool stays as it is, cut to k only if strict_limit."""
+    hits = vector_topk(rows, queries, pool)
+    if scores is None:
+        plain = hits.withColumn("relevance", F.col("score"))
+        return plain.filter(F.col("rank") <= k) if strict_limit else plain
+    return rerank_scores(hits, scores, k)
+
+
+def hierarchical(leaves: DataFrame, hits: DataFrame, k: int = POOL) -> DataFrame:
+    """hits: (query_id, chunk_id, score), 3 * k a query at best; leaves: (chunk_id, parent, siblings, level, content, window_content).
+
+    Leaves whose parents are hit often enough become the parent (2 * k stay); single leaves take their window; best k.
+    """
+    known = hits.select("query_id", "chunk_id", "score").join(leaves, "chunk_id")
+    merged = auto_merge(known.select("query_id", "chunk_id", "parent", "siblings", "score", "content"), k=2 * k).drop("rank")
+    windows = merged.join(leaves.select("chunk_id", "level", "window_content"), "chunk_id", "left")
+    expanded = expand_window(windows)
+    return ranked(expanded.select("query_id", "chunk_id", "score", "content", "merged_from", "window_applied"), F.col("score"), k)
+
+
+def route(candidates: dict[str, DataFrame], strategy: str, scores: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """The candidates of the strategy ("hierarchical" or "hybrid", which is also taken for any other name), all of them reordered by the scores if given, then the best k."""
+    hits = candidates["hierarchical" if strategy == "hierarchical" and "hierarchical" in candidates else "hybrid"].select("query_id", "chunk_id", "score")
+    if scores is None:
+        return ranked(hits.withColumn("relevance", F.col("score")), F.col("score"), k)
+    return rerank_scores(hits, scores, k)
+
+
+def understood(messages: DataFrame, rules: list) -> DataFrame:
+    """messages: (query_id, message, condensed, expansions). (query_id, query, steps): each step falls back to the one before; what a model gave is a column, null where it failed."""
+    from .language import map_terms
+
+    said = F.coalesce(F.nullif(F.trim("condensed"), F.lit("")), F.col("message"))
+    mapped = map_terms(said, rules)
+    more = F.coalesce("expansions", F.array().cast("array<string>"))
+    steps = F.concat(F.when(F.nullif(F.trim("condensed"), F.lit("")).isNotNull(), F.array(F.lit("condense"))).otherwise(F.array().cast("array<string>")), F.when(mapped != said, F.array(F.lit("map"))).otherwise(F.array().cast("array<string>")), F.when(F.size(more) > 0, F.array(F.lit("expand"))).otherwise(F.array().cast("array<string>")))
+    return messages.select("query_id", F.concat_ws(" ", mapped, more).alias("query"), steps.alias("steps"))
+
+
+def retrieval_context(messages: DataFrame, rules: list, rows: DataFrame, vectors: DataFrame, asked: DataFrame, k: int = 5, budget: int = 4000) -> DataFrame:
+    """The whole path of a message: understood, searched both ways, reordered by cosine, cut to the budget. (query_id, steps, sources, context); a message without sources has none and an empty context.
+
+    rows: (chunk_id, content); vectors: (chunk_id, vector); asked: (query_id, vector).
+    """
+    queries = understood(messages, rules)
+    hits = rrf(vector_topk(vectors, asked, POOL), bm25_topk(rows, queries, POOL))
+    best = rerank_cosine(hits.drop("rank"), vectors, asked, k)
+    kept = context_budget(best.join(rows.select("chunk_id", F.coalesce("content", F.lit("")).alias("content")), "chunk_id"), budget)
+    found = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("sources")).join(context_text(kept), "query_id")
+    return queries.select("query_id", "steps").join(found, "query_id", "left").select("query_id", F.when(F.col("sources").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(F.lit("retrieve")))).alias("steps"), F.coalesce("sources", F.array()).alias("sources"), F.coalesce("context", F.lit("")).alias("context"))
+
+
+def knowledge_action(hits: DataFrame) -> DataFrame:
+    """The answer of the knowledge action: every hit (query_id, rank, chunk_id, content) as a line [id] content, best first."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content")))
+    lines = F.transform(ordered, lambda x: F.concat(F.lit("["), x["chunk_id"].cast("string"), F.lit("] "), F.coalesce(x["content"], F.lit(""))))
+    return hits.groupBy("query_id").agg(F.array_join(lines, "\n").alias("answer"))
+
+
+def passage_matches(rows: DataFrame, golden: DataFrame, threshold: float = 0.75, shortest: int = 20) -> DataFrame:
+    """rows: (chunk_id, content); golden: (item_id, passage). Pairs of texts alike by the ratio of matching characters, ignoring case; passages under ``shortest`` characters match nothing.
+
+    The ratio is 2 m / (a + b) with m matching characters, so lengths a and b allow it only within bounds and m
+    is at most what their letter counts share: both are tested on lengths and counts before a text is compared.
+    """
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    most = threshold / (2 - threshold)  # the shorter one's least share of the longer one
+    step = -math.log(most)
+    band = lambda n: F.floor(F.log(n) / step).cast("int")
+    asked = golden.filter(F.length("passage") >= shortest).select("item_id", F.lower("passage").alias("p")).withColumn("band", F.explode(F.array(*[band(F.length("p")) + F.lit(d) for d in (-1, 0, 1)])))
+    texts = rows.filter(F.length("content") > 0).select("chunk_id", F.lower("content").alias("c")).withColumn("band", band(F.length("c")))
+    near = texts.join(asked, "band").filter(F.least(F.length("p"), F.length("c")) * 2 >= threshold * (F.length("p") + F.length("c")))
+    return near.filter(alike(F.col("p"), F.col("c"))).select("chunk_id", "item_id")

@@ -56,7 +56,7 @@ def kpi_delta(events: DataFrame) -> DataFrame:
 
 
 def performance(events: DataFrame, slow: float = 20.0) -> DataFrame:
-    """By mode: mean, success, error, empty and slow rates, and a health verdict."""
+    """By mode: mean, empty and slow rates, and a health verdict by the slow rate."""
     rates = events.groupBy(F.col("event_type").alias("mode")).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("value"), 9).alias("mean_value"),
@@ -99,3 +99,52 @@ def trailing_runs(events: DataFrame, least: int = 3) -> DataFrame:
     cut = marked.groupBy("user_id", "action").agg(F.max(F.when(F.col("event_type") != F.col("action"), F.col("event_id"))).alias("other"))
     after = events.select("user_id", "event_id").join(cut, "user_id").filter(F.col("other").isNull() | (F.col("event_id") > F.col("other")))
     return after.groupBy("user_id", "action").agg(F.count(F.lit(1)).alias("run_length")).withColumn("is_loop", F.col("run_length") >= least)
+
+
+def performance_report(events: DataFrame, by: str, slow: float = 20.0) -> DataFrame:
+    """By ``by``: mean, p95 (nearest rank), success, error, empty and slow rates in percent, the health verdict and the first insight that holds."""
+    base = events.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("value"), 9).alias("mean_value"),
+        _rate(F.count_if(~_failed())).alias("success_rate"),
+        _rate(F.count_if(_failed())).alias("error_rate"),
+        _rate(F.count_if(F.col("value") <= 0)).alias("empty_rate"),
+        _rate(F.count_if(F.col("value") > slow)).alias("slow_rate"),
+    )
+    p95 = percentiles(events, by, "value", (0.95,)).select(by, F.col("nearest_p95").alias("p95"))
+    health = F.when(F.col("n") == 0, "unknown").when((F.col("error_rate") > 5) | (F.col("success_rate") < 95), "critical").when(F.col("empty_rate") > 20, "attention").otherwise("healthy")
+    insight = F.when(F.col("mean_value") > 15, "latency").when(F.col("error_rate") > 5, "errors").when(F.col("empty_rate") > 20, "no documents").otherwise("none")
+    return base.join(p95, by, "left").withColumn("health", health).withColumn("insight", insight)
+
+
+def stage_durations(steps: DataFrame) -> DataFrame:
+    """steps: (doc_id, stage, ms). One row per document: total and the time of each of the stages extract, chunk and embed; 0 for a stage it lacks."""
+    each = [F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("ms"))), F.lit(0.0)).alias(f"{s}_ms") for s in ("extract", "chunk", "embed")]
+    return steps.groupBy("doc_id").agg(*each, F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_ms"))
+
+
+def node_report(nodes: DataFrame) -> DataFrame:
+    """nodes: (task_id, node_id, status, start_ms, end_ms). One row per task: nodes, how many failed, the task's status and duration from first start to last end.
+
+    A task fails with any of its nodes, runs while any has not ended, and else is done.
+    """
+    out = nodes.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if(F.col("status") == "FAILED").alias("failed"),
+        F.count_if(F.col("end_ms").isNull()).alias("open"),
+        (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"),
+    )
+    status = F.when(F.col("failed") > 0, "FAILED").when(F.col("open") > 0, "RUNNING").otherwise("DONE")
+    return out.select("task_id", "nodes", "failed", status.alias("status"), F.when(F.col("open") == 0, F.col("duration_ms")).alias("duration_ms"))
+
+
+def counter_rates(events: DataFrame, widths: tuple[int, ...] = (1, 2, 5), unit: str = "minute") -> DataFrame:
+    """By key and step (one ``unit``): the increase over each of the widths that end with the step, and the rate a second. One sum a step, then a frame over steps."""
+    seconds = {"minute": 60, "hour": 3600, "day": 86400}[unit]
+    step = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1_000_000 * seconds)).cast("long")
+    sums = events.groupBy("event_type", step.alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    out = sums
+    for w in widths:
+        frame = W.partitionBy("event_type").orderBy("step").rangeBetween(1 - w, 0)
+        out = out.withColumn(f"increase_{w}", F.sum("c").over(frame)).withColumn(f"rate_{w}", F.round(F.col(f"increase_{w}") / (w * seconds), 9))
+    return out.drop("c")

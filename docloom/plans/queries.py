@@ -624,6 +624,8 @@ for _name, _sql in STATEMENTS.items():
 
 def _stream_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='docloom-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -22,9 +22,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def read_chunks(spark: SparkSession, path: str, kb_id: str | None = None) -> DataFrame:
-    """Chunk files (JSON arrays or lines) without blank chunks; kb_id is put back."""
-    df = spark.read.schema(CHUNK).option("multiLine", "true").json(path).filter(F.col("content").rlike(r"\S"))
+def read_chunks(spark: SparkSession, path: str, kb_id: str | None = None, lines: bool = False) -> DataFrame:
+    """Chunk files (one JSON array a file, or lines as write_chunks makes them) without blank chunks; kb_id is put back."""
+    df = spark.read.schema(CHUNK).option("multiLine", str(not lines).lower()).json(path).filter(F.col("content").rlike(r"\S"))
     return df.withColumn("kb_id", F.lit(kb_id)) if kb_id else df
 
 

@@ -5,6 +5,7 @@ import pytest
 from .compare import connect, differences
 from .conftest import SMALL
 
+from docloom.plans import compositions  # noqa: F401  registers its queries
 from docloom.plans.queries import ORACLE, QUERIES
 
 
