@@ -75,6 +75,7 @@ def test_semantic_chunks_keep_every_sentence(spark):
         got = {}
         for c in chunking.semantic(df, most=most, overlap=overlap, least=least).orderBy("doc_id", "chunk_index").collect():
             got.setdefault(c.doc_id, []).append(c.content)
+            assert c.sentence_count == 1 or chunking.weight(c.content) <= 1.5 * most + c.sentence_count
         assert 99 not in got and 0 not in got
         for i, text in enumerate(texts):
             at = 0
@@ -83,7 +84,6 @@ def test_semantic_chunks_keep_every_sentence(spark):
                 assert found >= 0 and text[at:found].strip() == ""
                 at = max(at, found + len(c))
             assert text[at:].strip() == ""
-            assert all(chunking.weight(c) <= 1.5 * most + 2 for c in got.get(i, []) if len(c) < 200)
 
 
 def test_sentences_end_after_connectors(spark):
