@@ -484,32 +484,112 @@ NOTICES = {
 }
 
 
-def test_each_rule_finds_its_canonical_notice(spark):
-    texts = ["Some words first.\n" + "\n".join(NOTICES[i] for i in ids) + "\nand more" for _, ids in licenses.RULES]
-    texts += ["SPDX-License-Identifier: unknown. MIT", "Public version 2.0. MIT", "Mozilla Public License, v. 2.0."]
-    got = {r.doc_id: (r.n_sentences, r.licenses, r.first_license) for r in licenses.scan(table(spark, rows(texts))).collect()}
-    for i, (name, ids) in enumerate(licenses.RULES):
-        assert got[i] == (len(ids), name, name), ids
-    assert all(got[len(licenses.RULES) + i] == (0, "", None) for i in range(3))
+# What each of the notices above says, alone.
+SAYS = {0: "GPL-3.0", 1: "GPL-2.0", 2: "all-rights-reserved", 3: "CC-BY-NC-4.0", 4: "CC-BY-4.0", 5: "CC-BY-SA-4.0", 6: "MIT", 7: "MIT", 8: "Apache-2.0", 19: "ISC", 20: "GPL-3.0-or-later", 22: "MPL-2.0", 23: "MIT", 24: "Apache-2.0", 25: "GPL-3.0-only", 26: "BSD-3-Clause"}
+LONG = [("BSD-3-Clause", (15, 16, 17, 18)), ("MIT", (12, 13, 14)), ("BSD-2-Clause", (15, 16, 17)), ("Apache-2.0", (9, 10, 11)), ("GPL-3.0-or-later", (20, 21)), ("MIT", (12, 13))]
 
 
-def brute_licence(text):
-    def ids(t):
-        cut = re.split("[.!?;:]+[\x20\x09-\x0d]+", t + " ")
-        known = {s: i for i, s in enumerate(licenses.SENTENCES)}
-        return [known[x] for s in cut if (x := re.sub("[^a-z0-9]+", " ", s.lower()).strip()) in known]
+def scanned(spark, texts):
+    return {r.doc_id: r for r in licenses.scan(table(spark, rows(texts))).collect()}
 
-    lines, flow = ids(re.sub("[\n\r]+", ". ", text)), ids(text)
-    left, found = ["".join(f"<{i}>" for i in x) for x in (lines, flow)], set()
-    for name, rule in licenses.RULES:
-        pattern = "".join(f"<{i}>" for i in rule)
-        if any(pattern in x for x in left):
-            found.add(name)
-            left = [x.replace(pattern, "|") for x in left]
-    return max(len(lines), len(flow)), ",".join(sorted(found))
+
+def test_each_notice_is_found_as_it_stands(spark):
+    cases = LONG + [(name, (i,)) for i, name in SAYS.items()]
+    texts = ["Some words first.\n" + "\n".join(NOTICES[i] for i in ids) + "\nand more" for _, ids in cases]
+    texts += ["SPDX-License-Identifier: unknown. MIT", "Public version 2.0. MIT", "Mozilla Public License, v. 2.0."]
+    got = scanned(spark, texts)
+    for i, (name, ids) in enumerate(cases):
+        assert (got[i].licenses, got[i].first_license) == (name, name) and got[i].n_sentences >= len(ids), ids
+    assert all((got[len(cases) + i].n_sentences, got[len(cases) + i].licenses) == (0, "") for i in range(3))
+    assert got[len(cases)].n_unknown == 1  # a tag that is not known
+
+
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split(" "):
+        if len(line) + len(w) >= width:
+            out, line = [*out, line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*out, line])
+
+
+def test_every_rule_is_reached_by_its_wording_on_one_line_and_wrapped(spark):
+    holder = lambda t: t.replace("{holder}", "Foo Corp. Ltd".replace(". ", " "))
+    cases = [(name, " ".join(holder(licenses.NOTICES[n]) for n in names)) for name, names in licenses.RULES]
+    cases += [(name, holder(licenses.NOTICES[n])) for n, name in licenses.ALONE.items()]
+    cases += [(name, text) for name, text in licenses.gnu_notices().values()]
+    texts = [t for _, t in cases] + [wrapped(t, 72) for _, t in cases]
+    got = scanned(spark, texts)
+    for i, (name, _) in enumerate(cases):
+        assert got[i].licenses == got[i + len(cases)].licenses == name, (name, texts[i])
+
+
+def test_statements_slots_and_tags(spark):
+    rules = licenses.Rules()
+    assert len(rules.known) > 500
+    cases = {
+        "Released under the MIT License by Foo Corp.": "MIT",
+        "This software is distributed under the terms of the MIT license.": "MIT",
+        "The source code of it is made available under the GNU General Public License, version 2.": "GPL-2.0",
+        "This library is licensed under the LGPL v2.1 or later.": "LGPL-2.1-or-later",
+        "Licensed under LGPL version 2.1 or later": "LGPL-2.1-or-later",
+        "This article is published under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "This file is not licensed under the MIT License.": None,
+        "Copyright (c) 2020 Jane Doe\nAll rights reserved.": "all-rights-reserved",
+        "Licensed under the Foo License, version 7.": None,
+        "1. Redistributions only.": None,
+    }
+    got = scanned(spark, list(cases))
+    for i, (text, name) in enumerate(cases.items()):
+        assert got[i].licenses == (name or ""), text
+    assert got[6].n_unknown == got[8].n_unknown == 1
+    tags = sorted({x for x in rules.alone.values() if x != "all-rights-reserved"} - {"MIT-0", "0BSD"})
+    got = scanned(spark, [f"// SPDX-License-Identifier: {x}\nint x;" for x in tags])
+    assert all(got[i].licenses == x for i, x in enumerate(tags))
+
+
+def test_rules_need_their_sentences_side_by_side(spark):
+    grant, notice = NOTICES[12], NOTICES[13]
+    far = " ".join(f"Unrelated sentence number {i} about something." for i in range(200))
+    texts = [f"{grant} {notice}", f"{grant} {far} {notice}", f"{grant} 1. {notice}", f"Copyright (c) 2001 A. {grant} {notice}", f"{grant} A licence of another kind. {notice}"]
+    got = scanned(spark, texts)
+    assert [got[i].licenses for i in range(5)] == ["MIT", "", "MIT", "MIT", ""]
+    assert all(got[i].n_sentences == 2 for i in range(5)) and got[4].n_unknown == 1
+
+
+def brute_licence(text, rules):
+    """The same in plain Python, by a walk over lists instead of columns and patterns."""
+
+    def tokens(t):
+        out = []
+        spared = re.sub(r"(?i)spdx-license-identifier:[ \t]*", "SPDX-License-Identifier ", re.sub(r"(?i)\bv\. +(?=[0-9])", "v", t))
+        for x in re.split("[.!?;:]+[\x20\x09-\x0d]+", spared + " "):
+            s = licenses.reduced(x)
+            like = re.search(licenses.LIKE, s, re.A) and any(a in s for a in licenses.ANCHORS)
+            if s in rules.known:
+                out.append(rules.known[s])
+            elif not re.match(licenses._PASSED, s):
+                out.append("?" if like else "-")
+        return out
+
+    both = [tokens(re.sub("[\n\r]+", ". ", text)), tokens(text)]
+    known = [sum(isinstance(x, int) for x in b) for b in both]
+    whole, found = [*both[0], "|", *both[1]], []
+    for name, ids in rules.several:
+        i = 0
+        while i + len(ids) <= len(whole):
+            if tuple(whole[i : i + len(ids)]) == ids:
+                whole[i : i + len(ids)] = ["|"]
+                found.append(name)
+            i += 1
+    found += [rules.alone[x] for x in whole if x in rules.alone]
+    return max(known), both[known[1] >= known[0]].count("?"), ",".join(sorted(set(found)))
 
 
 def test_licences_of_all_documents(spark, documents):
-    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scan(documents[0]).collect()}
-    assert got == {d: brute_licence(t or "") for d, t in documents[1]}
-    assert sum(n for n, _ in got.values()) > 0
+    rules = licenses.Rules()
+    got = {r.doc_id: (r.n_sentences, r.n_unknown, r.licenses) for r in licenses.scan(documents[0]).collect()}
+    want = {d: brute_licence(t or "", rules) for d, t in documents[1]}
+    assert {d: (x[0], x[2]) for d, x in got.items()} == {d: (x[0], x[2]) for d, x in want.items()}
+    assert all(got[d][1] == want[d][1] for d in got if got[d][0])
+    assert sum(n for n, _, _ in got.values()) > 0
