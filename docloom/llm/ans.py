@@ -55,6 +55,31 @@ def tokenizer(path: str):
     return t
 
 
+# What a vocabulary's file must say for the short way below to give the library's ids.
+SHORT_WAY = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+@lru_cache(maxsize=2)
+def short_way(path: str) -> bool:
+    """Whether stretches between spaces encode on their own: the file says exactly SHORT_WAY, and special strings hold no space, are taken as they stand, and begin with "<|"."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    return plain and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(spec.get(k) == v for k, v in SHORT_WAY.items())
+
+
 #: Stretches for which normal form and lower case are plain, and their pieces as the vocabulary's file cuts them.
 _PLAIN = re.compile(r"[\t\n\r!-~¡-±´-¸º»¿-ÿ]+")
 _PIECE = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-zªµºß-öø-ÿ0-9]+")
@@ -103,6 +128,15 @@ def units_of(path: str) -> Units:
     return Units(path)
 
 
+def encoder(path: str):
+    """Ids of a whole text as bytes: by its stretches where the file allows it, else by the library on the whole text."""
+    if not short_way(path):
+        whole = tokenizer(path)
+        return lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+    look_up = units_of(path).__getitem__
+    return lambda text: b"".join(map(look_up, text.split(" ")))
+
+
 def _pack(doc_ids: list[int], ids: list[bytes]) -> bytes:
     import zstandard
 
@@ -124,10 +158,11 @@ def tokens(docs: DataFrame, path: str, bounds: list[int], end: int = END) -> Dat
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts, tail = units_of(path), np.zeros(size, np.int64), int(end).to_bytes(4, "little")
+        counts, tail = np.zeros(size, np.int64), int(end).to_bytes(4, "little")
+        encode = encoder(path)
         for batch in batches:
             doc_ids = np.array([_NULL if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-            ids = [b"".join(map(units.__getitem__, t.split(" "))) + tail if t else tail for t in batch.column("text").to_pylist()]
+            ids = [encode(t) + tail if t else tail for t in batch.column("text").to_pylist()]
             counts += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=size)
             part = np.searchsorted(edges, doc_ids, side="right")
             rows = [(p, np.flatnonzero(part == p)) for p in np.unique(part).tolist()]
@@ -255,10 +290,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, part_docs: in
     """Writes the file set of all documents to folder."""
     spark = docs.sparkSession
     n = docs.count()
-    parts = max(1, min(10_000, -(-n // part_docs)))
+    parts = max(1, -(-n // part_docs))
     at = [i / parts for i in range(1, parts)]
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    bounds = docs.agg(F.percentile_approx(ids, at, 20 * parts).alias("q")).first()["q"] if at and n else []
+    bounds = docs.agg(F.percentile_approx(ids, at, min(20 * parts, 2_000_000)).alias("q")).first()["q"] if at and n else []
     packed = written(tokens(docs, path, sorted(set(bounds or [])), end), "tokens")
     freq = frequencies(packed)
     used = np.flatnonzero(freq)

@@ -45,6 +45,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+# What a vocabulary's file must say for the pieces and merges below to be its own.
+BYTE_LEVEL = {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+PLAIN_MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def _check(spec: dict) -> None:
+    """Refuses files of another kind than byte-level vocabularies, rather than encode them wrongly."""
+    other = [k for k, v in BYTE_LEVEL.items() if spec.get(k) != v] + [k for k, v in PLAIN_MERGES.items() if spec["model"].get(k, v) != v]
+    other += [t["content"] for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].startswith("<|")]
+    if other:
+        raise ValueError(f"not a byte-level vocabulary of this kind: {', '.join(other)}")
+
+
 class Vocabulary:
     """Tokens as bytes, merges by pair of ids, special strings, and the table of byte pairs that lie inside a token."""
 
@@ -53,6 +66,7 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t not in self.special}

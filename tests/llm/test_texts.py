@@ -88,6 +88,26 @@ def test_token_files_as_the_library(spark, documents):
     assert ans.round_trip(none(spark), vocabulary_path(WORDS)).count() == 0
 
 
+def test_other_vocabularies_are_encoded_whole_or_refused(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary_path(WORDS), encoding="utf-8"))
+    assert ans.short_way(vocabulary_path(WORDS))
+    spec["normalizer"] = None  # keeps upper case, which the short way would lower
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    assert not ans.short_way(path)
+    text = "Some UPPER words, and more of them"
+    [row] = ans.round_trip(table(spark, rows([text])), path).collect()
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+    assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(little(ids)))
+    assert ids[:-1] != Tokenizer.from_file(vocabulary_path(WORDS)).encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.vocabulary(path)
+
+
 def test_a_spoilt_file_is_noticed(spark, documents, tmp_path):
     import numpy as np
 

@@ -185,6 +185,58 @@ def test_sparse_sites_shrink(spark):
     assert by["h2", "p1"] < by["h3", "p9"] < by["h1", "p1"]
 
 
+def brute_posteriors(rows, threshold=0.5):
+    """rows: (host, path, z). The posterior of each row in plain Python, by the definition."""
+    prob = lambda z: 1 / (1 + math.exp(-z))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    mean = sum(prob(z) for *_, z in rows) / len(rows)
+
+    def by(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, s + prob(r[2]))
+        return out
+
+    def strength(groups, prior):
+        m = [prior(k) * (1 - prior(k)) for k in groups]
+        spread = sum((s / n - prior(k)) ** 2 for k, (n, s) in groups.items()) / len(groups) - sum(x / n for x, (n, _) in zip(m, groups.values(), strict=True)) / len(groups)
+        return min(1e4, max(1.0, sum(m) / len(m) / max(spread, 1e-6) - 1))
+
+    hosts, paths = by(lambda r: r[0]), by(lambda r: (r[0], r[1]))
+    k = strength(hosts, lambda h: mean)
+    prior = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    k2 = strength(paths, lambda p: prior[p[0]])
+    out = []
+    for h, p, z in rows:
+        n, s = paths[h, p]
+        site = (s - prob(z) + k2 * prior[h]) / (n - 1 + k2)
+        out.append(prob(z + odds(site) - odds(mean)))
+    return out
+
+
+def test_posteriors_as_brute_force(spark):
+    r = random.Random(7)
+    made = [(f"h{int(r.random() ** 3 * 40)}", f"p{int(r.random() ** 2 * 60)}") for _ in range(3000)]  # most paths hold a few rows
+    lean = {x: r.gauss(0, 1.5) for x in sorted({h for h, _ in made})}
+    data = [(h, p, max(-30.0, min(30.0, r.gauss(lean[h], 3)))) for h, p in made]
+    scored = spark.createDataFrame([(*x, i) for i, x in enumerate(data)], "host string, path string, z double, i int")
+    got = {x.i: (x.posterior, x.kept) for x in quality.judged(scored, quality.site_rates(scored)).collect()}
+    want = brute_posteriors(data)
+    assert all(abs(got[i][0] - w) < 1e-9 and got[i][1] == (w >= 0.5) for i, w in enumerate(want))
+    sparse = Counter((h, p) for h, p, _ in data)
+    assert sum(n <= 3 for n in sparse.values()) > 100
+
+
+def test_figures_and_sites_of_whole_texts(spark):
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    scored = [(f"s{r.source}" if r.source is not None else "n", f"s{r.lang}" if r.lang is not None else "n", max(-30.0, min(30.0, model.bias + sum(w * x for w, x in zip(model.weights, quality.figures_of(r.text), strict=True)))), r.doc_id) for r in docs.collect()]
+    want = dict(zip([x[3] for x in scored], brute_posteriors([x[:3] for x in scored]), strict=True))
+    got = {r.doc_id: r.posterior for r in quality.classify(docs, labels).collect()}
+    assert all(abs(got[d] - w) < 1e-6 for d, w in want.items())
+
+
 def test_quality_on_odd_rows(spark):
     _, labels = labelled(spark)
     strange = spark.createDataFrame([(5, None, 1), (None, 1, 0), (6, 7, 0), (7, 1, 0), (8, 0, 1), (8, 1, 1)], "doc_id long, quality int, toxic int")
