@@ -118,7 +118,11 @@ def action_knowledge(spark, d):
 
 @query()
 def passage_matches(spark, d):
-    return retrieval.passage_matches(_contents(spark, d), t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
+    """Passages against the openings of documents and against misspelt passages."""
+    golden = t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    misspelt = golden.select((-1 - F.col("item_id")).alias("chunk_id"), F.translate("passage", "aeT", "ea").alias("content"))
+    openings = _contents(spark, d).withColumn("content", F.substring("content", 1, 300))
+    return retrieval.passage_matches(openings.unionByName(misspelt), golden)
 
 
 # Ingestion and cache
