@@ -59,10 +59,14 @@ def sentences(docs: DataFrame, flat: bool = True) -> DataFrame:
 def sentence_windows(docs: DataFrame, reach: int = 3) -> DataFrame:
     """Each sentence with the sentences up to ``reach`` before and after it, cut from the row's own array: no exchange."""
     lists = sentences(docs, False)
-    n, i = F.size("sentences"), F.col("position")
-    start, end = F.greatest(i - reach, F.lit(0)), F.least(i + reach + 1, n)
-    each = lists.select("doc_id", "sentences", F.posexplode("sentences").alias("position", "sentence"))
-    return each.select("doc_id", "position", "sentence", start.alias("window_start"), end.alias("window_end"), F.array_join(F.slice("sentences", start + 1, end - start), " ").alias("window_content"))
+    n = F.size("sentences")
+
+    def window(sentence, i):
+        start, end = F.greatest(i - reach, F.lit(0)), F.least(i + reach + 1, n)
+        return F.struct(i.alias("position"), sentence.alias("sentence"), start.alias("window_start"), end.alias("window_end"), F.array_join(F.slice("sentences", start + 1, end - start), " ").alias("window_content"))
+
+    # Windows are made before rows are: a row for each sentence does not carry the whole array.
+    return lists.select("doc_id", F.explode(F.transform("sentences", window)).alias("w")).select("doc_id", "w.*")
 
 
 def _folded(docs: DataFrame, chunks_of: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
