@@ -10,7 +10,7 @@ Identifiers that are a licence on their own are looked up in what is left. The t
 lines, for notices that stand alone, and once with line breaks as spaces, for sentences that wrap.
 
 Known sentences are the notices below, cut like any text, and statements ("under the X"), SPDX tags and names
-made from tables of families, versions and variants; about 900. A first test for words of which every known
+made from tables of families, versions and variants; about 790. A first test for words of which every known
 sentence holds one keeps the other texts from being cut, and keeps other sentences from being looked up; it
 drops none that could match, as ``_anchored`` checks. Everything is a column expression of the row itself: no
 shuffle, and hot keys do not matter.
