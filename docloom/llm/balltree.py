@@ -1,14 +1,15 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound.
 
 Vectors are dealt to shards of about ``shard_rows`` rows by hash; each shard builds a tree of balls (centre,
-radius) and is written once. Queries come in blocks. A node's score is at most q . centre + |q| * radius;
+radius) and is written once. Queries come in blocks, which stream past the tree of the shard they ask. A node's score is at most q . centre + |q| * radius;
 nodes are taken in order of that bound and the search of a query ends when the best open bound falls under
 its kth score. Each block first searches one home shard; the kth scores found there go with the queries to
 all other shards, whose roots and subtrees are cut by them from the start.
 
 Defined cases: vectors that are null or hold null, non-finite or no components take no part; vectors of
 other lengths are only compared with their like; ties go to the smaller vec_id; rows that repeat a vec_id
-count as rows of their own but never against a query of their id; fewer candidates than k give them all; an
+count as rows of their own but never against a query of their id, and queries that repeat an id share its
+k places; fewer candidates than k give them all; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
 LEAF = 128
 SHARD_ROWS = 8_192
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 
 
 class BallTree:
@@ -123,25 +124,34 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SH
     trees = written(rows.withColumn("shard", deal(shards)).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees")
     blocks = written(queries.withColumn("block", deal(n_blocks)).groupBy("dim", "block").applyInPandas(block, "dim int, block int, ids binary, queries binary"), "query-blocks")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
-        for r in pdf.itertuples():
-            ids = np.frombuffer(r.ids, np.int64)
-            q, floor = np.frombuffer(r.queries).reshape(len(ids), r.dim), np.full(len(ids), -np.inf)
-            if r.floors is not None:
-                at = {i: s for i, s in zip(np.frombuffer(r.floor_ids, np.int64).tolist(), np.frombuffer(r.floors).tolist(), strict=True)}
-                floor = np.array([at.get(i, -np.inf) for i in ids.tolist()])
-            for i, found, scores in pickle.loads(r.tree).search(q, ids, floor, k):
-                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": found, "score": scores}))
-        return pd.concat(out)
-
-    def searched(pairs: DataFrame) -> DataFrame:
-        """pairs: a tree and a query block each, spread evenly; one pair is in memory at a time."""
-        return pairs.repartition("block", "shard").mapInPandas(lambda batches: (run(pdf.iloc[i : i + 1]) for pdf in batches for i in range(len(pdf))), "query_id long, vec_id long, score double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = None
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if r.tree is not None:  # sorted first: the tree that the blocks after it ask
+                    tree = pickle.loads(r.tree)
+                    continue
+                ids = np.frombuffer(r.ids, np.int64)
+                q, floor = np.frombuffer(r.queries).reshape(len(ids), r.dim), np.full(len(ids), -np.inf)
+                if r.floors is not None:
+                    at = dict(zip(np.frombuffer(r.floor_ids, np.int64).tolist(), np.frombuffer(r.floors).tolist(), strict=True))
+                    floor = np.array([at.get(i, -np.inf) for i in ids.tolist()])
+                out = [(np.full(len(found), ids[i]), found, scores) for i, found, scores in tree.search(q, ids, floor, k)]
+                if out:
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    def searched(asking: DataFrame) -> DataFrame:
+        """asking: (dim, shard, block, ids, queries, floor_ids, floors). A shard's tree is loaded once and the blocks that ask it stream past it."""
+        nothing = [F.lit(None).cast(asking.schema[c].dataType).alias(c) for c in asking.columns if c not in ("dim", "shard")]
+        asked = trees.join(asking.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi").select("dim", "shard", *nothing, "tree")
+        both = asked.unionByName(asking.withColumn("tree", F.lit(None).cast("binary")))
+        dealt = both.repartition(partitions(rows.sparkSession), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("block").asc_nulls_first())
+        return dealt.mapInPandas(run, "query_id long, vec_id long, score double")
 
     none = [F.lit(None).cast("binary").alias(c) for c in ("floor_ids", "floors")]
-    home = blocks.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).join(trees, ["dim", "shard"]).select("*", *none)
-    found = written(searched(home), "home")
+    home = F.pmod("block", F.lit(shards)).cast("int")
+    known = trees.select("dim", "shard")
+    found = written(searched(blocks.withColumn("shard", home).join(known, ["dim", "shard"]).select("*", *none)), "home")
     if shards > 1:
 
         def kths(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,9 +159,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SH
 
         kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         floors = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(kths, "block int, floor_ids binary, floors binary")
-        others = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != F.pmod("block", F.lit(shards)))
-        far = searched(others.join(trees, ["dim", "shard"]).join(floors, "block", "left"))
-        found = found.unionByName(far)
+        others = blocks.join(floors, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home)
+        found = found.unionByName(searched(others.join(known, ["dim", "shard"])))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
