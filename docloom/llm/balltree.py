@@ -125,11 +125,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SH
     blocks = written(queries.withColumn("block", deal(n_blocks)).groupBy("dim", "block").applyInPandas(block, "dim int, block int, ids binary, queries binary"), "query-blocks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = None
+        tree = held = None
         for pdf in batches:
             for r in pdf.itertuples():
                 if r.tree is not None:  # sorted first: the tree that the blocks after it ask
-                    tree = pickle.loads(r.tree)
+                    tree, held = pickle.loads(r.tree), (r.dim, r.shard)
+                    continue
+                if held != (r.dim, r.shard):  # no vectors of that length in the shard
                     continue
                 ids = np.frombuffer(r.ids, np.int64)
                 q, floor = np.frombuffer(r.queries).reshape(len(ids), r.dim), np.full(len(ids), -np.inf)
@@ -140,18 +142,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SH
                 if out:
                     yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    def searched(asking: DataFrame) -> DataFrame:
-        """asking: (dim, shard, block, ids, queries, floor_ids, floors). A shard's tree is loaded once and the blocks that ask it stream past it."""
+    def searched(asking: DataFrame, asked: DataFrame) -> DataFrame:
+        """asking: (dim, shard, block, ids, queries, floor_ids, floors); asked: the trees. A shard's tree is loaded once and the blocks that ask it stream past it."""
         nothing = [F.lit(None).cast(asking.schema[c].dataType).alias(c) for c in asking.columns if c not in ("dim", "shard")]
-        asked = trees.join(asking.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi").select("dim", "shard", *nothing, "tree")
-        both = asked.unionByName(asking.withColumn("tree", F.lit(None).cast("binary")))
+        both = asked.select("dim", "shard", *nothing, "tree").unionByName(asking.withColumn("tree", F.lit(None).cast("binary")))
         dealt = both.repartition(partitions(rows.sparkSession), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("block").asc_nulls_first())
         return dealt.mapInPandas(run, "query_id long, vec_id long, score double")
 
     none = [F.lit(None).cast("binary").alias(c) for c in ("floor_ids", "floors")]
     home = F.pmod("block", F.lit(shards)).cast("int")
-    known = trees.select("dim", "shard")
-    found = written(searched(blocks.withColumn("shard", home).join(known, ["dim", "shard"]).select("*", *none)), "home")
+    found = written(searched(blocks.select("*", home.alias("shard"), *none), trees.filter(F.col("shard") < n_blocks)), "home")
     if shards > 1:
 
         def kths(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +160,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SH
         kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         floors = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(kths, "block int, floor_ids binary, floors binary")
         others = blocks.join(floors, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home)
-        found = found.unionByName(searched(others.join(known, ["dim", "shard"])))
+        found = found.unionByName(searched(others, trees))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -50,8 +50,11 @@ def test_top_k_in_one_shard_and_in_many(spark):
     from pyspark.sql import functions as F
 
     ints = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * 64).cast("double")))
-    got = balltree.top_k(ints, ints.filter("id % 20 = 0"), 20, shard_rows=40, block_rows=4, leaf=8)
-    assert Counter((r.query_id, r["rank"], r.vec_id, int(r.score)) for r in got.collect()) == want
+    for threshold in ("10m", "-1"):  # the plan may or may not broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = balltree.top_k(ints, ints.filter("id % 20 = 0"), 20, shard_rows=40, block_rows=4, leaf=8)
+        assert Counter((r.query_id, r["rank"], r.vec_id, int(r.score)) for r in got.collect()) == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert balltree.integer_top_k(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
