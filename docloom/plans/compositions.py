@@ -205,8 +205,8 @@ def doc_type_by_name(spark, d):
 def think_tags(spark, d):
     i, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
     said = F.when(i == 0, F.concat(F.lit("before<think>"), F.substring("text", 1, 50), F.lit("</think> after "), n)).when(i == 1, F.concat(F.lit("open <think>"), n)).otherwise(F.concat(F.lit("plain "), n))
-    clean = t(spark, d, "documents").filter("text is null or not contains(text, '<')").unionByName(t(spark, d, "documents").filter("contains(text, '<')"))
-    return clean.withColumn("text", F.coalesce(F.replace("text", F.lit("<"), F.lit("(")), F.lit(""))).select("doc_id", F.md5(X.without_thinking(said).cast("binary")).alias("digest"))
+    clean = t(spark, d, "documents").withColumn("text", F.coalesce(F.replace("text", F.lit("<"), F.lit("(")), F.lit("")))
+    return clean.select("doc_id", F.md5(X.without_thinking(said).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0.5::DOUBLE ELSE least(1.0, doc_id % 13 / 10.0::DOUBLE) END AS score, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS strings, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'q' || doc_id END AS query FROM documents")
