@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import freed, partitions, written
 
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 20_000
@@ -74,7 +74,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_rows: int = BL
         if held:
             yield block()
 
-    return written(docs.mapInArrow(run, "block long, data binary"), "blocks")
+    return written(docs.mapInArrow(freed(run), "block long, data binary"), "blocks")
 
 
 def parts_of(spark) -> int:
@@ -149,8 +149,8 @@ def with_counts(blocks: DataFrame, hashes: Hashes) -> DataFrame:
             packs = [_nibbles(code[e - len(c) : e]) for e, (_, _, c) in zip(ends, got, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in got], pa.int64()), pa.array([part] * len(got), pa.int32()), pa.array(packs, pa.binary())], names=["block", "part", "codes"])
 
-    sent = blocks.mapInArrow(send, "part int, block long, keys binary, counts binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    replies = sent.mapInArrow(meet, "block long, part int, codes binary").groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("replies"))
+    sent = blocks.mapInArrow(freed(send), "part int, block long, keys binary, counts binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
+    replies = sent.mapInArrow(freed(meet), "block long, part int, codes binary").groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("replies"))
     # Replies grow with the input: they meet the blocks by shuffle at every size, never as a broadcast.
     return blocks.join(replies.hint("merge"), "block", "left")
 

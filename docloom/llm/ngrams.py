@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, STEPS, _by_part, _key_bytes, _keys, _split, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
-from .common import discard, partitions, written
+from .common import discard, freed, partitions, written
 from .components import components, forest
 
 GROUPS = 64
@@ -287,7 +287,7 @@ def _cells(placed: DataFrame, similarity: Similarity, keys: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
     dealt = placed.select(*keys, *names).repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(arrow, "a long, b long")
+    return dealt.mapInArrow(freed(arrow), "a long, b long")
 
 
 _LOOKED = "kind int, block long, place int, part int, a long, b long, n long, blob binary"
@@ -340,7 +340,7 @@ def _looked(blocks: DataFrame, n: int, similarity: Similarity) -> DataFrame:
                 none = [None] * len(a)
                 yield _rows(5, block, none, none, a, b, none, none)
 
-    return written_by_kind(with_counts(blocks, hashes).mapInArrow(run, _LOOKED))
+    return written_by_kind(with_counts(blocks, hashes).mapInArrow(freed(run), _LOOKED))
 
 
 def _key_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, parts: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -388,7 +388,7 @@ def _ties(looked: DataFrame, similarity: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     keys = looked.filter("kind = 1").select("part", "n", "blob")
-    near = keys.repartition(partitions(keys.sparkSession), "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
+    near = keys.repartition(partitions(keys.sparkSession), "part").sortWithinPartitions("part").mapInArrow(freed(meet), "a long, b long")
     hot = looked.filter("kind = 4").select("a", "b")
     heads = hot.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("head"))
     over = hot.join(heads.hint("merge"), F.col("b") == F.col("key")).filter("a <> head").select("a", F.col("head").alias("b"))
@@ -426,7 +426,7 @@ def _tiles(large: DataFrame) -> DataFrame:
 
     order = ["class", F.floor(F.log("n") * 10), F.substring("blob", 1, 6), "id"]
     dealt = large.select("class", "id", "n", "blob").repartitionByRange(partitions(large.sparkSession), *order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(run, _TILED), "tiles")
+    return written(dealt.mapInArrow(freed(run), _TILED), "tiles")
 
 
 def _nodes(tiles: DataFrame) -> DataFrame:
@@ -456,7 +456,7 @@ def _descended(asking: DataFrame, nodes: DataFrame, similarity: Similarity) -> D
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["class", "tile", "id"])
 
-    return asking.join(nodes.hint("merge"), "class").select("class", "id", "n", "point", "tiles").mapInArrow(run, "class long, tile long, id long")
+    return asking.join(nodes.hint("merge"), "class").select("class", "id", "n", "point", "tiles").mapInArrow(freed(run), "class long, tile long, id long")
 
 
 def _large(large: DataFrame, similarity: Similarity) -> DataFrame:
@@ -520,4 +520,4 @@ def representatives(docs: DataFrame, n: int = 5, similarity: Similarity = (8, 10
                 stays[places.as_py() or []] = False
                 yield rows.filter(pa.array(stays))
 
-    return blocks.join(gone, "block", "left").mapInArrow(run, docs.schema)
+    return blocks.join(gone, "block", "left").mapInArrow(freed(run), docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
-from .common import partitions, written
+from .common import freed, partitions, written
 
 WIDTH = 50
 GRAM = 20
@@ -274,7 +274,7 @@ def _surroundings(counted: DataFrame, parts: int, width: int, gram: int) -> Data
                 out += [(OPEN, int(part[keep[x]]), block, y - x, found[keep[x:y]].packed()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], names=_NAMES)
 
-    return counted.mapInArrow(run, _SENT).repartition(partitions(counted.sparkSession), "part")
+    return counted.mapInArrow(freed(run), _SENT).repartition(partitions(counted.sparkSession), "part")
 
 
 def _by_block(block: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -344,7 +344,7 @@ def _covered(sent: DataFrame, width: int, gram: int) -> DataFrame:
             yield from _by_block(*settle(held, width, gram))
         yield from passed
 
-    return written(sent.sortWithinPartitions("part").mapInArrow(run, _SENT), "spans", by="kind")
+    return written(sent.sortWithinPartitions("part").mapInArrow(freed(run), _SENT), "spans", by="kind")
 
 
 _OFTEN = "block long, doc long, place long, run long, left int, right int, around binary"
@@ -365,7 +365,7 @@ def _often(rows: DataFrame, width: int, gram: int) -> DataFrame:
                 columns = [np.full(n, block), p.doc, p.place, p.run, p.left.astype(np.int32), p.right.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x.tobytes() for x in p.around], pa.binary())], names=[c.split()[0] for c in _OFTEN.split(", ")])
 
-    now = rows.mapInArrow(unpack, _OFTEN).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
+    now = rows.mapInArrow(freed(unpack), _OFTEN).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
     open_ = side + 1
     while open_ > 1:
         open_ = -(-open_ // 2)
@@ -384,7 +384,7 @@ def _often(rows: DataFrame, width: int, gram: int) -> DataFrame:
         for batch in batches:
             yield from _by_block(*(batch.column(c).to_numpy() for c in ("block", "start", "end")))
 
-    return now.filter("doc > least").select("block", start.alias("start"), (start + F.col("run") + width).alias("end")).mapInArrow(pack, _SENT)
+    return now.filter("doc > least").select("block", start.alias("start"), (start + F.col("run") + width).alias("end")).mapInArrow(freed(pack), _SENT)
 
 
 def _marked(docs: DataFrame, width: int, gram: int, block_bytes: int, whole_signs: bool) -> DataFrame:
@@ -431,7 +431,7 @@ def _marked(docs: DataFrame, width: int, gram: int, block_bytes: int, whole_sign
                 row = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
                 yield pa.RecordBatch.from_arrays([row, *[pa.array(c, t) for c, t in zip(added, kinds, strict=True)]], names=schema.names)
 
-    return blocks.join(spans.hint("merge"), "block", "left").mapInArrow(run, schema)
+    return blocks.join(spans.hint("merge"), "block", "left").mapInArrow(freed(run), schema)
 
 
 def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
