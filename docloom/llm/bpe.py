@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import freed
+
 #: Pieces that a worker remembers; beyond, its table starts afresh.
 MEMORY = 200_000
 #: Longer pieces are encoded without being remembered.
