@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, balltree, bpe, hnsw, licenses, mixing, ngrams, quality, sharding, suffixes
+from . import ans, balltree, bpe, hnsw, licenses, merkle, mixing, ngrams, periods, quality, sharding, suffixes, warc
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie; None: where the installed package has them.
@@ -61,8 +61,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.classes(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_topk, op3_sharding, op4_licenses, op5_token_files, op6_bpe, op7_embedding_dedup, op8_mixing, op9_suffix_dedup, op10_ngram_join)
+    f.__name__: f for f in (op1_quality, op2_topk, op3_sharding, op4_licenses, op5_token_files, op6_bpe, op7_embedding_dedup, op8_mixing, op9_suffix_dedup, op10_ngram_join, op11_warc, op12_runs, op13_merkle)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk": balltree.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_topk": balltree.ORACLE, "op8_mixing": mixing.ORACLE, "op11_warc": warc.ORACLE, "op13_merkle": merkle.ORACLE}
