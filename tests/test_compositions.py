@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 def guarded(spark, tmp_path):
     spark.sql(f"create table if not exists guard_target (a int) using parquet location '{tmp_path}/t'")
     spark.range(5).createOrReplaceTempView("nums")
+    spark.sql("create or replace temporary view hidden_view as select a from guard_target")
     yield spark
     spark.sql("drop table guard_target")
 
@@ -29,6 +30,22 @@ def guarded(spark, tmp_path):
         "select (select max(a) from guard_target) as m",
         "select transform(id) using 'cat' as (x string) from nums",
         "select reflect('java.lang.System', 'currentTimeMillis')",
+        "select * from identifier('guard_target')",
+        "select * from identifier('guard' || '_target')",
+        "select * from nums where id in (select a from identifier('guard' || '_target'))",
+        "select `reflect`('java.lang.System', 'getProperty', 'user.home') from nums",
+        "select identifier('reflect')('java.lang.System', 'getProperty', 'user.home') from nums",
+        "select identifier('re' || 'flect')('java.lang.System', 'getProperty', 'user.home') from nums",
+        "select `try_reflect`('java.lang.System', 'getProperty', 'user.home') from nums",
+        "select case when id > 0 then `java_method`('java.lang.System', 'exit', 1) end as x from nums",
+        "select system.builtin.reflect('java.lang.System', 'getProperty', 'user.home') from nums",
+        "select transform(array(1), x -> `reflect`('java.lang.System', 'getProperty', 'user.home')) as a from nums",
+        "select id from nums order by `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "select id from nums lateral view `reflect`('java.lang.System') as b",
+        "select * from parquet.`/etc`",
+        "select * from range(3)",
+        "select input_file_name() as f from nums",
+        "select * from hidden_view",
         "select 1; drop table guard_target",
         "drop table guard_target",
     ],
@@ -45,6 +62,26 @@ def test_writes_are_refused_without_a_list_of_tables(guarded):
     assert guarded.table("guard_target").count() == 0
 
 
+def test_what_a_view_hides_is_the_view_alone(guarded):
+    assert language.guarded_sql(guarded, "select count(*) as n from hidden_view", {"hidden_view"}).first()["n"] == 0
+    df = guarded.sql("select * from nums join guard_target on a = id where id in (select a from hidden_view)")
+    assert language.relations_resolved(df) == {"nums", "guard_target", "hidden_view"}
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "select case when id is not null and id between 1 and 3 or not id in (1, 2) then cast(id as string) || 'x' else trim(upper('a')) end as t, sum(id) over (partition by id % 2 order by id rows between 1 preceding and current row) as s from nums order by id desc nulls last limit 3 offset 1",
+        "select count(distinct id) as n, count(*) filter (where id > 1) as m, max(date '2020-01-01' + interval 1 day) as d from nums having count(*) > 1",
+        "select e, substring('abc' from 2 for 1) as b, extract(year from timestamp '2020-01-02 00:00:00') as y from nums lateral view explode(sequence(1, id)) as e",
+        "select id, a from nums join (values (1), (2)) v(a) on id = a union all select id, 0 from nums where exists (select 1 from nums n where n.id > nums.id)",
+        "select sum(id) over w as s, transform(array(id), x -> x + 1)[0] as t from nums window w as (order by id)",
+    ],
+)
+def test_what_the_lists_hold_passes(guarded, statement):
+    assert language.guarded_sql(guarded, statement, {"nums"}).count() > 0
+
+
 @pytest.mark.parametrize(
     "statement",
     [
