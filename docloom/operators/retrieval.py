@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet, terms, tokens_of_context
-from ..functions.vectors import cosine, dot
+from ..functions.text import snippet, tokens_of_context
+from ..functions.vectors import cosine
+from ..sources.tables import new_dir
+from . import nearest, postings
+from .nearest import VectorIndex
+from .postings import Postings
 
 #: Candidates that each path gives to fusion.
 POOL = 20
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
-K1, B = 1.2, 0.75
-#: Query terms up to which they are sent to the scan of the rows; beyond, tokens meet them by shuffle.
-FEW_TERMS = 100_000
 
 
 def ranked(df: DataFrame, by: Column, k: int | None, id_col: str = "chunk_id", name: str = "rank") -> DataFrame:
@@ -32,43 +33,19 @@ def ranked(df: DataFrame, by: Column, k: int | None, id_col: str = "chunk_id", n
     return out.filter(F.col(name) <= k) if k else out
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int = POOL, same: str | None = None, cells: int | None = None) -> DataFrame:
-    """rows: (chunk_id, vector[, same]); queries: (query_id, vector[, same]). Inner product, exact.
+def vector_topk(rows: DataFrame | VectorIndex, queries: DataFrame, k: int = POOL, same: str | None = None) -> DataFrame:
+    """rows: (chunk_id, vector[, same]), or their stored index; queries: (query_id, vector[, same]). Inner product, exact.
 
-    ``same`` names a column that must agree (a knowledge base), and is the join key. Without it rows are dealt
-    to cells by hash and each cell sees every query once: a hash join of bounded cells, not a product of tables.
+    ``same`` names a column that must agree (a knowledge base). Rows without an index get one first.
     """
-    spark = rows.sparkSession
-    q = queries.select("query_id", F.col("vector").alias("__q"), *([same] if same else []))
-    if same:
-        pairs = rows.join(q, same)
-    else:
-        n = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("__cell", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int"))
-        pairs = dealt.join(q.withColumn("__cell", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "__cell")
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("__q"), F.col("vector")), 6).alias("score"))
-    return ranked(scored, F.col("score"), k)
-
-
-def bm25_topk(rows: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """rows: (chunk_id, content); queries: (query_id, query). A query's distinct terms, any of them; document statistics over all rows.
-
-    Postings are counted inside each row's token array, so only rows that hold a query term leave the scan.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    tokens = rows.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    wanted = asked.select("term").distinct()
-    if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        wanted = F.broadcast(wanted)
-    postings = tokens.select("chunk_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    weighed = postings.join(df, "term").select("term", "chunk_id", part.alias("part"))
-    scored = asked.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scored, F.col("score"), k)
+    index = rows if isinstance(rows, VectorIndex) else nearest.build(rows, new_dir(rows.sparkSession, "vectors"), same)
+    return nearest.search(index, queries, k, same)
+
+
+def bm25_topk(rows: DataFrame | Postings, queries: DataFrame, k: int = POOL, same: str | None = None) -> DataFrame:
+    """rows: (chunk_id, content[, same]), or their stored index; queries: (query_id, query[, same]). A query's distinct terms, any of them; document statistics over all rows."""
+    index = rows if isinstance(rows, Postings) else postings.build(rows, new_dir(rows.sparkSession, "postings"), same)
+    return postings.search(index, queries, k, same)
 
 
 def rrf(*paths: DataFrame, k: int | None = None, constant: int = RRF_K) -> DataFrame:
@@ -167,7 +144,7 @@ def golden_hits(rows: DataFrame, golden: DataFrame, edge: int = 60) -> DataFrame
     return met.join(rows, "chunk_id").filter(F.contains("content", F.col("edge"))).select("chunk_id", "item_id").distinct()
 
 
-def search_with_rerank(rows: DataFrame, queries: DataFrame, scores: DataFrame | None = None, k: int = 10, pool: int = POOL, strict_limit: bool = True) -> DataFrame:
+def search_with_rerank(rows: DataFrame | VectorIndex, queries: DataFrame, scores: DataFrame | None = None, k: int = 10, pool: int = POOL, strict_limit: bool = True) -> DataFrame:
     """A vector pool, reordered by a model's scores (query_id, chunk_id, new_score). Without scores the pool stays as it is, cut to k only if strict_limit."""
     hits = vector_topk(rows, queries, pool)
     if scores is None:
@@ -207,13 +184,14 @@ def understood(messages: DataFrame, rules: list) -> DataFrame:
     return messages.select("query_id", F.concat_ws(" ", mapped, more).alias("query"), steps.alias("steps"))
 
 
-def retrieval_context(messages: DataFrame, rules: list, rows: DataFrame, vectors: DataFrame, asked: DataFrame, k: int = 5, budget: int = 4000) -> DataFrame:
+def retrieval_context(messages: DataFrame, rules: list, rows: DataFrame, vectors: DataFrame, asked: DataFrame, k: int = 5, budget: int = 4000, indexes: tuple[VectorIndex, Postings] | None = None) -> DataFrame:
     """The whole path of a message: understood, searched both ways, reordered by cosine, cut to the budget. (query_id, steps, sources, context); a message without sources has none and an empty context.
 
-    rows: (chunk_id, content); vectors: (chunk_id, vector); asked: (query_id, vector).
+    rows: (chunk_id, content); vectors: (chunk_id, vector); asked: (query_id, vector); indexes: those of vectors and rows, if stored.
     """
     queries = understood(messages, rules)
-    hits = rrf(vector_topk(vectors, asked, POOL), bm25_topk(rows, queries, POOL))
+    vector_index, text_index = indexes or (vectors, rows)
+    hits = rrf(vector_topk(vector_index, asked, POOL), bm25_topk(text_index, queries, POOL))
     best = rerank_cosine(hits.drop("rank"), vectors, asked, k)
     kept = context_budget(best.join(rows.select("chunk_id", F.coalesce("content", F.lit("")).alias("content")), "chunk_id"), budget)
     found = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("sources")).join(context_text(kept), "query_id")

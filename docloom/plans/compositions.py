@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalog, chunking, detection, ingest, language, memory, metrics, retrieval, traces
 from ..sources import files
-from .queries import _BM, _FUSED, _HYBRID, _MSG, _RERANK, _VEC, _ask, _hybrid, _messages, _stream_dir, _titled, _topk, _vectors, query, t
+from .queries import _BM, _FUSED, _HYBRID, _MSG, _RERANK, _VEC, _ask, _hybrid, _messages, _stored_texts, _stored_vectors, _stream_dir, _titled, _topk, _vectors, query, t
 
 _RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, chunk_id) AS INTEGER) AS rank"
 #: A model's score of a pair, made from the ids.
@@ -28,14 +28,12 @@ def _contents(spark, d):
 
 @query(f"WITH {_VEC}, r AS (SELECT query_id, chunk_id, score, CASE WHEN chunk_id % 5 <> 0 THEN {_SCORE} ELSE score END AS relevance FROM vec) SELECT * FROM (SELECT *, {_RANK.format('relevance')} FROM r) WHERE rank <= 10")
 def search_with_rerank(spark, d):
-    v = _vectors(spark, d)
-    return retrieval.search_with_rerank(v, _ask(v), _scores(_topk(spark, d)))
+    return retrieval.search_with_rerank(_stored_vectors(spark, d), _ask(_vectors(spark, d)), _scores(_topk(spark, d)))
 
 
 @query(f"WITH {_VEC} SELECT query_id, chunk_id, score, score AS relevance, rank FROM vec")
 def search_rerank_fallback(spark, d):
-    v = _vectors(spark, d)
-    return retrieval.search_with_rerank(v, _ask(v), strict_limit=False)
+    return retrieval.search_with_rerank(_stored_vectors(spark, d), _ask(_vectors(spark, d)), strict_limit=False)
 
 
 @query(f"WITH {_HYBRID}, r AS (SELECT query_id, chunk_id, score, CASE WHEN chunk_id % 5 <> 0 THEN {_SCORE} ELSE score END AS relevance FROM fused) SELECT * FROM (SELECT *, {_RANK.format('relevance')} FROM r) WHERE rank <= 10")
@@ -105,7 +103,7 @@ SELECT query_id, array_to_string(CASE WHEN sources IS NULL THEN steps ELSE list_
 @query(_CONTEXT_SQL)
 def context_pipeline(spark, d):
     v = _vectors(spark, d)
-    out = retrieval.retrieval_context(_said(spark, d), [language.TermRule("the", "THE")], _contents(spark, d), v, _ask(v).select("query_id", "vector"))
+    out = retrieval.retrieval_context(_said(spark, d), [language.TermRule("the", "THE")], _contents(spark, d), v, _ask(v).select("query_id", "vector"), indexes=(_stored_vectors(spark, d), _stored_texts(spark, d)))
     sources = F.array_join(F.transform("sources", lambda x: x.cast("string")), ",")
     return out.select("query_id", F.array_join("steps", ",").alias("steps"), sources.alias("sources"), F.md5(F.col("context").cast("binary")).alias("digest"))
 

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, chunking, detection, language, memory, metrics, retrieval, traces
+from ..operators import catalog, chunking, detection, language, memory, metrics, nearest, postings, retrieval, traces
 from ..sources import files
+from ..sources import tables as stored
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +225,19 @@ def _vectors(spark, d) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
+def _stored_vectors(spark, d, same: str | None = None) -> nearest.VectorIndex:
+    """The index of embeddings as their files are now; made once in the shared folder."""
+    name = f"vectors-{same or 'all'}-{stored.fingerprint(t(spark, d, 'embeddings'))}"
+    return nearest.VectorIndex(spark, stored.kept(spark, name, lambda folder: nearest.build(_vectors(spark, d), folder, same)))
+
+
+def _stored_texts(spark, d) -> postings.Postings:
+    """The inverted index of documents as their files are now; made once in the shared folder."""
+    docs = t(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return postings.load(spark, stored.kept(spark, f"postings-{stored.fingerprint(docs)}", lambda folder: postings.build(rows, folder)))
+
+
 def _ask(df: DataFrame) -> DataFrame:
     return df.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
 
@@ -233,8 +247,7 @@ def _titled(rows: DataFrame) -> DataFrame:
 
 
 def _topk(spark, d, k: int = retrieval.POOL) -> DataFrame:
-    v = _vectors(spark, d)
-    return retrieval.vector_topk(v, _ask(v), k)
+    return retrieval.vector_topk(_stored_vectors(spark, d), _ask(_vectors(spark, d)), k)
 
 
 _VEC = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -262,19 +275,18 @@ def vector_topk(spark, d):
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % 100 = 0)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk_in_kb(spark, d):
-    v = _vectors(spark, d)
-    return retrieval.vector_topk(v, _ask(v), 10, same="label")
+    return retrieval.vector_topk(_stored_vectors(spark, d, "label"), _ask(_vectors(spark, d)), 10, same="label")
 
 
 @query(f"WITH {_BM} SELECT query_id, chunk_id, score, rank FROM bm")
 def bm25_topk(spark, d):
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.bm25_topk(rows, _titled(rows))
+    return retrieval.bm25_topk(_stored_texts(spark, d), _titled(rows))
 
 
 def _hybrid(spark, d, k=None) -> DataFrame:
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.rrf(_topk(spark, d), retrieval.bm25_topk(rows, _titled(rows)), k=k)
+    return retrieval.rrf(_topk(spark, d), retrieval.bm25_topk(_stored_texts(spark, d), _titled(rows)), k=k)
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, paths, rank FROM fused")
@@ -339,7 +351,7 @@ def citation_list(spark, d):
 @query(f"WITH {_HYBRID}, a AS (SELECT query_id, chunk_id, min(rank) AS first_rank FROM (SELECT * FROM vec UNION ALL SELECT * FROM bm) GROUP BY ALL) SELECT query_id, chunk_id, first_rank, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first_rank, chunk_id) AS INTEGER) AS place FROM a) WHERE place <= 5")
 def first_sources(spark, d):
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.first_sources(_topk(spark, d).unionByName(retrieval.bm25_topk(rows, _titled(rows))))
+    return retrieval.first_sources(_topk(spark, d).unionByName(retrieval.bm25_topk(_stored_texts(spark, d), _titled(rows))))
 
 
 @query("SELECT DISTINCT doc_id AS chunk_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) OR contains(d.text, right(b.text, 60))")
