@@ -659,12 +659,6 @@ def stream_once(spark, d):
     return _streamed(spark, d, lambda e: streams.once(e.union(e)), "append").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query()
-def rate_limiter(spark, d):
-    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms")
-    return streams.limited(t(spark, d, "events").select("event_id", "user_id", ms), limit=3, window_ms=6 * 3_600_000)
-
-
 @query("""WITH s AS (SELECT user_id AS doc_id, CASE arg_max(event_type, event_id) WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'PARSED' WHEN 'click' THEN 'CHUNKED' WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status, max(event_id) AS seq, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS chunks FROM events GROUP BY user_id)
 SELECT doc_id, CASE WHEN status = 'COMPLETED' AND chunks = 0 THEN 'FAILED' ELSE status END AS status, seq, chunks FROM s""")
 def document_states(spark, d):

@@ -1,14 +1,12 @@
-"""Structured Streaming: windows with watermarks, deduplication, ingestion states, and the sliding-log limiter.
+"""Structured Streaming: windows with watermarks, deduplication, and ingestion states.
 
 Files stand in for a broker; ``source`` takes any format, so the same operators run on one.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +47,16 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
         raise TimeoutError(f"the stream did not end in {timeout} s; {target} is not complete")
 
 
+def in_turns(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """The parts of a table delivered one after the other as files of a stream, which stops after each and goes on from its checkpoint with the next. What the operator appends."""
+    spark = parts[0].sparkSession
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        run_available(operator(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+
+
 # The states of a document in order.
 STATES = ["PENDING", "PARSING", "PARSED", "CHUNKING", "CHUNKED", "INDEXING", "COMPLETED", "FAILED"]
 
@@ -57,29 +65,3 @@ def document_states(changes: DataFrame) -> DataFrame:
     """changes: (doc_id, seq, status[, chunks]). The last state of each document; completed without chunks is FAILED."""
     last = changes.groupBy("doc_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"), F.max("chunks").alias("chunks"))
     return last.withColumn("status", F.when((F.col("status") == "COMPLETED") & (F.coalesce("chunks", F.lit(0)) == 0), "FAILED").otherwise(F.col("status")))
-
-
-def limited(requests: DataFrame, key: str = "user_id", at: str = "ms", order: str = "event_id", limit: int = 60, window_ms: int = 60_000) -> DataFrame:
-    """Sliding-log limiter: a request passes if fewer than ``limit`` passed in the window before it; only those count.
-
-    Whether a request passes depends on those before it, so keys are walked in order. A task holds the
-    ``limit`` newest accepted times of one key, never a key's requests, however many a hot key has.
-    """
-    schema = f"{order} long, {key} long, {at} long, allowed boolean, remaining int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, taken = None, deque()
-        for pdf in batches:
-            out = []
-            for i, k, t in zip(pdf[order], pdf[key], pdf[at], strict=True):
-                if k != now:
-                    now, taken = k, deque()
-                while taken and taken[0] <= t - window_ms:
-                    taken.popleft()
-                if ok := len(taken) < limit:
-                    taken.append(t)
-                out.append((i, k, t, ok, max(0, limit - len(taken))))
-            yield pd.DataFrame(out, columns=[order, key, at, "allowed", "remaining"])
-
-    rows = requests.select(F.col(order).cast("long"), F.col(key).cast("long"), F.col(at).cast("long"))
-    return rows.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, schema)

@@ -6,7 +6,7 @@ import pytest
 from docloom.functions import text as X
 from docloom.operators import catalog, chunking, detection, language, memory, metrics, retrieval
 from docloom.sources import files
-from docloom.streaming import streams
+from docloom.streaming import stateful, streams
 from pyspark.sql import functions as F
 
 
@@ -134,7 +134,7 @@ def test_memory_loses_nothing(spark):
 def test_limiter(spark):
     r = random.Random(3)
     data = [(i, r.randrange(4), r.randrange(1000)) for i in range(600)]
-    got = {x.event_id: x.allowed for x in streams.limited(spark.createDataFrame(data, "event_id long, user_id long, ms long"), limit=5, window_ms=100).collect()}
+    got = {x.event_id: x.allowed for x in stateful.limited(spark.createDataFrame(data, "event_id long, user_id long, ms long"), limit=5, window_ms=100).collect()}
     taken = {}
     for i, k, at in sorted(data, key=lambda x: (x[1], x[2], x[0])):
         live = [x for x in taken.get(k, []) if x > at - 100]
