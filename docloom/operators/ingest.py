@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -32,18 +33,54 @@ def staged(events: DataFrame, docs: DataFrame, chunks: DataFrame | None = None,
 
 
 def cached(actions: DataFrame, entries: DataFrame, ttl_ms: int = 3_600_000, direct: float = 0.95, capacity: int = 500) -> DataFrame:
-    """actions: (action_id, key, at_ms, vector); entries: (entry_id, key, made_ms, vector). (action_id, entry_id, kind): what the cache answers.
+    """actions: (action_id, key, at_ms, vector); entries: (entry_id, key, made_ms, vector). (action_id, entry_id, kind): what the cache answers at the time of each action.
 
-    The newest ``capacity`` entries stand. An unexpired one of the same key answers (exact), else the most similar
-    one over ``direct`` (similar); ties go to the smaller entry_id. Actions without an answer give no row. The
-    capacity bounds the entries, so every action is held against all of them.
+    An action sees the newest ``capacity`` entries made by then, less what is older than ttl_ms. One of the same key
+    answers (exact), the newest first, else the most similar one over ``direct`` (similar); ties go to the smaller
+    entry_id. Actions without an answer, and those and entries without a time, give no row.
+
+    Entries are numbered in order of time; an action sees a stretch of numbers, at most ``capacity`` of them, which
+    lies in two neighbouring blocks of that many. So actions and entries meet by block: an action is sent to two
+    blocks with its vector, never to all entries, and a block holds ``capacity`` entries.
     """
-    held = entries.orderBy(F.col("made_ms").desc(), "entry_id").limit(capacity).select("entry_id", F.col("key").alias("entry_key"), "made_ms", F.col("vector").alias("entry_vector"))
-    fresh = (F.col("at_ms") - F.col("made_ms") <= ttl_ms) & (F.col("at_ms") >= F.col("made_ms"))
+    order = ("made_ms", F.desc("entry_id"))
+    ends = entries.filter("made_ms is not null").groupBy("made_ms").agg(F.count(F.lit(1)).alias("n"))
+    upto = _running(ends, "made_ms", "n")
+    within = F.row_number().over(W.partitionBy("made_ms").orderBy(order[1]))
+    numbered = entries.select("entry_id", F.col("key").alias("entry_key"), "made_ms", F.col("vector").alias("entry_vector")).withColumn("within", within)
+    placed = numbered.join(upto, "made_ms").withColumn("place", F.col("upto") - F.col("n") + F.col("within") - 1).drop("upto", "n", "within")
+    stored = placed.withColumn("block", F.floor(F.col("place") / capacity))
+    asked = _as_of(actions.filter("at_ms is not null").select("action_id", "key", "at_ms", "vector"), upto)
+    last = F.col("seen") - 1
+    blocks = F.array_distinct(F.array(F.floor(last / capacity), F.greatest(F.floor(last / capacity) - 1, F.lit(0))))
+    met = asked.filter("seen > 0").withColumn("block", F.explode(blocks)).join(stored, "block")
+    fresh = (F.col("place") < F.col("seen")) & (F.col("place") >= F.col("seen") - capacity) & (F.col("at_ms") - F.col("made_ms") <= ttl_ms)
     exact = F.col("key") == F.col("entry_key")
     alike = F.round(cosine(F.col("vector"), F.col("entry_vector")), 9)
-    lists = held.groupBy().agg(F.collect_list(F.struct(*held.columns)).alias("entries"))
-    met = actions.select("action_id", "key", "at_ms", "vector", lists.scalar().alias("entries")).withColumn("e", F.explode("entries")).select("action_id", "key", "at_ms", "vector", "e.*")
-    scored = met.filter(fresh).select("action_id", "entry_id", exact.alias("exact"), alike.alias("alike")).filter(F.col("exact") | (F.col("alike") > direct))
-    best = scored.groupBy("action_id").agg(F.min_by(F.struct("entry_id", "exact"), F.struct(~F.col("exact"), -F.col("alike"), F.col("entry_id"))).alias("b"))
+    scored = met.filter(fresh).select("action_id", "entry_id", "made_ms", F.coalesce(exact, F.lit(False)).alias("exact"), alike.alias("alike")).filter(F.col("exact") | (F.col("alike") > direct))
+    first = F.struct(~F.col("exact"), F.when(F.col("exact"), -F.col("made_ms").cast("double")).otherwise(-F.col("alike")), F.col("entry_id"))
+    best = scored.groupBy("action_id").agg(F.min_by(F.struct("entry_id", "exact"), first).alias("b"))
     return best.select("action_id", "b.entry_id", F.when(F.col("b.exact"), "exact").otherwise("similar").alias("kind"))
+
+
+#: Times whose rows are counted together, in milliseconds, so that a running count goes over blocks of time.
+_SPAN_MS = 3_600_000
+
+
+def _running(counts: DataFrame, at: str, n: str) -> DataFrame:
+    """Adds upto: the sum of n up to and with each time. Sums of spans first, so that the one ordered window is over spans alone."""
+    span = F.floor(F.col(at) / _SPAN_MS)
+    spans = counts.groupBy(span.alias("span")).agg(F.sum(n).alias("s"))
+    before = spans.select("span", (F.sum("s").over(W.orderBy("span")) - F.col("s")).alias("before"))
+    inside = F.sum(n).over(W.partitionBy("span").orderBy(at))
+    return counts.withColumn("span", span).withColumn("inside", inside).join(before, "span").select(at, n, (F.col("before") + F.col("inside")).alias("upto"))
+
+
+def _as_of(actions: DataFrame, upto: DataFrame) -> DataFrame:
+    """Adds seen: the entries made by the time of each action. Times of both kinds are put in order within spans; what a span begins with comes from the spans before."""
+    times = actions.select(F.col("at_ms").alias("t")).distinct().join(upto.select(F.col("made_ms").alias("t"), "upto"), "t", "full").withColumn("span", F.floor(F.col("t") / _SPAN_MS))
+    carried = times.groupBy("span").agg(F.max("upto").alias("most"))
+    begun = carried.select("span", F.coalesce(F.max("most").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
+    inside = F.max("upto").over(W.partitionBy("span").orderBy("t"))
+    seen = times.withColumn("inside", inside).join(begun, "span").select(F.col("t").alias("at_ms"), F.greatest(F.coalesce("inside", F.lit(0)), F.col("begun")).alias("seen"))
+    return actions.join(seen, "at_ms")

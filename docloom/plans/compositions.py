@@ -156,14 +156,17 @@ _register_staged()
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-held AS (SELECT vec_id AS entry_id, vec_id % 90 AS key, vec_id * 10000 AS made, e FROM v WHERE vec_id % 2 = 1 ORDER BY made DESC, entry_id LIMIT 500),
-m AS (SELECT a.vec_id AS action_id, entry_id, a.vec_id % 90 = key AS exact, round(coalesce(list_inner_product(a.e, h.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(h.e, h.e)), 0), 9) AS alike
-  FROM v a JOIN held h ON a.vec_id * 10000 + 5 - made BETWEEN 0 AND 3600000 WHERE a.vec_id % 2 = 0)
-SELECT action_id, arg_min(entry_id, {'a': NOT exact, 'b': -alike, 'c': entry_id}) AS entry_id, CASE WHEN bool_or(exact) THEN 'exact' ELSE 'similar' END AS kind FROM m WHERE exact OR alike > 0.95 GROUP BY action_id""")
+h AS (SELECT vec_id AS entry_id, vec_id % 90 AS key, vec_id // 3 * 30000 AS made, e, row_number() OVER (ORDER BY vec_id // 3 * 30000, vec_id DESC) AS place FROM v WHERE vec_id % 2 = 1),
+a AS (SELECT vec_id AS action_id, vec_id % 90 // 2 * 2 + 1 AS key, vec_id * 10000 + 5 AS asked, e, (SELECT count(*) FROM h WHERE made <= v.vec_id * 10000 + 5) AS seen FROM v WHERE vec_id % 2 = 0),
+m AS (SELECT action_id, entry_id, made, a.key = h.key AS exact, round(coalesce(list_inner_product(a.e, h.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(h.e, h.e)), 0), 9) AS alike
+  FROM a JOIN h ON place <= seen AND place > seen - 50 AND asked - made <= 3600000)
+SELECT action_id, arg_min(entry_id, {'a': NOT exact, 'b': CASE WHEN exact THEN -made::DOUBLE ELSE -alike END, 'c': entry_id}) AS entry_id, CASE WHEN bool_or(exact) THEN 'exact' ELSE 'similar' END AS kind FROM m WHERE exact OR alike > 0.95 GROUP BY action_id""")
 def action_cache(spark, d):
-    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 90).alias("key"), (F.col("vec_id") * 10_000).alias("ms"), F.col("embedding").alias("vector"))
-    actions = v.filter("id % 2 = 0").select(F.col("id").alias("action_id"), "key", (F.col("ms") + 5).alias("at_ms"), "vector")
-    return ingest.cached(actions, v.filter("id % 2 = 1").select(F.col("id").alias("entry_id"), "key", F.col("ms").alias("made_ms"), "vector"))
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 90).alias("key"), F.col("embedding").alias("vector"))
+    odd = F.floor(F.col("key") / 2) * 2 + 1
+    actions = v.filter("id % 2 = 0").select(F.col("id").alias("action_id"), odd.alias("key"), (F.col("id") * 10_000 + 5).alias("at_ms"), "vector")
+    entries = v.filter("id % 2 = 1").select(F.col("id").alias("entry_id"), "key", (F.floor(F.col("id") / 3) * 30_000).alias("made_ms"), "vector")
+    return ingest.cached(actions, entries, capacity=50)
 
 
 @query("SELECT doc_id, text IS NULL OR doc_id % 3 = 0 AS replaced, length(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 100) ELSE text END) AS n FROM documents WHERE doc_id % 5 <> 0")
