@@ -81,3 +81,34 @@ def memory_folded(spark, d):
 @query(_MEMORY_SQL)
 def stream_memory(spark, d):
     return streams.in_turns(_thirds(_timed(spark, d), "ms"), lambda s: stateful.remembered_stream(s, _RULES), _stream_dir(spark))
+
+
+def _register_ingestion():
+    from ..streaming import staged
+    from .compositions import _STAGED, _staged_sql
+    from .queries import _FIXED
+
+    def ingested(spark, d) -> staged.Staged:
+        """Uploads in three parts of a stream, one of them sent twice, and the last stage of some documents replayed."""
+        folder = _stream_dir(spark)
+        docs = t(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 7 == 0).alias("deleted"))
+        events = t(spark, d, "documents").select(F.col("doc_id").alias("event_id"), (F.col("doc_id") * 2 % 1500).alias("doc_id"))
+        pipeline = staged.Staged(spark, folder, staged.ingestion(docs))
+        for part in [events.filter("event_id % 3 = 0"), events.filter("event_id % 3 = 1"), events.filter("event_id % 3 = 2").unionByName(events.filter("event_id % 3 = 0"))]:
+            part.write.mode("append").parquet(f"{folder}/uploads")
+            staged.run(spark.readStream.schema(part.schema).parquet(f"{folder}/uploads"), pipeline, f"{folder}/checkpoint")
+        pipeline.replay(docs.filter("not deleted and doc_id % 4 = 0"), pipeline.next_number(), "chunk")
+        return pipeline
+
+    @query(_staged_sql(_FIXED))
+    def stream_ingest(spark, d):
+        # A document whose chunks are all blank is refused by the last stage, which the batch form calls chunk.
+        stage = F.when((F.col("status") == "FAILED") & (F.col("stage") == "index"), "chunk").otherwise(F.col("stage"))
+        return ingested(spark, d).status().select("doc_id", "status", stage.alias("stage"), F.col("rows").alias("chunks"))
+
+    @query(rf"WITH {_STAGED}, {_FIXED} SELECT md5(doc_id || ':fixed:' || chunk_index) AS chunk_id, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM chunks WHERE regexp_matches(content, '\S') AND doc_id IN (SELECT doc_id FROM fd WHERE parsed)")
+    def stream_ingest_index(spark, d):
+        return ingested(spark, d).current("index").filter("error is null").select("chunk_id", "doc_id", "chunk_index")
+
+
+_register_ingestion()
