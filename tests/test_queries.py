@@ -5,7 +5,7 @@ import pytest
 from .compare import connect, differences
 from .conftest import SMALL
 
-from docloom.plans import compositions, stateful  # noqa: F401  they register their queries
+from docloom.plans import compositions, graphs, stateful  # noqa: F401  they register their queries
 from docloom.plans.queries import ORACLE, QUERIES
 
 
