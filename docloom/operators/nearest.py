@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 
 from ..sources.tables import written
 
+#: Of the stored form; another number wherever it changes, so that nothing reads an index of another form.
+FORMAT = 1
 BLOCK = 256
 #: Centres that rows are dealt by: a product of rows and at most so many vectors.
 CENTRES = 256

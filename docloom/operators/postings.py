@@ -1,16 +1,17 @@
 """BM25 over a stored inverted index with bounds for each block of postings.
 
-Documents stand in ranges of at most ``RANGE``, near each other in length. The index holds one row for each term and
-range: the documents with the term, how often it stands in each, their lengths, and the largest count and least
-length among them. No document of a range scores more for a term than these two allow, so the sum over a query's
-terms bounds its score in the range.
+Documents stand in ranges of at most ``RANGE``, near each other in length. The index holds one row for each range, with
+its documents and their lengths, and one for each term and range: the places of the documents with the term, how
+often it stands in each, and the largest count and least length among them. No document of a range scores more for a
+term than these two allow, so the sum over a query's terms bounds its score in the range.
 
-Building reads the texts once: a task counts the terms of a range in one sort of numbers. Rows are stored by buckets
-of terms, so a query opens the buckets of its own terms only, and of these first the narrow columns. Adding rows
-writes further ranges beside the others; statistics are sums over all ranges.
+Building reads the texts once and shuffles nothing: a task counts the terms of a range in one sort of numbers. Adding
+rows writes further ranges beside the others; statistics are sums over all ranges.
 
 Searching: each query first scores the ranges of highest bounds, and with its k-th score from them only the ranges
-that may still hold a better document. The texts are not read, and nothing but Spark's own expressions runs.
+that may still hold a better document. The postings of the queries' terms and the queries that ask a range meet as
+rows of one order, so each is sent once; a task holds the postings of one range, adds up scores by place, and gives a
+query's best k of the range. The texts are not read.
 
 Defined cases: a null text has no terms and length 0, and counts as a document; a query's terms count once; a query
 without known terms finds nothing; with ``same``, rows of a null value are in no search, but count for the
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from ..sources.tables import written
 
+#: Of the stored form; another number wherever it changes, so that nothing reads an index of another form.
+FORMAT = 2
 K1, B = 1.2, 0.75
 RANGE = 4_096
 #: Documents, and bytes of their terms, that a task puts in order of length together.
@@ -44,31 +48,22 @@ _EDGE = 1e-6
 Batches = Iterator[pa.RecordBatch]
 
 
-def _idf(n: float, df: Column) -> Column:
-    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
-
-
-def _part(idf: Column, tf: Column, length: Column, mean: float) -> Column:
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
-
-
 @dataclass(frozen=True)
 class Postings:
-    """Rows (term, range, part, n, most, least, ids, counts, lengths) in folders by bucket; those of bucket -1 have no term and tell each range's documents (n) and their terms (total)."""
+    """Rows in a folder: of ranges (term null; range, part, n, total, ids, lengths), and of terms in them (term, range, part, n, most, least, places, counts)."""
 
     spark: SparkSession
     folder: str
-    buckets: int
     id_type: str
 
     def schema(self) -> str:
-        return f"term string, range long, part string, n int, total long, most int, least int, ids array<{self.id_type}>, counts array<int>, lengths array<int>"
+        return f"term string, range long, part string, n int, total long, most int, least int, ids array<{self.id_type}>, lengths array<int>, places array<int>, counts array<int>"
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema()}, bucket int").parquet(f"{self.folder}/postings")
+        return self.spark.read.schema(self.schema()).parquet(f"{self.folder}/postings")
 
     def ranges(self) -> DataFrame:
-        return self.table().filter("bucket = -1").select("range", "part", "n", "total")
+        return self.table().filter("term is null").select("range", "part", "n", "total")
 
     def add(self, rows: DataFrame, same: str | None = None, size: int = RANGE) -> Postings:
         """Writes the postings of further rows (chunk_id, content[, same])."""
@@ -76,29 +71,20 @@ class Postings:
         tokens = rows.select(part.alias("part"), "chunk_id", terms(F.coalesce("content", F.lit(""))).alias("tokens"))
         if same:  # ranges hold one value, so its rows come together; a value of very many rows stays spread
             tokens = tokens.repartitionByRange("part", F.xxhash64("chunk_id")).sortWithinPartitions("part")
-        counted = tokens.mapInArrow(lambda batches: _counted(batches, size), self.schema())
-        bucket = F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), self.buckets))
-        dealt = counted.withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "range")
-        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        tokens.mapInArrow(lambda batches: _counted(batches, size), self.schema()).write.mode("append").parquet(f"{self.folder}/postings")
         return self
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build(rows: DataFrame, folder: str, same: str | None = None, buckets: int | None = None, size: int = RANGE) -> Postings:
-    """A new index in folder. same: a column whose values are searched apart; buckets: files by term, as many as a shuffle has partitions unless told."""
+def build(rows: DataFrame, folder: str, same: str | None = None, size: int = RANGE) -> Postings:
+    """A new index in folder. same: a column whose values are searched apart."""
     spark = rows.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = rows.schema["chunk_id"].dataType.simpleString()
-    spark.createDataFrame([(n, id_type)], "buckets int, id_type string").write.parquet(f"{folder}/about")
-    return Postings(spark, folder, n, id_type).add(rows, same, size)
+    spark.createDataFrame([(id_type,)], "id_type string").write.parquet(f"{folder}/about")
+    return Postings(spark, folder, id_type).add(rows, same, size)
 
 
 def load(spark: SparkSession, folder: str) -> Postings:
-    about = spark.read.parquet(f"{folder}/about").first()
-    return Postings(spark, folder, about["buckets"], about["id_type"])
+    return Postings(spark, folder, spark.read.parquet(f"{folder}/about").first()["id_type"])
 
 
 def _counted(batches: Batches, size: int) -> Batches:
@@ -131,73 +117,118 @@ def _ranges(held: list[pa.RecordBatch], part: str | None, size: int) -> Batches:
     tokens, ids = table["tokens"].chunk(0), table["chunk_id"].chunk(0)
     length = np.diff(tokens.offsets.to_numpy())
     order = np.argsort(length, kind="stable")
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(ids.type), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["term", "range", "part", "n", "total", "most", "least", "ids", "counts", "lengths"]
+    ints = pa.list_(pa.int32())
+    kinds = {"term": pa.string(), "range": pa.int64(), "part": pa.string(), "n": pa.int32(), "total": pa.int64(), "most": pa.int32(), "least": pa.int32(), "ids": pa.list_(ids.type), "lengths": ints, "places": ints, "counts": ints}
 
-    def batch_of(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def batch_of(rows: int, **columns) -> pa.RecordBatch:
+        given = {k: columns.get(k, [None] * rows) for k in kinds}
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for k, c in given.items()], names=list(kinds))
 
     for a in range(0, len(order), size):
         at = order[a : a + size]
         mine = tokens.take(pa.array(at))
         n, number = length[at], uuid.uuid4().int >> 65
-        yield batch_of([None], [number], [part], [len(at)], [int(n.sum())], [None], [None], [None], [None], [None])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), values)  # noqa: E731,B023
+        yield batch_of(1, range=[number], part=[part], n=[len(at)], total=[int(n.sum())], ids=one(ids.take(pa.array(at))), lengths=one(pa.array(n, pa.int32())))
         words = mine.flatten().dictionary_encode()
-        code, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(at)), n)
-        key, count = np.unique(code * len(at) + doc, return_counts=True)
-        if not len(key) or part is None:
+        if not len(words) or part is None:
             continue
+        by_term = pc.sort_indices(words.dictionary)
+        code_of = np.empty(len(by_term), np.int64)
+        code_of[by_term.to_numpy()] = np.arange(len(by_term))
+        code, doc = code_of[words.indices.to_numpy()], np.repeat(np.arange(len(at)), n)
+        key, count = np.unique(code * len(at) + doc, return_counts=True)
         code, doc = key // len(at), key % len(at)
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        ends = np.append(edge[1:], len(code))
         offsets = pa.array(np.append(edge, len(code)), pa.int32())
-        lists = lambda values: pa.ListArray.from_arrays(offsets, values)
-        term = words.dictionary.take(pa.array(code[edge]))
-        most, least = np.maximum.reduceat(count, edge), np.minimum.reduceat(n[doc], edge)
-        same = lambda v, kind: pa.array([v] * len(edge), kind)
-        yield batch_of(
-            term.cast(pa.string()), same(number, pa.int64()), same(part, pa.string()), pa.array(ends - edge, pa.int32()), same(None, pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
-            lists(ids.take(pa.array(at[doc]))), lists(pa.array(count, pa.int32())), lists(pa.array(n[doc], pa.int32())),
+        lists = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))  # noqa: E731,B023
+        step = 20_000  # rows a batch
+        whole = batch_of(
+            len(edge), term=words.dictionary.take(by_term).cast(pa.string()), range=pa.array([number] * len(edge)), part=pa.array([part] * len(edge)), n=pa.array(np.diff(np.append(edge, len(code))), pa.int32()),
+            most=pa.array(np.maximum.reduceat(count, edge), pa.int32()), least=pa.array(np.minimum.reduceat(n[doc], edge), pa.int32()), places=lists(doc), counts=lists(count),
         )
+        yield from (whole.slice(i, step) for i in range(0, whole.num_rows, step))
+
+
+def _part(idf: Column, tf: Column, length: Column, mean: float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type: pa.DataType) -> Batches:
+    """Rows in order of range: its documents, the postings of its terms, the queries that ask it. The best k of each query there, and what comes within rounding of the k-th."""
+    ids, length, held, ready = pa.array([], id_type), np.empty(0), {}, {}
+    for batch in batches:
+        out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        column = {n: batch.column(n) for n in batch.schema.names}
+        for i, kind in enumerate(column["kind"].to_pylist()):
+            if kind == 0:
+                ids, length, held, ready = column["ids"][i].values, column["lengths"][i].values.to_numpy(), {}, {}
+            elif kind == 1:
+                held[column["term"][i].as_py()] = (column["places"][i].values.to_numpy(), column["counts"][i].values.to_numpy())
+            else:
+                score = np.zeros(len(length))
+                for term, idf in zip(column["terms"][i].as_py(), column["idfs"][i].as_py(), strict=True):
+                    if term in held and term not in ready:
+                        at, tf = held[term]
+                        ready[term] = at, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean))
+                    if term in ready:
+                        at, share = ready[term]
+                        score[at] += idf * share
+                floor = column["floor"][i].as_py() or 0.0
+                found = np.flatnonzero(score > 0)
+                if len(found) > k:
+                    floor = max(floor, float(np.partition(score[found], -k)[-k]))
+                found = found[score[found] + _EDGE >= floor]
+                out.append((pa.array([column["query_id"][i].as_py()] * len(found), query_type), ids.take(pa.array(found)), score[found]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([q for q, _, _ in out]), pa.concat_arrays([c for _, c, _ in out]), pa.array(np.concatenate([x for _, _, x in out]))], names=["query_id", "chunk_id", "score"])
 
 
 def searched(index: Postings, queries: DataFrame, k: int, same: str | None = None, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
     """queries: (query_id, query[, same]). (query_id, chunk_id, score, rank): each query's best k; and (query_id, range): what was scored for it."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = index.spark
     stats = index.ranges().agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("ranges")).first()
     n, mean = float(stats["n"] or 0), float(stats["total"] or 0) / max(1, stats["n"] or 0) or 1.0
     part = F.col(same).cast("string") if same else F.lit("")
-    asked = queries.select("query_id", part.alias("part"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    wanted = asked.select("bucket", "term").distinct()
-    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    table = index.table()
-    if few:  # whole files of other buckets are left out, and the terms go to the scan
-        table = table.filter(F.col("bucket").isin([r["bucket"] for r in wanted.select("bucket").distinct().collect()]))
+    asked = queries.select("query_id", part.alias("part"), F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    wanted = asked.select("term").distinct()
+    if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         wanted = F.broadcast(wanted)
-    sides = table.select("bucket", "term", "range", "part", "n", "most", "least").join(wanted, ["bucket", "term"])
-    weights = sides.groupBy("bucket", "term").agg(_idf(n, F.sum("n")).alias("idf"))
-    lists = table.select("bucket", "term", "range", "part", "ids", "counts", "lengths")
-    weighed = asked.join(weights, ["bucket", "term"])
-
-    def scored(asking: DataFrame, on: list[str]) -> DataFrame:
-        each = asking.join(lists, on).select("query_id", "idf", F.explode(F.arrays_zip("ids", "counts", "lengths")).alias("p"))
-        return each.groupBy("query_id", F.col("p.ids").alias("chunk_id")).agg(F.round(F.sum(_part(F.col("idf"), F.col("p.counts"), F.col("p.lengths"), mean)), 6).alias("score"))
+    rows = index.table().filter("term is not null").join(wanted, "term", "left_semi")
+    sides = rows.select("term", "range", "part", "n", "most", "least")
+    df = F.sum("n")
+    weighed = written(asked.join(sides.groupBy("term").agg(F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf")), "term"), "terms")
+    bound = _part(F.col("idf"), F.col("most"), F.col("least"), mean)
+    bounds = written(weighed.join(sides, ["term", "part"]).groupBy("query_id", "range").agg(F.sum(bound).alias("bound")), "bounds")
+    asking = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"))
+    documents = index.table().filter("term is null").select("range", F.lit(0).alias("kind"), "ids", "lengths")
+    lists = rows.select("range", F.lit(1).alias("kind"), "term", "places", "counts")
+    query_type = asked.schema["query_id"].dataType
+    kinds = to_arrow_type(index.table().schema["ids"].dataType.elementType), to_arrow_type(query_type)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """pairs: (query_id, range, floor). Each query's best k of each of its ranges."""
+        asks = pairs.join(asking, "query_id").select("range", F.lit(2).alias("kind"), "query_id", "terms", "idfs", "floor")
+        met = documents.unionByName(lists, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
+        order = met.repartition(parts, "range").sortWithinPartitions("range", "kind")
+        hits = order.mapInArrow(lambda b: _met(b, k, mean, *kinds), f"query_id {query_type.simpleString()}, chunk_id {index.id_type}, score double")
+        return hits.withColumn("score", F.round("score", 6))
 
     def ranked(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
 
+    none = F.lit(None).cast("double").alias("floor")
     if stats["ranges"] <= 4 * near:
-        found = sides.select("part", "range", "bucket", "term").join(asked, ["bucket", "term", "part"]).select("query_id", "range").distinct()
-        return ranked(scored(weighed, ["bucket", "term", "part"])), found
-    bound = _part(F.col("idf"), F.col("most"), F.col("least"), mean)
-    met = weighed.join(sides.drop("n"), ["bucket", "term", "part"])
-    bounds = written(met.groupBy("query_id", "range").agg(F.sum(bound).alias("bound")), "bounds")
+        return ranked(scored(bounds.select("query_id", "range", none))), bounds.select("query_id", "range")
     first = bounds.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range"))).filter(F.col("r") <= near).select("query_id", "range")
-    best = written(ranked(scored(weighed.join(first, "query_id"), ["bucket", "term", "part", "range"])), "best")
+    best = written(ranked(scored(first.select("query_id", "range", none))), "best")
     floors = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     left = bounds.join(first, ["query_id", "range"], "left_anti").join(floors, "query_id", "left")
-    rest = written(left.filter(F.col("floor").isNull() | (F.col("bound") + _EDGE >= F.col("floor"))).select("query_id", "range"), "rest")
-    more = scored(weighed.join(rest, "query_id"), ["bucket", "term", "part", "range"])
-    return ranked(more.unionByName(best.select("query_id", "chunk_id", "score"))), first.unionByName(rest)
+    rest = written(left.filter(F.col("floor").isNull() | (F.col("bound") + _EDGE >= F.col("floor"))).select("query_id", "range", "floor"), "rest")
+    return ranked(scored(rest).unionByName(best.select("query_id", "chunk_id", "score"))), first.unionByName(rest.select("query_id", "range"))
 
 
 def search(index: Postings, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:

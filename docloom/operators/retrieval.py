@@ -6,10 +6,6 @@ Every operator takes all queries at once. Ranking keeps the best k of each query
 
 from __future__ import annotations
 
-import difflib
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,26 +199,3 @@ def knowledge_action(hits: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content")))
     lines = F.transform(ordered, lambda x: F.concat(F.lit("["), x["chunk_id"].cast("string"), F.lit("] "), F.coalesce(x["content"], F.lit(""))))
     return hits.groupBy("query_id").agg(F.array_join(lines, "\n").alias("answer"))
-
-
-def passage_matches(rows: DataFrame, golden: DataFrame, threshold: float = 0.75, shortest: int = 20) -> DataFrame:
-    """rows: (chunk_id, content); golden: (item_id, passage). Pairs of texts alike by the ratio of matching characters, ignoring case; passages under ``shortest`` characters match nothing.
-
-    The ratio is 2 m / (a + b) with m matching characters, so lengths a and b allow it only within bounds and m
-    is at most what their letter counts share: both are tested on lengths and counts before a text is compared.
-    """
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
-            m = difflib.SequenceMatcher(None, x, y)
-            return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    most = threshold / (2 - threshold)  # the shorter one's least share of the longer one
-    step = -math.log(most)
-    band = lambda n: F.floor(F.log(n) / step).cast("int")
-    asked = golden.filter(F.length("passage") >= shortest).select("item_id", F.lower("passage").alias("p")).withColumn("band", F.explode(F.array(*[band(F.length("p")) + F.lit(d) for d in (-1, 0, 1)])))
-    texts = rows.filter(F.length("content") > 0).select("chunk_id", F.lower("content").alias("c")).withColumn("band", band(F.length("c")))
-    near = texts.join(asked, "band").filter(F.least(F.length("p"), F.length("c")) * 2 >= threshold * (F.length("p") + F.length("c")))
-    return near.filter(alike(F.col("p"), F.col("c"))).select("chunk_id", "item_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, chunking, detection, ingest, language, memory, metrics, retrieval, traces
+from ..operators import catalog, chunking, detection, ingest, language, memory, metrics, passages, retrieval, traces
 from ..sources import files
 from .queries import _BM, _FUSED, _HYBRID, _MSG, _RERANK, _VEC, _ask, _hybrid, _messages, _stored_texts, _stored_vectors, _stream_dir, _titled, _topk, _vectors, query, t
 
@@ -114,13 +114,21 @@ def action_knowledge(spark, d):
     return retrieval.knowledge_action(hits).select("query_id", F.md5(F.col("answer").cast("binary")).alias("digest"))
 
 
+def _golden(spark, d):
+    return t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+
+
 @query()
 def passage_matches(spark, d):
-    """Passages against the openings of documents and against misspelt passages."""
-    golden = t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    """Passages against whole documents and against misspelt passages."""
+    golden = _golden(spark, d)
     misspelt = golden.select((-1 - F.col("item_id")).alias("chunk_id"), F.translate("passage", "aeT", "ea").alias("content"))
-    openings = _contents(spark, d).withColumn("content", F.substring("content", 1, 300))
-    return retrieval.passage_matches(openings.unionByName(misspelt), golden)
+    return passages.passage_matches(_contents(spark, d).unionByName(misspelt), golden)
+
+
+@query("SELECT doc_id AS chunk_id, item_id FROM documents d JOIN benchmark b ON length(b.text) >= 20 AND contains(lower(d.text), lower(b.text))")
+def passage_containment(spark, d):
+    return passages.contained(_contents(spark, d), _golden(spark, d))
 
 
 # Ingestion and cache

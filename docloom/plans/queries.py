@@ -227,7 +227,7 @@ def _vectors(spark, d) -> DataFrame:
 
 def _stored_vectors(spark, d, same: str | None = None) -> nearest.VectorIndex:
     """The index of embeddings as their files are now; made once in the shared folder."""
-    name = f"vectors-{same or 'all'}-{stored.fingerprint(t(spark, d, 'embeddings'))}"
+    name = f"vectors-{nearest.FORMAT}-{same or 'all'}-{stored.fingerprint(t(spark, d, 'embeddings'))}"
     return nearest.VectorIndex(spark, stored.kept(spark, name, lambda folder: nearest.build(_vectors(spark, d), folder, same)))
 
 
@@ -235,7 +235,7 @@ def _stored_texts(spark, d) -> postings.Postings:
     """The inverted index of documents as their files are now; made once in the shared folder."""
     docs = t(spark, d, "documents")
     rows = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return postings.load(spark, stored.kept(spark, f"postings-{stored.fingerprint(docs)}", lambda folder: postings.build(rows, folder)))
+    return postings.load(spark, stored.kept(spark, f"postings-{postings.FORMAT}-{stored.fingerprint(docs)}", lambda folder: postings.build(rows, folder)))
 
 
 def _ask(df: DataFrame) -> DataFrame:

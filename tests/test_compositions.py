@@ -1,12 +1,11 @@
 """The SQL guard against statements that write or reach past it, chunkers by their rules, and percentiles by brute force."""
 
-import difflib
 import math
 import random
 
 import pytest
 from docloom.functions import text as X
-from docloom.operators import chunking, language, metrics, retrieval
+from docloom.operators import chunking, language, metrics
 from pyspark.sql import functions as F
 
 
@@ -155,16 +154,6 @@ def test_percentiles_of_ties_and_hot_groups(spark):
             assert got[g][f"floor_{tag}"] == v[int(len(v) * p)] and got[g][f"nearest_{tag}"] == v[max(0, math.ceil(len(v) * p) - 1)]
 
 
-def test_passage_matches_as_brute_force(spark):
-    r = random.Random(5)
-    base = ["the quick brown fox jumps over the lazy dog again and again", "retrieval of passages needs a measure of likeness", "too short"]
-    rows = [(i, "".join(c if r.random() > 0.12 else r.choice("abc ") for c in r.choice(base)).upper()) for i in range(60)] + [(99, None), (98, "")]
-    golden = list(enumerate(base))
-    want = {(i, j) for i, c in rows if c for j, p in golden if len(p) >= 20 and difflib.SequenceMatcher(None, p.lower(), c.lower()).ratio() >= 0.75}
-    got = retrieval.passage_matches(spark.createDataFrame(rows, "chunk_id long, content string"), spark.createDataFrame(golden, "item_id long, passage string"))
-    assert {tuple(x) for x in got.collect()} == want and len(want) > 20
-
-
 def test_cut_to_tokens(spark):
     df = spark.createDataFrame([("ab中c文d",), ("abc",), ("中文",), ("",), (None,)], "s string")
     assert [x[0] for x in df.select(X.cut_to_tokens(F.col("s"), 1)).collect()] == ["ab中", "abc", "中", "", None]

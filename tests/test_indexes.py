@@ -126,7 +126,7 @@ def test_postings_read_ranges_by_bounds(spark):
 
 def test_postings_in_parts_and_added_later(spark):
     first, second = texts(spark, 300), texts(spark, 200, 300, seed=2)
-    index = postings.build(first, new_dir(spark, "test"), "kb", buckets=5, size=8).add(second, "kb", 8)
+    index = postings.build(first, new_dir(spark, "test"), "kb", size=8).add(second, "kb", 8)
     wanted = [(1, "rare7 rare9 w1", "kb1"), (2, "rare1", "kb0"), (3, "w5", "kb3"), (4, "w5", "no such"), (5, "w5", None)]
     queries = spark.createDataFrame(wanted, "query_id long, query string, kb string")
     data = [tuple(r) for r in first.unionByName(second).collect()]
