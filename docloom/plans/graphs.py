@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import pipelines
+from ..operators import pipelines, sketches
 from .queries import query, t
 
 _NODES = """nd AS (SELECT user_id AS pipeline_id, event_id AS node_id, event_type, value, lead(event_id) OVER w AS nx, first_value(event_id) OVER w AS f, nth_value(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -55,3 +55,28 @@ def pipeline_tasks(spark, d):
     status = F.when(F.col("node_id") % 41 == 0, "FAILED").otherwise("DONE")
     done = nodes.filter("node_id % 59 <> 0").select(F.col("pipeline_id").alias("task_id"), "node_id", status.alias("status"), (F.col("node_id") % 100).alias("duration_ms"))
     return pipelines.task_report(pipelines.task_paths(tasks, clicks, pipelines.ranked(nodes)), done)
+
+
+_DAYS = 7
+
+
+@query(f"""WITH e AS (SELECT event_type, user_id, value, epoch_us(ts) // 86400000000 AS day FROM events),
+w AS (SELECT DISTINCT day FROM e)
+SELECT event_type, w.day, count(value) AS n, min(value) AS least, max(value) AS most, true AS p50_within, true AS p95_within, true AS p99_within, count(DISTINCT user_id) AS exact_keys, true AS keys_within
+FROM w JOIN e ON e.day BETWEEN w.day - {_DAYS - 1} AND w.day GROUP BY event_type, w.day""")
+def sketch_windows(spark, d):
+    """Seven days up to each day, merged from sketches of minutes, and whether each figure keeps its stated error against all rows of its window."""
+    events = t(spark, d, "events")
+    table = sketches.levels(sketches.by_step(events, "event_type", "ts", "value", "user_id"))
+    days = table.filter("level = 2").select(F.col("step").alias("window_id")).distinct()
+    minutes = 24 * 60
+    wanted = days.select("window_id", ((F.col("window_id") - _DAYS + 1) * minutes).alias("start"), ((F.col("window_id") + 1) * minutes).alias("end"))
+    told = sketches.figures(sketches.over(table, wanted), "group", "window_id").select("*", F.col("window_id").alias("day"))
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    rows = events.select(F.col("event_type").alias("g"), "user_id", "value", F.explode(F.sequence(day, day + _DAYS - 1)).alias("window"))
+    met = told.join(rows, told["group"].eqNullSafe(rows["g"]) & (told["window_id"] == rows["window"]))
+    ranks = [F.struct(F.count_if(F.col("value") < F.col(p)).alias("below"), F.count_if(F.col("value") <= F.col(p)).alias("upto")).alias(f"r{p}") for p in ("p50", "p95", "p99")]
+    kept = [F.first(c).alias(c) for c in ("n", "least", "most", "keys_low", "keys_high")]
+    found = met.groupBy("group", "day").agg(*kept, *ranks, F.countDistinct("user_id").alias("exact_keys"))
+    within = lambda p, q: ((F.col(f"r{p}.below") <= F.col("n") * (q + sketches.RANK_ERROR)) & (F.col(f"r{p}.upto") >= F.col("n") * (q - sketches.RANK_ERROR))).alias(f"{p}_within")
+    return found.select(F.col("group").alias("event_type"), "day", "n", "least", "most", within("p50", 0.5), within("p95", 0.95), within("p99", 0.99), "exact_keys", F.col("exact_keys").between(F.col("keys_low"), F.col("keys_high")).alias("keys_within"))
