@@ -1,6 +1,7 @@
 """Encoding, token files, suffix dedup, n-gram join, sharding, mixing and licences against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from docloom.llm import ans, bpe, licenses, mixing, ngrams, sharding, suffixes
 from docloom.llm.queries import vocabulary_path
 from pyspark.sql import functions as F
@@ -382,6 +384,45 @@ def test_sharding(spark, documents):
     assert sharding.assign(none(spark)).count() == 0
 
 
+def least_draw(key, level, names, weights):
+    """The child with the least weighted draw, hashed with the xxhash library as the engine hashes three columns."""
+    best = None
+    for name, weight in zip(names, weights, strict=True):
+        seed = 42
+        for part in (key.encode(), level.encode(), struct.pack("<i", name)):
+            seed = xxhash.xxh64_intdigest(part, seed)
+        draw = -math.log(((seed >> 12) + 0.5) / 2**52) / weight
+        best = min(best or (draw, name), (draw, name))
+    return best[1]
+
+
+def plain_shard(key, n_shards):
+    """32 shards as 2 regions of 4 racks of 4, every further one a region and rack of its own; no code of the operator."""
+    single = n_shards - 32
+    region = least_draw(key, "region", range(2 + single), [16.0] * 2 + [1.0] * single)
+    if region >= 2:
+        return 30 + region
+    rack = least_draw(key, "rack", range(4 * region, 4 * region + 4), [4.0] * 4)
+    return least_draw(key, "shard", range(4 * rack, 4 * rack + 4), [1.0] * 4)
+
+
+def test_every_draw_as_in_plain_python(spark, documents):
+    for df, plain in both(documents, spark):
+        got = Counter((r.doc_id, r.shard, r.grown_shard) for r in sharding.assign(df).collect())
+        keys = ["null" if d is None else str(d) for d, _ in plain]
+        assert got == Counter((d, plain_shard(k, 40), plain_shard(k, 41)) for (d, _), k in zip(plain, keys, strict=True))
+
+
+def test_growth_takes_rows_only_into_the_new_shards(spark):
+    counts = (40, 41, 42, 43)
+    ids = spark.range(5_000).select(F.col("id").cast("string").alias("k"))
+    got = ids.select("k", *[sharding.shard_of(F.col("k"), sharding.balanced(n)).alias(f"s{n}") for n in counts]).collect()
+    for r in got:
+        shards = [r[f"s{n}"] for n in counts]
+        assert shards == [plain_shard(r.k, n) for n in counts]
+        assert all(b == a or b == n for n, a, b in zip(counts, shards, shards[1:], strict=False))
+
+
 def test_changed_weights_move_rows_of_their_subtree_only(spark):
     from pyspark.sql import functions as F
 
