@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed
+from .common import freed, kept
 
 #: Pieces that a worker remembers; beyond, its table starts afresh.
 MEMORY = 200_000
@@ -174,6 +174,14 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(vocabulary(path))
 
 
+def _forget() -> None:
+    vocabulary.cache_clear()
+    pieces_of.cache_clear()
+
+
+kept("bpe", _forget)
+
+
 def merge_rows(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """What merge does, for fragments of one length as rows, one merge of each row a turn; freed places become -1."""
     n, width = ids.shape
@@ -261,18 +269,18 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     """The kept columns, n_tokens, and ids: the whole text's ids as little-endian 32-bit integers."""
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(freed(lambda batches: _encoded(batches, path, keep)), schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(freed(lambda batches: _encoded(batches, path, keep), "bpe"), schema)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
     """The kept columns and decoded: the bytes of all ids, read as UTF-8 with U+FFFD for what is not."""
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField("decoded", T.StringType())])
-    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(freed(lambda batches: _decoded(batches, path, keep, "__ids")), schema)
+    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(freed(lambda batches: _decoded(batches, path, keep, "__ids"), "bpe"), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of its ids and of the text decoded from them. Each slice of rows is encoded and decoded by one Python worker."""
     keep = ("doc_id", "n_tokens", "ids")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    back = docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(freed(lambda batches: _decoded(_encoded(batches, path, ("doc_id",)), path, keep)), schema)
+    back = docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(freed(lambda batches: _decoded(_encoded(batches, path, ("doc_id",)), path, keep), "bpe"), schema)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Whitespace of the word contracts: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows on its way to a Python worker; one row may be larger.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds batches sent to Python under BATCH_BYTES: a row may be a block of documents, and a batch is there in the JVM and in Python at once."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage and outlives lost executors. by: a column with a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with _small_batches(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -52,22 +68,36 @@ def discard(*tables: DataFrame) -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
-def freed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A function for mapInArrow whose worker gives free memory back to the system when its task begins and ends: Spark keeps workers for the next stage."""
+#: What a worker keeps between tasks of one kind, by name: functions that let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library than glibc
-            return
+
+def kept(name: str, forget: Callable[[], None]) -> None:
+    """Tables that tasks of one kind share in a worker; every task of another kind lets them go."""
+    _KEPT[name] = forget
+
+
+def give_back(own: str | None = None) -> None:
+    """Lets go of all that is kept but the task's own, and gives free memory back to the system."""
+    for name, forget in _KEPT.items():
+        if name != own:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        return
+
+
+def freed(run: Callable[[Batches], Batches], own: str | None = None) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow whose worker gives memory back when its task begins and ends: Spark keeps workers for the next stage. own: the tables that its tasks share."""
 
     def wrapped(batches: Batches) -> Batches:
-        give_back()
+        give_back(own)
         try:
             yield from run(batches)
         finally:
-            give_back()
+            give_back(own)
 
     return wrapped
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import give_back, written
 
 # The figures of a text, in order.
 FIGURES = ["upper", "symbols", "digits", "distinct_words", "word_length", "length", "repeated_lines", "top_word", "line_ends"]
@@ -68,6 +68,7 @@ def figures_of(text: str | None) -> list[float]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def figures(texts: pd.Series) -> pd.Series:
+    give_back()
     return pd.Series([figures_of(t) for t in texts], dtype=object)
 
 

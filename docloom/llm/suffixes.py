@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
-from .common import freed, partitions, written
+from .common import freed, kept, partitions, written
 
 WIDTH = 50
 GRAM = 20
@@ -48,6 +48,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LAST = 2**63 - 1
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+kept("powers", _cache.clear)
 
 
 
