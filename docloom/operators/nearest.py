@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import written
+from ..sources.tables import small_batches, written
 
 #: Of the stored form; another number wherever it changes, so that nothing reads an index of another form.
 FORMAT = 1
@@ -42,11 +42,13 @@ TOGETHER = 8_192
 #: Blocks whose bounds are taken together, and queries.
 BOUNDS, QUERIES = 4_096, 256
 #: Queries of one block that are scored together.
-ASKING = 4_096
+ASKING = 1_024
 #: Blocks that a query reads in each wave, highest bounds first, before it reads all that are left.
 WAVES = (2, 16)
 #: Scores are rounded to six digits, so a bound counts as reached within one of the last.
 _EDGE = 1e-6
+#: Rows of a batch that a task gives back.
+_ROWS = 50_000
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -102,7 +104,8 @@ class VectorIndex:
         dealt = given.mapInArrow(lambda batches: _assigned(batches, centres), f"part string, chunk_id {id_type}, vector {vector_type}, cell int")
         cells = dealt.repartitionByRange("part", "cell", F.xxhash64("chunk_id")).sortWithinPartitions("part", "cell")
         schema = f"block long, part string, n int, centre binary, radius double, ids array<{id_type}>, vectors binary"
-        cells.mapInArrow(lambda batches: _blocks(batches, block), schema).write.mode("append").parquet(f"{self.folder}/blocks")
+        with small_batches(self.spark):
+            cells.mapInArrow(lambda batches: _blocks(batches, block), schema).write.mode("append").parquet(f"{self.folder}/blocks")
         return self
 
 
@@ -155,38 +158,53 @@ def _blocks(batches: Batches, most: int) -> Batches:
         yield put()
 
 
+def _list(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    """A row's list of numbers, without copies of the batch; nulls of doubles are nan."""
+    return batch.column(column)[i].values.to_numpy(zero_copy_only=False)
+
+
+def _floors(values: np.ndarray) -> np.ndarray:
+    values = values.astype(np.float64)
+    return np.where(np.isnan(values), -np.inf, values)
+
+
 def _bounds(packs: Batches, most: int | None, id_type: pa.DataType) -> Batches:
     """Pairs of a query and a block whose bound reaches the query's floor, for each pack of both; the ``most`` highest of each query at best."""
     for batch in packs:
-        for r in batch.to_pylist():
-            q = np.frombuffer(r["vectors"]).reshape(len(r["queries"]), -1)
-            c = np.frombuffer(r["centres"]).reshape(len(r["blocks"]), -1)
-            bound = q @ c.T + np.sqrt((q**2).sum(axis=1))[:, None] * np.array(r["radii"])
-            floor = np.array([-np.inf if f is None else f for f in r["floors"]])
-            ok = bound + _EDGE + 1e-9 * np.abs(bound) >= floor[:, None]
-            ok &= np.array(r["query_parts"], object)[:, None] == np.array(r["block_parts"], object)
+        for r in range(batch.num_rows):
+            queries, blocks = batch.column("queries")[r].values, _list(batch, "blocks", r)
+            q = _list(batch, "v", r).reshape(len(queries), -1)
+            c = np.frombuffer(batch.column("centres")[r].as_buffer()).reshape(len(blocks), -1)
+            bound = q @ c.T + np.sqrt((q**2).sum(axis=1))[:, None] * _list(batch, "radii", r)
+            ok = bound + _EDGE + 1e-9 * np.abs(bound) >= _floors(_list(batch, "floors", r))[:, None]
+            parts = pa.concat_arrays([batch.column("query_parts")[r].values, batch.column("block_parts")[r].values]).dictionary_encode().indices.to_numpy()
+            ok &= parts[: len(queries), None] == parts[len(queries) :]
             if most is not None and most < bound.shape[1]:
                 near = np.argpartition(np.where(ok, -bound, np.inf), most - 1, axis=1)[:, :most]
                 chosen = np.zeros_like(ok)
                 np.put_along_axis(chosen, near, True, axis=1)
                 ok &= chosen
             i, j = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(r["queries"], id_type).take(pa.array(i)), pa.array(np.array(r["blocks"])[j], pa.int64()), pa.array(bound[i, j])], names=["query_id", "block", "bound"])
+            for a in range(0, len(i), _ROWS):
+                x, y = i[a : a + _ROWS], j[a : a + _ROWS]
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(x)).cast(id_type), pa.array(blocks[y], pa.int64()), pa.array(bound[x, y])], names=["query_id", "block", "bound"])
 
 
 def _scored(rows: Batches, k: int, types: list[pa.DataType]) -> Batches:
     """rows: a block beside the queries that ask it. Their best k rows there, and what comes within rounding of the k-th."""
     for batch in rows:
-        for r in batch.to_pylist():
-            x = np.frombuffer(r["vectors"]).reshape(r["n"], -1)
-            q = np.array([a["vector"] for a in r["asking"]], np.float64).reshape(len(r["asking"]), -1)
-            score = q @ x.T
-            floor = np.array([-np.inf if a["floor"] is None else a["floor"] for a in r["asking"]])
-            if k < x.shape[0]:
-                floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-            i, j = np.nonzero(score + _EDGE + 1e-9 * np.abs(score) >= floor[:, None])
-            asked, ids = pa.array([a["query_id"] for a in r["asking"]], types[0]), pa.array(r["ids"], types[1])
-            yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "chunk_id", "score"])
+        for r in range(batch.num_rows):
+            ids, asked = batch.column("ids")[r].values, batch.column("queries")[r].values
+            x = np.frombuffer(batch.column("vectors")[r].as_buffer()).reshape(len(ids), -1)
+            q = _list(batch, "v", r).reshape(len(asked), -1)
+            floors = _floors(_list(batch, "floors", r))
+            for a in range(0, len(asked), QUERIES):
+                score = q[a : a + QUERIES] @ x.T
+                floor = floors[a : a + QUERIES]
+                if k < x.shape[0]:
+                    floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(score + _EDGE + 1e-9 * np.abs(score) >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i + a)).cast(types[0]), ids.take(pa.array(j)).cast(types[1]), pa.array(score[i, j])], names=["query_id", "chunk_id", "score"])
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -202,12 +220,13 @@ def _packed(rows: DataFrame, n: int, size: int, name: str, *columns: Column) ->
 
 
 def _in_one(batches: Batches, column: str, name: str) -> Batches:
-    """A column of lists, of binaries or doubles, as one binary each, under another name."""
+    """A column of lists of binaries as one binary each, under another name."""
     for batch in batches:
-        lists = batch.column(column)
-        values = [b"".join(x.as_py()) if pa.types.is_binary(lists.type.value_type) else x.values.to_numpy(zero_copy_only=False).tobytes() for x in lists]
-        keep = [n for n in batch.schema.names if n != column]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(values, pa.binary())], names=[*keep, name])
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            keep = [n for n in batch.schema.names if n != column]
+            whole_row = b"".join(x.as_buffer() for x in row.column(column)[0].values)
+            yield pa.RecordBatch.from_arrays([*[row.column(n) for n in keep], pa.array([whole_row], pa.binary())], names=[*keep, name])
 
 
 def searched(index: VectorIndex, queries: DataFrame, k: int, same: str | None = None, waves: tuple[int, ...] = WAVES) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +254,7 @@ def searched(index: VectorIndex, queries: DataFrame, k: int, same: str | None =
             F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("pack"), F.col("rows.query_id").alias("queries"), F.col("rows.part").alias("query_parts"), F.col("rows.floor").alias("floors"), F.flatten("rows.vector").alias("v")
         )
         met = query_packs.join(bound_packs, "pack").drop("pack")
-        pairs = met.mapInArrow(lambda b, m=most, s=before: _bounds(_in_one(b, "v", "vectors"), None if m is None else m + s, id_types[0]), pair_schema)
+        pairs = met.mapInArrow(lambda b, m=most, s=before: _bounds(b, None if m is None else m + s, id_types[0]), pair_schema)
         if seen is not None:
             pairs = pairs.join(seen, ["query_id", "block"], "left_anti")
         if most is not None:
@@ -244,12 +263,12 @@ def searched(index: VectorIndex, queries: DataFrame, k: int, same: str | None =
         pairs = written(pairs.select("query_id", "block"), "visits")
         seen = pairs if seen is None else seen.unionByName(pairs)
         asking = pairs.join(floors, "query_id").groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("query_id", "vector", "floor")).alias("asking"))
-        beside = blocks.select("block", "n", "ids", "vectors").join(asking, "block").select("n", "ids", "vectors", "asking")
+        beside = blocks.select("block", "n", "ids", "vectors").join(asking, "block").select("ids", "vectors", F.col("asking.query_id").alias("queries"), F.col("asking.floor").alias("floors"), F.flatten("asking.vector").alias("v"))
         hits = beside.mapInArrow(lambda b: _scored(b, k, id_types), hit_schema).withColumn("score", F.round("score", 6))
         if best is not None:
             hits = hits.unionByName(best.select("query_id", "chunk_id", "score"))
         ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
-        best = ranked if most is None else written(ranked, "best")
+        best = written(ranked, "best")  # the last too: callers read it more than once
     return best, seen
 
 
