@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import small_batches, written
+from ..sources.tables import giving_back, small_batches, written
 
 #: Of the stored form; another number wherever it changes, so that nothing reads an index of another form.
 FORMAT = 1
@@ -105,7 +105,7 @@ class VectorIndex:
         cells = dealt.repartitionByRange("part", "cell", F.xxhash64("chunk_id")).sortWithinPartitions("part", "cell")
         schema = f"block long, part string, n int, centre binary, radius double, ids array<{id_type}>, vectors binary"
         with small_batches(self.spark):
-            cells.mapInArrow(lambda batches: _blocks(batches, block), schema).write.mode("append").parquet(f"{self.folder}/blocks")
+            cells.mapInArrow(lambda batches: giving_back(_blocks(batches, block)), schema).write.mode("append").parquet(f"{self.folder}/blocks")
         return self
 
 
@@ -264,7 +264,7 @@ def searched(index: VectorIndex, queries: DataFrame, k: int, same: str | None =
         seen = pairs if seen is None else seen.unionByName(pairs)
         asking = pairs.join(floors, "query_id").groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("query_id", "vector", "floor")).alias("asking"))
         beside = blocks.select("block", "n", "ids", "vectors").join(asking, "block").select("ids", "vectors", F.col("asking.query_id").alias("queries"), F.col("asking.floor").alias("floors"), F.flatten("asking.vector").alias("v"))
-        hits = beside.mapInArrow(lambda b: _scored(b, k, id_types), hit_schema).withColumn("score", F.round("score", 6))
+        hits = beside.mapInArrow(lambda b: giving_back(_scored(b, k, id_types)), hit_schema).withColumn("score", F.round("score", 6))
         if best is not None:
             hits = hits.unionByName(best.select("query_id", "chunk_id", "score"))
         ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..sources.tables import written
+from ..sources.tables import giving_back, small_batches, written
 
 #: Of the stored form; another number wherever it changes, so that nothing reads an index of another form.
 FORMAT = 2
@@ -40,11 +40,15 @@ K1, B = 1.2, 0.75
 RANGE = 4_096
 #: Documents, and bytes of their terms, that a task puts in order of length together.
 TOGETHER, TOGETHER_BYTES = 4 * RANGE, 32 << 20
+#: Terms of a range at most, unless one document has more: what a task sorts at once.
+RANGE_TERMS = 4 << 20
 #: Query terms up to which they are sent to the scan of the index.
 FEW_TERMS = 100_000
 #: Ranges that a query scores first.
 NEAR = 2
 _EDGE = 1e-6
+#: Rows of a batch that a task gives back.
+_ROWS = 50_000
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -71,7 +75,8 @@ class Postings:
         tokens = rows.select(part.alias("part"), "chunk_id", terms(F.coalesce("content", F.lit(""))).alias("tokens"))
         if same:  # ranges hold one value, so its rows come together; a value of very many rows stays spread
             tokens = tokens.repartitionByRange("part", F.xxhash64("chunk_id")).sortWithinPartitions("part")
-        tokens.mapInArrow(lambda batches: _counted(batches, size), self.schema()).write.mode("append").parquet(f"{self.folder}/postings")
+        with small_batches(self.spark):
+            tokens.mapInArrow(lambda batches: giving_back(_counted(batches, size)), self.schema()).write.mode("append").parquet(f"{self.folder}/postings")
         return self
 
 
@@ -102,8 +107,7 @@ def _counted(batches: Batches, size: int) -> Batches:
             while end < batch.num_rows and parts[end].as_py() == part and rows + end - at < TOGETHER:
                 end += 1
             piece = batch.slice(at, end - at)
-            tokens = piece.column("tokens")
-            weight += len(tokens.flatten()) * 12
+            weight += len(piece.column("tokens").flatten()) * 12
             rows += end - at
             held.append(piece)
             at = end
@@ -124,8 +128,11 @@ def _ranges(held: list[pa.RecordBatch], part: str | None, size: int) -> Batches:
         given = {k: columns.get(k, [None] * rows) for k in kinds}
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for k, c in given.items()], names=list(kinds))
 
-    for a in range(0, len(order), size):
-        at = order[a : a + size]
+    upto, b = np.cumsum(length[order]), 0
+    while b < len(order):
+        a, b = b, min(b + size, int(np.searchsorted(upto, (upto[b - 1] if b else 0) + RANGE_TERMS, side="right")))
+        b = max(b, a + 1)
+        at = order[a:b]
         mine = tokens.take(pa.array(at))
         n, number = length[at], uuid.uuid4().int >> 65
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), values)  # noqa: E731,B023
@@ -134,10 +141,15 @@ def _ranges(held: list[pa.RecordBatch], part: str | None, size: int) -> Batches:
         if not len(words) or part is None:
             continue
         by_term = pc.sort_indices(words.dictionary)
-        code_of = np.empty(len(by_term), np.int64)
+        kind = np.int32 if len(by_term) * len(at) < 2**31 else np.int64
+        code_of = np.empty(len(by_term), kind)
         code_of[by_term.to_numpy()] = np.arange(len(by_term))
-        code, doc = code_of[words.indices.to_numpy()], np.repeat(np.arange(len(at)), n)
-        key, count = np.unique(code * len(at) + doc, return_counts=True)
+        key = code_of[words.indices.to_numpy()]
+        key *= len(at)
+        key += np.repeat(np.arange(len(at), dtype=kind), n)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count, key = np.diff(np.append(first, len(key))), key[first]
         code, doc = key // len(at), key % len(at)
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         offsets = pa.array(np.append(edge, len(code)), pa.int32())
@@ -159,7 +171,9 @@ def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type
     ids, length, held, ready = pa.array([], id_type), np.empty(0), {}, {}
     for batch in batches:
         out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        size = 0
         column = {n: batch.column(n) for n in batch.schema.names}
+        queries = column["query_id"].cast(query_type)
         for i, kind in enumerate(column["kind"].to_pylist()):
             if kind == 0:
                 ids, length, held, ready = column["ids"][i].values, column["lengths"][i].values.to_numpy(), {}, {}
@@ -168,20 +182,37 @@ def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type
             else:
                 score = np.zeros(len(length))
                 for term, idf in zip(column["terms"][i].as_py(), column["idfs"][i].as_py(), strict=True):
-                    if term in held and term not in ready:
-                        at, tf = held[term]
-                        ready[term] = at, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean))
+                    if term in held:  # a term that many of the documents hold has a share for each of them
+                        at, tf = held.pop(term)
+                        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean))
+                        if 8 * len(at) >= len(length):
+                            dense = np.zeros(len(length))
+                            dense[at] = share
+                            at, share = None, dense
+                        ready[term] = at, share
                     if term in ready:
                         at, share = ready[term]
-                        score[at] += idf * share
+                        if at is None:
+                            score += idf * share
+                        else:
+                            score[at] += idf * share
                 floor = column["floor"][i].as_py() or 0.0
                 found = np.flatnonzero(score > 0)
                 if len(found) > k:
                     floor = max(floor, float(np.partition(score[found], -k)[-k]))
                 found = found[score[found] + _EDGE >= floor]
-                out.append((pa.array([column["query_id"][i].as_py()] * len(found), query_type), ids.take(pa.array(found)), score[found]))
+                if len(found):
+                    out.append((queries.take(pa.array(np.full(len(found), i))), ids.take(pa.array(found)), score[found]))
+                    size += len(found)
+                if size >= _ROWS:
+                    yield _hits(out)
+                    out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([q for q, _, _ in out]), pa.concat_arrays([c for _, c, _ in out]), pa.array(np.concatenate([x for _, _, x in out]))], names=["query_id", "chunk_id", "score"])
+            yield _hits(out)
+
+
+def _hits(out: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([q for q, _, _ in out]), pa.concat_arrays([c for _, c, _ in out]), pa.array(np.concatenate([x for _, _, x in out]))], names=["query_id", "chunk_id", "score"])
 
 
 def searched(index: Postings, queries: DataFrame, k: int, same: str | None = None, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +245,7 @@ def searched(index: Postings, queries: DataFrame, k: int, same: str | None = Non
         asks = pairs.join(asking, "query_id").select("range", F.lit(2).alias("kind"), "query_id", "terms", "idfs", "floor")
         met = documents.unionByName(lists, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
         order = met.repartition(parts, "range").sortWithinPartitions("range", "kind")
-        hits = order.mapInArrow(lambda b: _met(b, k, mean, *kinds), f"query_id {query_type.simpleString()}, chunk_id {index.id_type}, score double")
+        hits = order.mapInArrow(lambda b: giving_back(_met(b, k, mean, *kinds)), f"query_id {query_type.simpleString()}, chunk_id {index.id_type}, score double")
         return hits.withColumn("score", F.round("score", 6))
 
     def ranked(hits: DataFrame) -> DataFrame:
@@ -222,13 +253,13 @@ def searched(index: Postings, queries: DataFrame, k: int, same: str | None = Non
 
     none = F.lit(None).cast("double").alias("floor")
     if stats["ranges"] <= 4 * near:
-        return ranked(scored(bounds.select("query_id", "range", none))), bounds.select("query_id", "range")
+        return written(ranked(scored(bounds.select("query_id", "range", none))), "hits"), bounds.select("query_id", "range")
     first = bounds.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range"))).filter(F.col("r") <= near).select("query_id", "range")
     best = written(ranked(scored(first.select("query_id", "range", none))), "best")
     floors = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     left = bounds.join(first, ["query_id", "range"], "left_anti").join(floors, "query_id", "left")
     rest = written(left.filter(F.col("floor").isNull() | (F.col("bound") + _EDGE >= F.col("floor"))).select("query_id", "range", "floor"), "rest")
-    return ranked(scored(rest).unionByName(best.select("query_id", "chunk_id", "score"))), first.unionByName(rest.select("query_id", "range"))
+    return written(ranked(scored(rest).unionByName(best.select("query_id", "chunk_id", "score"))), "hits"), first.unionByName(rest.select("query_id", "range"))
 
 
 def search(index: Postings, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
