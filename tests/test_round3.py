@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from docloom.operators import chunking, language, nearest, postings, retrieval
+from docloom.operators import chunking, detection, language, nearest, postings, retrieval
 
 
 def test_condensed_message_keeps_its_blanks(spark):
@@ -90,3 +90,12 @@ def test_type_is_told_once(spark):
     out = chunking.intelligent(docs)
     assert "CODE" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id for r in out.collect()} == {1, 2}
+
+
+def test_counting_takes_runs_of_characters(spark):
+    """Characters that do not count go by runs: one by one, a chunk's test replaced each of them."""
+    chunks = spark.createDataFrame([(1, 0, "one 中文, two!")], "doc_id long, chunk_index int, content string")
+    issues = detection.chunk_issues(chunks)
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("]+, ") >= 3
+    assert issues.first().tokens == 2 + 2
