@@ -11,9 +11,10 @@ window is the gram's digit with bytes right of it and bytes left of it.
    a pass, group them by the bytes themselves; then eight bytes a pass of what stands right and left settle
    whole surroundings; what is still open is sorted byte by byte, right of the gram and left of it, and the
    groups at depth j to the right and ``width - GRAM - j`` to the left are the repeated windows.
-3. Grams found more than ``HOT`` times are not sent to one part. Their passes are Spark groupings by ranges of
-   windows: the bytes that a range has in common are its digit, a range that is alone goes, the others are
-   halved until each is one whole window. Each grouping adds up before its shuffle and its join back may be split.
+3. Grams found more than ``HOT`` times are not sent to one part. Blocks exchange hashes of longer strings around
+   them, common to ``RANGE`` windows, and what stands once goes. Of what is left each block sends its distinct
+   windows once, with their smallest doc_id, to parts by the whole window: a part gets a window at most once from
+   a block, however often it stands, and answers with a bit.
 
 Hashes only choose grams and parts; windows count as equal by their bytes. Within a block, equal surroundings
 are settled on the spot and only those of the smallest doc_id are sent; equal surroundings of one document
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_BYTES, counts_of, mix64, packed, parts_of, runs, texts, unseal, with_counts
+from .blocks import BLOCK_BYTES, counts_of, mix64, packed, parts_of, runs, seal, texts, unseal, with_counts
 from .common import freed, kept, partitions, written
 
 WIDTH = 50
@@ -43,6 +44,8 @@ GRAM = 20
 STRETCH = 1 << 20
 #: Places of one gram that one task sorts, a power of two; and places whose surroundings are looked at together.
 HOT = 4_096
+#: Neighbouring windows around a gram found often that are looked for together.
+RANGE = 8
 SLICE = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -51,8 +54,6 @@ _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 kept("powers", _cache.clear)
 
 
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if n not in _cache:
@@ -71,18 +72,25 @@ def _over(x: np.ndarray, n: int, f) -> np.ndarray:
     return x
 
 
+def rolling(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n neighbouring bytes, along the last axis."""
+    size = x.shape[-1]
+    up, down = powers(max(STRETCH + WIDTH, size))
+    sums = np.zeros((*x.shape[:-1], size + 1), np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:size], axis=-1, out=sums[..., 1:])
+    return mix64((sums[..., n:] - sums[..., :-n]) * down[: size - n + 1])
+
+
 def picked(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places (ascending) of the grams that the windows inside documents pick, and the grams' hashes. ends: 0 and each document's end."""
     span = width - gram + 1
-    up, down = powers(STRETCH + width)
     inside = np.zeros(len(data) + 1, bool)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         inside[a : max(a, b - width + 1)] = True
     places, found = [], []
     for s in range(0, max(0, len(data) - width + 1), STRETCH):
         x = data[s : s + STRETCH + width - 1]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])])
-        h = mix64((sums[gram:] - sums[:-gram]) * down[: len(x) - gram + 1])
+        h = rolling(x, gram)
         least = _over(h, span, np.minimum)
         least[~inside[s : s + len(least)]] = 0
         pad = np.zeros(span - 1, np.uint64)
@@ -348,44 +356,142 @@ def _covered(sent: DataFrame, width: int, gram: int) -> DataFrame:
     return written(sent.sortWithinPartitions("part").mapInArrow(freed(run), _SENT), "spans", by="kind")
 
 
-_OFTEN = "block long, doc long, place long, run long, left int, right int, around binary"
+def own_windows(p: Places, width: int, gram: int) -> np.ndarray:
+    """For each row and window of its surroundings whether it stands inside the document and picks the row's gram."""
+    side = width - gram
+    h = rolling(p.around, gram)
+    j = np.arange(side + 1)
+    inside = (side - p.left[:, None] <= j) & (j <= p.right[:, None])
+    return inside & (_over(h.T, side + 1, np.minimum).T == h[:, side : side + 1])
+
+
+def _packed_places(doc, place, run, around, own) -> bytes:
+    columns = [pa.array(x, pa.int64()) for x in (doc, place, run)]
+    columns += [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]) for x in (around, own.astype(np.uint8))]
+    return seal(pa.RecordBatch.from_arrays(columns, names=["doc", "place", "run", "around", "own"]))
+
+
+def _unpacked(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    def bytes_of(c: pa.Array) -> np.ndarray:
+        size = c.type.byte_width
+        return np.frombuffer(c.buffers()[1], np.uint8)[c.offset * size : (c.offset + len(c)) * size].reshape(len(c), size)
+
+    return *(rows.column(c).to_numpy() for c in ("doc", "place", "run")), bytes_of(rows.column("around")), bytes_of(rows.column("own")) > 0
+
+
+def common_strings(around: np.ndarray, own: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """(rows, from, to, hash): for each RANGE of neighbouring windows the rows that have one of them, and the bytes common to the range."""
+    for lo in range(0, own.shape[1], RANGE):
+        hi = min(own.shape[1], lo + RANGE)
+        rows = np.flatnonzero(own[:, lo:hi].any(axis=1))
+        yield rows, lo, hi, rolling(around[rows, hi - 1 : lo + width], width - (hi - 1 - lo)).ravel()
+
+
+class Windows:
+    """The distinct windows of a pack: group (of each row and window, as row and at), and of each group least (the smallest doc), part and data. In order of parts."""
+
+    def __init__(self, doc: np.ndarray, around: np.ndarray, own: np.ndarray, width: int, parts: int):
+        self.row, self.at = np.nonzero(own)
+        step = np.arange(width)
+        h = np.concatenate([np.empty(0, np.uint64), *(rolling(around[x : x + SLICE], width)[own[x : x + SLICE]] for x in range(0, len(own), SLICE))])
+        part = (h & np.uint64(0xFFFF)) % np.uint64(parts)
+        order = np.lexsort((h, part))
+        self.group = np.empty(len(h), np.int64)
+        self.group[order] = _first_of_runs(h[order])
+        _, first = np.unique(self.group, return_index=True)
+        other = []  # of equal hash by chance: groups of their own, which bytes settle in their part
+        for x in range(0, len(h), SLICE):
+            k = np.arange(x, min(len(h), x + SLICE))
+            f = first[self.group[k]]
+            other.append(k[(around[self.row[k, None], self.at[k, None] + step] != around[self.row[f, None], self.at[f, None] + step]).any(axis=1)])
+        if other and len(other := np.concatenate(other)):
+            alone = np.zeros(len(h), np.int64)
+            alone[other] = 1 + np.arange(len(other))
+            self.group = groups(part.astype(np.int64), self.group, alone)
+            _, first = np.unique(self.group, return_index=True)
+        self.part = part[first].astype(np.int64)
+        self.data = around[self.row[first, None], self.at[first, None] + step]
+        self.doc = doc[self.row]
+        self.least = np.full(len(first), _LAST, np.int64)
+        np.minimum.at(self.least, self.group, self.doc)
+
+    def by_part(self) -> Iterator[tuple[int, int, int]]:
+        edges = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1], [True]])) if len(self.part) else [0]
+        yield from ((int(self.part[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
 def _often(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """rows: those of grams found often, in packs. (kind, part, block, n, data): their stretches to remove.
+    """rows: those of grams found often, in packs by block. (kind, part, block, n, data): their stretches to remove.
 
-    A row stands for the windows lo to hi of its surroundings; bytes hi to lo + width are common to them. In each
-    pass rows without another document at these bytes go and the ranges of the others are halved.
+    Packs stay packs: first they exchange hashes of what RANGE neighbouring windows have in common, and windows whose
+    common bytes stand once go. Then each pack sends its distinct windows once, with the smallest doc, to parts by
+    their hash, where bytes decide, and gets a bit for each: whether another pack has it in a smaller doc.
     """
-    side = width - gram
+    spark, side, parts = rows.sparkSession, width - gram, parts_of(rows.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "data")), strict=True):
                 p = Places.of(n, data, 2 * side + gram)
-                columns = [np.full(n, block), p.doc, p.place, p.run, p.left.astype(np.int32), p.right.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x.tobytes() for x in p.around], pa.binary())], names=[c.split()[0] for c in _OFTEN.split(", ")])
-
-    now = rows.mapInArrow(freed(unpack), _OFTEN).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
-    open_ = side + 1
-    while open_ > 1:
-        open_ = -(-open_ // 2)
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))
-        ranges = F.explode(F.when(F.col("hi") > F.col("lo"), halves).otherwise(F.array(F.struct("lo", "hi"))))
-        now = now.withColumn("range", ranges).withColumns({"lo": F.col("range.lo"), "hi": F.col("range.hi")}).drop("range", "least", "key")
-        now = now.filter(F.greatest(F.col("lo"), side - F.col("left")) <= F.least("hi", "right"))
-        now = now.withColumn("key", F.substring("around", F.col("hi") + 1, F.col("lo") + width - F.col("hi")))
-        shared = now.groupBy("lo", "hi", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-        shared = written(shared, "shared")  # read anew, so that Spark may split a key that very many rows hold
-        now = written(now.join(shared.hint("merge"), ["lo", "hi", "key"]), "often")
-    start = F.col("place") - side + F.col("lo")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = np.concatenate([own_windows(p[x : x + SLICE], width, gram) for x in range(0, n, SLICE)])
+                some = own.any(axis=1)
+                if some.any():
+                    packed_ = _packed_places(p.doc[some], p.place[some], p.run[some], p.around[some], own[some])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed_], pa.binary())], names=["block", "data"])
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        *_, around, own = _unpacked(batch)
+        return np.concatenate([h for *_, h in common_strings(around, own, width)])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _by_block(*(batch.column(c).to_numpy() for c in ("block", "start", "end")))
+            for block, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("replies"), strict=True):
+                doc, place, run, around, own = _unpacked(unseal(data.as_py()))
+                ranges, own = list(common_strings(around, own, width)), own.copy()
+                code = counts_of(np.concatenate([h for *_, h in ranges]), replies.as_py(), parts)
+                for k, lo, hi, h in ranges:
+                    own[k[code[: len(h)] == 0], lo:hi] = False
+                    code = code[len(h) :]
+                some = own.any(axis=1)
+                if some.any():
+                    packed_ = _packed_places(doc[some], place[some], run[some], around[some], own[some])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed_], pa.binary())], names=["block", "data"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                doc, _, _, around, own = _unpacked(unseal(data.as_py()))
+                w = Windows(doc, around, own, width, parts)
+                out = [(OFTEN, p, block, b - a, _dense(w.least[a:b], w.data[a:b])) for p, a, b in w.by_part()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], names=_NAMES)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for part, held in runs(batches, "part", ("block", "n", "data")):
+            raw = [zstandard.ZstdDecompressor().decompress(d) for *_, d in held]
+            least = np.concatenate([np.frombuffer(r, "<i8", n) for (_, n, _), r in zip(held, raw, strict=True)])
+            found = np.concatenate([np.frombuffer(r, np.uint8, n * width, 8 * n) for (_, n, _), r in zip(held, raw, strict=True)]).reshape(-1, width)
+            covered = least > least_of(groups(*words(found)), least)
+            ends = np.cumsum([n for _, n, _ in held]).tolist()
+            bits = [np.packbits(covered[e - n : e]).tobytes() for e, (_, n, _) in zip(ends, held, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array(bits, pa.binary())], names=["block", "part", "bits"])
 
-    return now.filter("doc > least").select("block", start.alias("start"), (start + F.col("run") + width).alias("end")).mapInArrow(freed(pack), _SENT)
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("replies"), strict=True):
+                doc, place, run, around, own = _unpacked(unseal(data.as_py()))
+                w, bits = Windows(doc, around, own, width, parts), {r["part"]: r["bits"] for r in replies.as_py()}
+                elsewhere = np.concatenate([np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a) for p, a, b in w.by_part()]) > 0
+                gone = elsewhere[w.group] | (w.doc > w.least[w.group])
+                row, start = w.row[gone], place[w.row[gone]] - side + w.at[gone]
+                yield from _by_block(np.full(len(row), block), start, start + run[row] + width)
+
+    packs = written(rows.mapInArrow(freed(unpack), "block long, data binary"), "often")
+    packs = written(with_counts(packs, hashes).mapInArrow(freed(again), "block long, data binary"), "again")
+    sent = packs.mapInArrow(freed(send), _SENT).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    replies = sent.mapInArrow(freed(meet), "block long, part int, bits binary").groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
+    return packs.join(replies.hint("merge"), "block").mapInArrow(freed(told), _SENT)
 
 
 def _marked(docs: DataFrame, width: int, gram: int, block_bytes: int, whole_signs: bool) -> DataFrame:
