@@ -6,7 +6,7 @@ its grams that the fewest texts hold, and what meets is verified, so boilerplate
 
 Likeness is difflib's ratio 2 m / (a + b), m matching characters of texts with a and b characters. Texts and passages
 stand in blocks ordered by length; blocks of fitting lengths meet pair by pair, so no key gathers texts and a
-task holds two blocks. Before a pair is compared three bounds of m must reach what the threshold asks for:
+task holds two blocks. Before a pair is compared four bounds of m must reach what the threshold asks for:
 
 - characters: the counts that both share;
 - pairs of neighbouring characters: m characters in k stretches share m - k of them, and k is at most one more than
@@ -34,13 +34,15 @@ from ..sources.tables import written
 GRAM, NEAR = 16, 5
 #: Rows and characters of a block of texts, and rows of a block of passages.
 BLOCK_ROWS, BLOCK_CHARS, BLOCK_PASSAGES = 512, 4 << 20, 128
+#: Chosen grams of the passages up to which they are sent to the scan of the texts; beyond, both meet by shuffle.
+FEW_GRAMS = 200_000
 _ONE, _TWO = 64, 192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 Batches = Iterator[pa.RecordBatch]
 
 
-def chosen(text: bytes) -> np.ndarray:
-    """Hashes of the chosen grams of a text, each once; none under GRAM + NEAR - 1 bytes."""
+def chosen(text: bytes, only: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the chosen grams of a text, each once, in order; none under GRAM + NEAR - 1 bytes. only: sorted hashes that others are left out against."""
     n = len(text) - GRAM + 1
     if n < NEAR:
         return np.empty(0, np.int64)
@@ -49,24 +51,29 @@ def chosen(text: bytes) -> np.ndarray:
     for i in range(GRAM):
         h = (h ^ x[i : i + n]) * _MIX
         h ^= h >> np.uint64(29)
-    least = np.lib.stride_tricks.sliding_window_view(h, NEAR).min(axis=1)
-    return np.unique(least).view(np.int64)
+    least = h[: n - NEAR + 1]
+    for i in range(1, NEAR):
+        least = np.minimum(least, h[i : n - NEAR + 1 + i])
+    least = least.view(np.int64)
+    if only is not None:
+        least = least[only[np.minimum(np.searchsorted(only, least), len(only) - 1)] == least] if len(only) else least[:0]
+    return np.unique(least)
 
 
-def _grams(batches: Batches, id_type: pa.DataType) -> Batches:
+def _grams(batches: Batches, id_type: pa.DataType, only: np.ndarray | None = None) -> Batches:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             piece = batch.slice(at, 500)
-            grams = [chosen((t or "").encode()) for t in piece.column("t").to_pylist()]
+            grams = [chosen((t or "").encode(), only) for t in piece.column("t").to_pylist()]
             ids = piece.column("id").take(pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams])))
             yield pa.RecordBatch.from_arrays([ids.cast(id_type), pa.array(np.concatenate(grams) if grams else [], pa.int64())], names=["id", "gram"])
 
 
-def _with_grams(rows: DataFrame) -> DataFrame:
+def _with_grams(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = rows.schema["id"].dataType
-    return rows.mapInArrow(lambda b: _grams(b, to_arrow_type(kind)), f"id {kind.simpleString()}, gram long")
+    return rows.mapInArrow(lambda b: _grams(b, to_arrow_type(kind), only), f"id {kind.simpleString()}, gram long")
 
 
 def contained(rows: DataFrame, golden: DataFrame, shortest: int = 20) -> DataFrame:
@@ -76,8 +83,11 @@ def contained(rows: DataFrame, golden: DataFrame, shortest: int = 20) -> DataFra
     texts = rows.filter(F.length("content") >= shortest).select("chunk_id", F.lower("content").alias("c"))
     asked = golden.filter(F.length("passage") >= shortest).select("item_id", F.lower("passage").alias("p")).distinct()
     wanted = written(_with_grams(asked.select(F.col("item_id").alias("id"), F.col("p").alias("t"))).withColumnRenamed("id", "item_id"), "passages")
-    found = _with_grams(texts.select(F.col("chunk_id").alias("id"), F.col("c").alias("t"))).withColumnRenamed("id", "chunk_id")
-    held = written(found.join(wanted.select("gram").distinct(), "gram", "left_semi"), "grams")
+    grams = wanted.select("gram").distinct()
+    few = grams.limit(FEW_GRAMS + 1).toArrow()["gram"].to_numpy()
+    few = np.sort(few) if len(few) <= FEW_GRAMS else None
+    found = _with_grams(texts.select(F.col("chunk_id").alias("id"), F.col("c").alias("t")), few).withColumnRenamed("id", "chunk_id")
+    held = written(found if few is not None else found.join(grams, "gram", "left_semi"), "grams")
     # A gram that no text holds is the rarest: its passage is in none.
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("item_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
@@ -136,6 +146,25 @@ def _by_place(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return shared(x[:half], y[: max(0, half + right)]) + shared(x[half:], y[max(0, half - left) :]) >= least - 1e-9
 
 
+def _rows_of(text: str) -> tuple[int, dict[str, int]]:
+    """The length of a text and for each character the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return len(text), out
+
+
+def common(rows: tuple[int, dict[str, int]], text: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    n, places = rows
+    whole = open_ = (1 << n) - 1
+    for c in text:
+        if c in places:
+            met = open_ & places[c]
+            open_ = ((open_ + met) | (open_ - met)) & whole
+    return n - open_.bit_count()
+
+
 def alike_pairs(passages: list[str], texts: list[str], threshold: float) -> Iterator[tuple[int, int]]:
     """Places of the passages and texts whose ratio reaches the threshold."""
     signs = [_signs(t) for t in texts]
@@ -143,6 +172,7 @@ def alike_pairs(passages: list[str], texts: list[str], threshold: float) -> Iter
     counts = np.stack([c for _, c in signs])
     for i, passage in enumerate(passages):
         x, mine = _signs(passage)
+        places = _rows_of(passage)
         total = len(x) + length
         shared = np.minimum(counts, mine)
         one, two = shared[:, :_ONE].sum(axis=1), shared[:, _ONE:].sum(axis=1)
@@ -150,6 +180,8 @@ def alike_pairs(passages: list[str], texts: list[str], threshold: float) -> Iter
         for j in np.flatnonzero(2 * most >= threshold * total).tolist():
             if not _by_place(x, signs[j][0], threshold * total[j] / 2):
                 continue
+            if 2 * common(places, texts[j]) < threshold * total[j] - 1e-9:
+                continue
             m = difflib.SequenceMatcher(None, passage, texts[j])
             if m.quick_ratio() >= threshold and m.ratio() >= threshold:
                 yield i, j
