@@ -174,6 +174,7 @@ def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type
         size = 0
         column = {n: batch.column(n) for n in batch.schema.names}
         queries = column["query_id"].cast(query_type)
+        told = [column[n].to_pylist() for n in ("terms", "idfs", "floor")]
         for i, kind in enumerate(column["kind"].to_pylist()):
             if kind == 0:
                 ids, length, held, ready = column["ids"][i].values, column["lengths"][i].values.to_numpy(), {}, {}
@@ -181,10 +182,11 @@ def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type
                 held[column["term"][i].as_py()] = (column["places"][i].values.to_numpy(), column["counts"][i].values.to_numpy())
             else:
                 score = np.zeros(len(length))
-                for term, idf in zip(column["terms"][i].as_py(), column["idfs"][i].as_py(), strict=True):
+                terms_, idfs, floor = (c[i] for c in told)
+                for term, idf in zip(terms_, idfs, strict=True):
                     if term in held:  # a term that many of the documents hold has a share for each of them
                         at, tf = held.pop(term)
-                        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean))
+                        share = idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean)))
                         if 8 * len(at) >= len(length):
                             dense = np.zeros(len(length))
                             dense[at] = share
@@ -193,14 +195,14 @@ def _met(batches: Batches, k: int, mean: float, id_type: pa.DataType, query_type
                     if term in ready:
                         at, share = ready[term]
                         if at is None:
-                            score += idf * share
+                            score += share
                         else:
-                            score[at] += idf * share
-                floor = column["floor"][i].as_py() or 0.0
-                found = np.flatnonzero(score > 0)
+                            score[at] += share
+                # What lies under the query's floor is left out first: of most ranges hardly a document is left.
+                found = np.flatnonzero(score + _EDGE >= floor if floor is not None and floor > _EDGE else score > 0)
                 if len(found) > k:
-                    floor = max(floor, float(np.partition(score[found], -k)[-k]))
-                found = found[score[found] + _EDGE >= floor]
+                    kept = score[found]
+                    found = found[kept + _EDGE >= np.partition(kept, -k)[-k]]
                 if len(found):
                     out.append((queries.take(pa.array(np.full(len(found), i))), ids.take(pa.array(found)), score[found]))
                     size += len(found)
